@@ -1,0 +1 @@
+"""Intentionally empty: none of the computations covered here is a streaming one."""
