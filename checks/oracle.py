@@ -136,7 +136,7 @@ _ITEM_TEXT = """item_texts as (select id as item_id, trim(coalesce(plot, '') ||
 
 CONTENT = VIEWS + "," + _ITEM_TEXT + "," + _vectors("item_texts") + f""",
 matches as (select u.user_id, f.id as item_id from usable u join firsts f on f.tmdb_id = u.item_id),
-profile as (select user_id, term, sum(weight) / any_value(n) as weight from matches join vectors using (item_id)
+profile as (select user_id, term, sum(cast(floor(weight * 1e8 + 0.5) as bigint)) / 1e8 / any_value(n) as weight from matches join vectors using (item_id)
     join (select user_id, count(*) as n from matches group by 1) using (user_id) group by 1, 2),
 item_norm as (select item_id, sqrt(sum(weight * weight)) as inorm from vectors group by 1),
 user_norm as (select user_id, sqrt(sum(weight * weight)) as unorm from profile group by 1),
@@ -242,7 +242,7 @@ ORACLE: dict[str, str] = {
         select *, row_number() over (partition by item_id order by weight desc, term) as rank from vectors)
         where rank <= 5""",
     "vector_stats": f"""with {_TEXTS} {_vectors('texts')} select item_id, count(*) as non_zero,
-        {_q('sum(weight)', 4)} as weight_sum from vectors group by 1""",
+        {_q('sum(cast(floor(weight * 1e8 + 0.5) as bigint)) / 1e8', 4)} as weight_sum from vectors group by 1""",
     "content_profile": f"with {CONTENT} select user_id, term, {_q('weight', 6)} as weight from profile",
     "content_score_all": f"""with {CONTENT} select user_id, item_id, {_q('score', 4)} as score,
         row_number() over (partition by user_id order by score desc nulls last, title nulls last, item_id) as rank

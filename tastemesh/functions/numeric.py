@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Similarities are kept to 12 decimals, products summed in units of 1e-10.
+# Similarities are kept to 12 decimals, products summed in units of 1e-10, term weights kept to 8.
 SIM_DIGITS = 12
 TERM_DIGITS = 10
+WEIGHT_DIGITS = 8
 
 
 def clip(col: Column, low: float, high: float) -> Column:
@@ -28,3 +29,8 @@ def quantize(col: Column, digits: int) -> Column:
 def scaled(col: Column, digits: int = TERM_DIGITS) -> Column:
     """Fixed-point bigint of a double, so that a sum is exact in any order."""
     return F.floor(col * F.lit(float(10**digits)) + F.lit(0.5)).cast("bigint")
+
+
+def unscaled(col: Column, digits: int = TERM_DIGITS) -> Column:
+    """The double behind a fixed-point bigint."""
+    return col.cast("double") / F.lit(float(10**digits))
