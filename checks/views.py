@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastemesh.operators.history import export_history
+from tastemesh.sources.staging import spread
 
 
 class Views:
@@ -77,4 +78,4 @@ class Views:
         return export_history(self.ratings(), self.links(), include_rating=True)
 
     def texts(self) -> DataFrame:
-        return self.table("documents").select(F.col("doc_id").alias("item_id"), "text")
+        return spread(self.table("documents").select(F.col("doc_id").alias("item_id"), "text"))

@@ -232,43 +232,42 @@ class _ScoreBlock:
     """Scores of one block of users against one block of items."""
 
     def __init__(self):
-        self.header: dict[int, list[pa.RecordBatch]] = {0: [], 1: []}
+        self.users: list[pa.Array] = []
         self.profiles: list[tuple[np.ndarray, ...]] = []
-        self.scores: np.ndarray | None = None
+        self.items: list[pa.Array] = []
+        self.scored: list[tuple[np.ndarray, np.ndarray]] = []
+        self.seen_pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.by_term: np.ndarray | None = None
         self.rest: tuple[np.ndarray, ...] | None = None
 
     def add(self, part: int, rows: pa.RecordBatch) -> None:
-        if part in self.header:
-            self.header[part].append(rows)
-            return
         row, col, val = (rows.column(c).to_numpy() for c in ("row", "col", "val"))
         if part == 2:
-            self.profiles.append((row, col, val))
+            self.seen_pairs.append((row, col))
             return
-        self._open()
-        if part == 3:
-            self._vectors(row, col, val)
-        else:
-            self._close_vectors()
-            self.seen[row, col] = True
+        named = rows.column("first")
+        (self.users if part == 0 else self.items).append(
+            rows.column("user" if part == 0 else "item").filter(named))
+        real = col >= 0
+        entry = (row[real], col[real], val[real])
+        if part == 0:
+            self.profiles.append(entry)
+        elif len(entry[0]):
+            self._vectors(*entry)
 
     def _open(self) -> None:
-        """Profiles as a dense term by user matrix; all items start at 0."""
-        if self.scores is not None:
+        """The users' profiles as a dense term by user matrix."""
+        if self.by_term is not None:
             return
-        users, items = (pa.Table.from_batches(self.header[p]) for p in (0, 1))
-        self.users, self.items = users.column("user").combine_chunks(), items.column("item").combine_chunks()
-        self.scores = np.zeros((len(self.items), len(self.users)))
-        self.seen = np.zeros((len(self.users), len(self.items)), dtype=bool)
-        self.by_term = np.zeros((0, len(self.users)))
-        if self.profiles:
-            row, col, val = (np.concatenate(c) for c in zip(*self.profiles))
-            self.by_term = np.zeros((int(col.max()) + 1, len(self.users)))
-            self.by_term[col, row] = val
+        self.n_users = sum(len(u) for u in self.users)
+        row, col, val = (np.concatenate(c) for c in zip(*self.profiles)) if self.profiles else [np.empty(0, int)] * 3
+        self.by_term = np.zeros((int(col.max()) + 1 if len(col) else 0, self.n_users))
+        self.by_term[col, row] = val
         self.user_norms = np.sqrt((self.by_term**2).sum(axis=0))
 
     def _vectors(self, item: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
         """Whole items are scored at once; the last one may go on in the next batch, so it waits."""
+        self._open()
         if self.rest is not None:
             item, term, weight = (np.concatenate(pair) for pair in zip(self.rest, (item, term, weight)))
         cut = int(np.searchsorted(item, item[-1]))
@@ -276,49 +275,52 @@ class _ScoreBlock:
         self._score(item[:cut], term[:cut], weight[:cut])
 
     def _score(self, item: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
-        starts = np.flatnonzero(np.r_[True, item[1:] != item[:-1]]) if len(item) else item
-        ends = np.r_[starts[1:], len(item)] if len(item) else item
-        at_once = max(1, 4 * _CHUNK // max(1, len(self.users)))
+        if len(item) == 0:
+            return
+        starts = np.flatnonzero(np.r_[True, item[1:] != item[:-1]])
+        ends = np.r_[starts[1:], len(item)]
+        at_once = max(1, 2 * _CHUNK // max(1, self.n_users))
         first = 0
         while first < len(starts):
             last = max(first + 1, int(np.searchsorted(ends, starts[first] + at_once, side="right")))
             part = slice(starts[first], ends[last - 1])
+            at = starts[first:last] - starts[first]
             t, w = term[part], weight[part]
-            norms = np.sqrt(np.add.reduceat(w * w, starts[first:last] - starts[first]))
-            # Terms that no user of the block has add nothing; they are clipped to an empty row.
+            norms = np.sqrt(np.add.reduceat(w * w, at))
+            # Terms beyond the profiles' last one are in no profile and add nothing.
             known = t < len(self.by_term)
-            rows = self.by_term[np.where(known, t, 0)] if len(self.by_term) else np.zeros((len(t), len(self.users)))
-            rows = rows * np.where(known, w, 0.0)[:, None]
-            dots = np.add.reduceat(rows, starts[first:last] - starts[first], axis=0)
+            rows = self.by_term[np.where(known, t, 0)] if len(self.by_term) else np.zeros((len(t), self.n_users))
+            rows *= np.where(known, w, 0.0)[:, None]
+            dots = np.add.reduceat(rows, at, axis=0)
             scale = norms[:, None] * self.user_norms[None, :]
             np.divide(dots, scale, out=dots, where=scale > 0)
-            self.scores[item[starts[first:last]]] = dots
+            self.scored.append((item[starts[first:last]], dots))
             first = last
 
-    def _close_vectors(self) -> None:
+    def result(self, k: int | None, include_zero: bool, keep_seen: bool, digits: int) -> pa.RecordBatch | None:
+        if not self.users or not self.items:
+            return None
+        self._open()
         if self.rest is not None:
             self._score(*self.rest)
-            self.rest = None
-
-    def result(self, k: int | None, include_zero: bool, keep_seen: bool, digits: int) -> pa.RecordBatch:
-        self._open()
-        self._close_vectors()
-        scores = _quantize(self.scores.T, digits)
-        wanted = ~self.seen if include_zero else ~self.seen & (scores > 0)
-        if k is not None and scores.shape[1] > k:
+        users, items = pa.concat_arrays(self.users), pa.concat_arrays(self.items)
+        scores = np.zeros((len(users), len(items)))
+        for at, dots in self.scored:
+            scores[:, at] = dots.T
+        scores = _quantize(scores, digits)
+        seen = np.zeros(scores.shape, dtype=bool)
+        for row, col in self.seen_pairs:
+            seen[row, col] = True
+        wanted = ~seen if include_zero else ~seen & (scores > 0)
+        if k is not None and len(items) > k:
             cost = np.where(wanted, -scores, np.inf)
             limit = np.partition(cost, k - 1, axis=1)[:, k - 1 : k]
             better, equal = cost < limit, cost == limit
             room = k - better.sum(axis=1, keepdims=True)
-            wanted &= better | (equal & (np.cumsum(equal, axis=1) <= room))
-        emitted = wanted | self.seen if keep_seen else wanted
-        u, i = np.nonzero(emitted)
+            wanted &= better | (equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= room))
+        u, i = np.nonzero(wanted | seen if keep_seen else wanted)
         return pa.RecordBatch.from_arrays(
-            [
-                self.users.take(pa.array(u)),
-                self.items.take(pa.array(i)),
-                pa.array(scores[u, i], mask=self.seen[u, i]),
-            ],
+            [users.take(pa.array(u)), items.take(pa.array(i)), pa.array(scores[u, i], mask=seen[u, i])],
             names=["user_id", "item_id", "score"],
         )
 
@@ -326,11 +328,11 @@ class _ScoreBlock:
 def profile_scores(
     k: int | None, include_zero: bool, keep_seen: bool, digits: int
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Task function over entries sorted by ``(user_block, item_block, part, row, col)``.
+    """Task function over entries sorted by ``(user_block, item_block, part, row)``.
 
-    Parts 0 and 1 list the users and items of the blocks, 2 the users' profiles, 3 the item vectors,
-    4 the seen pairs. Yields ``user_id, item_id, score`` of unseen pairs, the ``k`` best per user of
-    the block pair when ``k`` is given.
+    Part 0 has the users of the block with their profiles, part 1 the items with their vectors, part 2
+    the seen pairs. Yields ``user_id, item_id, score`` of unseen pairs, the ``k`` best per user of the
+    block pair when ``k`` is given.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,11 +340,11 @@ def profile_scores(
         for batch in batches:
             for (users, items, part), start, end in _runs(batch, ["user_block", "item_block", "part"]):
                 if (users, items) != key:
-                    if state:
-                        yield state.result(k, include_zero, keep_seen, digits)
+                    if state and (out := state.result(k, include_zero, keep_seen, digits)):
+                        yield out
                     key, state = (users, items), _ScoreBlock()
                 state.add(part, batch.slice(start, end - start))
-        if state:
-            yield state.result(k, include_zero, keep_seen, digits)
+        if state and (out := state.result(k, include_zero, keep_seen, digits)):
+            yield out
 
     return run

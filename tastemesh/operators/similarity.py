@@ -14,9 +14,9 @@ from tastemesh.operators.history import for_users
 from tastemesh.operators.ranking import top_k
 from tastemesh.sources.staging import stage
 
-# Users per block. A task holds sums for one pair of blocks: at most 1024 * 1024 * 6 doubles (50 MB),
-# and much less while the pairs are sparse.
-BLOCK_USERS = 1024
+# Users per block. A task holds the sums of one pair of blocks, six for Pearson and two for cosine:
+# at most 50 or 64 MB of doubles, and much less while the pairs are sparse.
+BLOCK_USERS = {"pearson": 1024, "cosine": 2048}
 # Blocks of one item that one join task pairs with all the item's blocks.
 BLOCKS_PER_SALT = 16
 
@@ -38,7 +38,7 @@ def _strength(measure: str):
 
 
 def pearson_neighbors(
-    cells: DataFrame, users: Sequence | DataFrame | None = None, k: int | None = 50, block_users: int = BLOCK_USERS
+    cells: DataFrame, users: Sequence | DataFrame | None = None, k: int | None = 50, block_users: int | None = None
 ) -> DataFrame:
     """The ``k`` users most correlated, by absolute Pearson, with each user.
 
@@ -49,7 +49,7 @@ def pearson_neighbors(
 
 
 def cosine_neighbors(
-    cells: DataFrame, users: Sequence | DataFrame | None = None, k: int | None = 50, block_users: int = BLOCK_USERS
+    cells: DataFrame, users: Sequence | DataFrame | None = None, k: int | None = 50, block_users: int | None = None
 ) -> DataFrame:
     """The ``k`` users with the highest cosine of what they have seen; zero cosines are left out."""
     return _neighbors(cells, "cosine", users, k, block_users)
@@ -99,7 +99,7 @@ def _pairs_of(cells: DataFrame, measure: str, users: Sequence | DataFrame) -> Da
 
 
 def block_pairs(
-    cells: DataFrame, measure: str, k: int | None = None, dense: bool = False, block_users: int = BLOCK_USERS
+    cells: DataFrame, measure: str, k: int | None = None, dense: bool = False, block_users: int | None = None
 ) -> DataFrame:
     """Similarities between all users, both directions of each pair, without the user itself.
 
@@ -112,7 +112,7 @@ def block_pairs(
     spark = cells.sparkSession
     base = _comparable(cells, measure)
     norms = stage(squared_norms(base), "user-norms")
-    n_blocks = max(1, -(-norms.count() // block_users))
+    n_blocks = max(1, -(-norms.count() // (block_users or BLOCK_USERS[measure])))
     in_block = Window.partitionBy("block").orderBy("user_id")
     users = norms.withColumn("block", F.pmod(F.xxhash64("user_id"), F.lit(n_blocks)).cast("int")).withColumn(
         "pos", F.row_number().over(in_block) - 1
@@ -191,7 +191,7 @@ def _matrix(cells: DataFrame, measure: str, dense: bool, block_users: int) -> Da
     return pairs.unionByName(diagonal)
 
 
-def pearson_matrix(cells: DataFrame, dense: bool = False, block_users: int = BLOCK_USERS) -> DataFrame:
+def pearson_matrix(cells: DataFrame, dense: bool = False, block_users: int | None = None) -> DataFrame:
     """Pearson of all user pairs with a common item, both directions, and 1 on the diagonal.
 
     NULL where it is undefined. ``dense`` adds the pairs without a common item, NULL too.
@@ -199,7 +199,7 @@ def pearson_matrix(cells: DataFrame, dense: bool = False, block_users: int = BLO
     return _matrix(cells, "pearson", dense, block_users)
 
 
-def cosine_matrix(cells: DataFrame, dense: bool = False, block_users: int = BLOCK_USERS) -> DataFrame:
+def cosine_matrix(cells: DataFrame, dense: bool = False, block_users: int | None = None) -> DataFrame:
     """Cosine of all user pairs with a common item, both directions, and 1 on the diagonal.
 
     ``dense`` adds the pairs without a common item, with 0.
