@@ -20,6 +20,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _CHUNK = 1 << 20
 
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and concatenated values of a list column without NULL lists."""
+    return column.value_lengths().to_numpy(zero_copy_only=False), column.flatten().to_numpy(zero_copy_only=False)
+
+
 def _runs(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, int, int]]:
     """Stretches of equal key in a sorted batch: key, first row, end."""
     cols = [batch.column(k).to_numpy() for k in keys]
@@ -74,18 +79,16 @@ class _Sums:
         return touched, [np.bincount(slot, c, len(touched)) for c in columns]
 
 
-def _cross(right_side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of all (left, right) pairs of each item, a bounded number of pairs at a time.
+def _cross(left_len: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all (left, right) pairs of each row, a bounded number of pairs at a time.
 
-    The rows list item after item, first its left and then its right entries.
+    A row of ``length`` entries starts with its ``left_len`` left ones.
     """
-    left = np.flatnonzero(~right_side)
-    item_starts = left[np.r_[True, np.diff(left) > 1]]
-    item_ends = np.r_[item_starts[1:], len(right_side)]
-    item = np.searchsorted(item_starts, left, side="right") - 1
-    left_counts = np.bincount(item, minlength=len(item_starts))
-    first_right = (item_starts + left_counts)[item]
-    partners = item_ends[item] - first_right
+    begin = np.cumsum(length) - length
+    row = np.repeat(np.arange(len(length)), left_len)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(left_len) - left_len, left_len)
+    left = begin[row] + nth
+    first_right, partners = (begin + left_len)[row], (length - left_len)[row]
     work = np.cumsum(partners)
     done = 0
     while done < len(left):
@@ -114,36 +117,19 @@ def _best(owner: np.ndarray, other: np.ndarray, strength: np.ndarray, k: int) ->
 class _BlockPair:
     """Ids, squared norms and running sums of one pair of user blocks."""
 
-    def __init__(self, key: tuple, measure: str):
-        self.same = key[0] == key[1]
-        self.pearson = measure == "pearson"
-        self.header: list[pa.RecordBatch] = []
-        self.sums: _Sums | None = None
-        self.rest = (np.empty(0, dtype=bool), np.empty(0, dtype=np.int64), np.empty(0))
-
-    def _open(self) -> None:
-        if self.sums is None:
-            header = pa.Table.from_batches(self.header)
-            ids, right = header.column("id").combine_chunks(), header.column("right_side").to_numpy()
-            norms = header.column("val").to_numpy()
-            self.ids = [ids.filter(pa.array(~right)), ids.filter(pa.array(right))]
-            self.norms = [norms[~right], norms[right]]
-            self.width = len(self.ids[1])
-            self.sums = _Sums(len(self.ids[0]) * self.width, 6 if self.pearson else 2)
+    def __init__(self, header: pa.RecordBatch, same: bool, measure: str):
+        self.same, self.pearson = same, measure == "pearson"
+        n_left = header.column("n_left")[0].as_py()
+        ids, norms = header.column("ids").flatten(), header.column("val").flatten().to_numpy()
+        self.ids = (ids[:n_left], ids[n_left:])
+        self.norms = (norms[:n_left], norms[n_left:])
+        self.width = len(ids) - n_left
+        self.sums = _Sums(n_left * self.width, 6 if self.pearson else 2)
 
     def add(self, rows: pa.RecordBatch) -> None:
-        """Take the next entries; the last item may go on in the next batch, so it waits."""
-        self._open()
-        new = [rows.column(c).to_numpy(zero_copy_only=False) for c in ("right_side", "pos", "val")]
-        right, pos, val = (np.concatenate(pair) for pair in zip(self.rest, new))
-        starts = np.flatnonzero(~right & np.r_[True, right[:-1]])
-        cut = int(starts[-1])
-        self.rest = (right[cut:], pos[cut:], val[cut:])
-        if cut:
-            self._pairs(right[:cut], pos[:cut], val[:cut])
-
-    def _pairs(self, right: np.ndarray, pos: np.ndarray, val: np.ndarray) -> None:
-        for li, ri in _cross(right):
+        length, pos = _flat(rows.column("pos"))
+        _, val = _flat(rows.column("val"))
+        for li, ri in _cross(rows.column("n_left").to_numpy(), length):
             if self.same:
                 upper = pos[li] < pos[ri]
                 li, ri = li[upper], ri[upper]
@@ -166,9 +152,6 @@ class _BlockPair:
         return every, spread
 
     def result(self, k: int | None, dense: bool, digits: int) -> pa.RecordBatch:
-        self._open()
-        if len(self.rest[0]):
-            self._pairs(*self.rest)
         index, s = self._totals(dense)
         u, v = index // self.width, index % self.width
         n, xy = s[0], s[1]
@@ -202,24 +185,22 @@ class _BlockPair:
 def pair_similarity(
     measure: str, k: int | None, dense: bool, digits: int
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Task function over entries sorted by ``(left_block, right_block, part)``.
+    """Task function over rows sorted by ``(left_block, right_block, part)``.
 
-    Entries of ``part`` 0 give the ids and squared norms of both blocks, those of ``part`` 1 the cells
-    of the items both blocks share. Yields both directions of each pair of users: the ``k`` best per
-    user of the block pair, or every co-rated pair (every pair at all when ``dense``).
+    The row of ``part`` 0 gives the ids and squared norms of both blocks, those of ``part`` 1 the cells
+    of one item in both, left ones first. Yields both directions of each pair of users: the ``k`` best
+    per user of the block pair, or every co-rated pair (every pair at all when ``dense``).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
         for batch in batches:
             for (left, right, part), start, end in _runs(batch, ["left_block", "right_block", "part"]):
-                if (left, right) != key:
-                    if state:
-                        yield state.result(k, dense, digits)
-                    key, state = (left, right), _BlockPair((left, right), measure)
-                rows = batch.slice(start, end - start)
+                if (left, right) != key and state:
+                    yield state.result(k, dense, digits)
+                key, rows = (left, right), batch.slice(start, end - start)
                 if part == 0:
-                    state.header.append(rows)
+                    state = _BlockPair(rows, left == right, measure)
                 else:
                     state.add(rows)
         if state:
@@ -238,42 +219,32 @@ class _ScoreBlock:
         self.scored: list[tuple[np.ndarray, np.ndarray]] = []
         self.seen_pairs: list[tuple[np.ndarray, np.ndarray]] = []
         self.by_term: np.ndarray | None = None
-        self.rest: tuple[np.ndarray, ...] | None = None
 
     def add(self, part: int, rows: pa.RecordBatch) -> None:
-        row, col, val = (rows.column(c).to_numpy() for c in ("row", "col", "val"))
+        length, col = _flat(rows.column("cols"))
+        row = np.repeat(rows.column("row").to_numpy(), length)
         if part == 2:
             self.seen_pairs.append((row, col))
             return
-        named = rows.column("first")
-        (self.users if part == 0 else self.items).append(
-            rows.column("user" if part == 0 else "item").filter(named))
-        real = col >= 0
-        entry = (row[real], col[real], val[real])
+        _, val = _flat(rows.column("vals"))
         if part == 0:
-            self.profiles.append(entry)
-        elif len(entry[0]):
-            self._vectors(*entry)
+            self.users.append(rows.column("user"))
+            self.profiles.append((row, col, val))
+        else:
+            self.items.append(rows.column("item"))
+            self._open()
+            self._score(row, col, val)
 
     def _open(self) -> None:
         """The users' profiles as a dense term by user matrix."""
         if self.by_term is not None:
             return
         self.n_users = sum(len(u) for u in self.users)
-        row, col, val = (np.concatenate(c) for c in zip(*self.profiles)) if self.profiles else [np.empty(0, int)] * 3
+        row, col, val = (np.concatenate(c) for c in zip(*self.profiles))
         self.by_term = np.zeros((int(col.max()) + 1 if len(col) else 0, self.n_users))
         self.by_term[col, row] = val
         self.user_norms = np.sqrt((self.by_term**2).sum(axis=0))
 
-    def _vectors(self, item: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
-        """Whole items are scored at once; the last one may go on in the next batch, so it waits."""
-        self._open()
-        if self.rest is not None:
-            item, term, weight = (np.concatenate(pair) for pair in zip(self.rest, (item, term, weight)))
-        cut = int(np.searchsorted(item, item[-1]))
-        self.rest = (item[cut:], term[cut:], weight[cut:])
-        self._score(item[:cut], term[:cut], weight[:cut])
-
     def _score(self, item: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
         if len(item) == 0:
             return
@@ -300,9 +271,6 @@ class _ScoreBlock:
     def result(self, k: int | None, include_zero: bool, keep_seen: bool, digits: int) -> pa.RecordBatch | None:
         if not self.users or not self.items:
             return None
-        self._open()
-        if self.rest is not None:
-            self._score(*self.rest)
         users, items = pa.concat_arrays(self.users), pa.concat_arrays(self.items)
         scores = np.zeros((len(users), len(items)))
         for at, dots in self.scored:
@@ -328,7 +296,7 @@ class _ScoreBlock:
 def profile_scores(
     k: int | None, include_zero: bool, keep_seen: bool, digits: int
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Task function over entries sorted by ``(user_block, item_block, part, row)``.
+    """Task function over rows sorted by ``(user_block, item_block, part, row)``.
 
     Part 0 has the users of the block with their profiles, part 1 the items with their vectors, part 2
     the seen pairs. Yields ``user_id, item_id, score`` of unseen pairs, the ``k`` best per user of the

@@ -164,22 +164,18 @@ def block_pairs(
     )
     # Work grows with pairs of cells, not with bytes, so the tasks are counted here and not by AQE.
     tasks = min(n_blocks * (n_blocks + 1) // 2, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # Rows travel and are sorted packed, one per item and block pair; they are unpacked in the task.
-    entries = (
-        headers.unionByName(shared)
-        .repartition(tasks, "left_block", "right_block")
-        .sortWithinPartitions("left_block", "right_block", "part")
-        .select("left_block", "right_block", "part", "n_left", "val", "ids", F.posexplode("pos").alias("i", "pos"))
-        .select(
-            "left_block", "right_block", "part", (F.col("i") >= F.col("n_left")).alias("right_side"), "pos",
-            F.get("val", F.col("i")).alias("val"), F.get("ids", F.col("i")).alias("id"),
-        )
-    )
     out = T.StructType([
         T.StructField("user_id", id_type), T.StructField("other_id", id_type),
         T.StructField("sim", T.DoubleType()), T.StructField("n_common", T.LongType()),
     ])
-    return entries.mapInArrow(kernels.pair_similarity(measure, k, dense, SIM_DIGITS), out)
+    # Pairs (0, 0), (0, 1) ... are numbered in order and dealt out in turn.
+    pair = F.expr(f"left_block * {n_blocks}L - left_block * (left_block + 1L) div 2 + right_block")
+    return (
+        headers.unionByName(shared)
+        .repartitionById(tasks, F.pmod(pair, F.lit(tasks)).cast("int"))
+        .sortWithinPartitions("left_block", "right_block", "part")
+        .mapInArrow(kernels.pair_similarity(measure, k, dense, SIM_DIGITS), out)
+    )
 
 
 def _matrix(cells: DataFrame, measure: str, dense: bool, block_users: int) -> DataFrame:
