@@ -232,8 +232,10 @@ class _ScoreBlock:
             self.profiles.append((row, col, val))
         else:
             self.items.append(rows.column("item"))
-            self._open()
-            self._score(row, col, val)
+            # Hashed blocks may be empty; items without users have nothing to be scored against.
+            if self.users:
+                self._open()
+                self._score(row, col, val)
 
     def _open(self) -> None:
         """The users' profiles as a dense term by user matrix."""
