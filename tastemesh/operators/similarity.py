@@ -17,8 +17,8 @@ from tastemesh.sources.staging import stage
 # Users per block. A task holds the sums of one pair of blocks, six for Pearson and two for cosine:
 # at most 50 or 64 MB of doubles, and much less while the pairs are sparse.
 BLOCK_USERS = {"pearson": 1024, "cosine": 2048}
-# Blocks of one item that one join task pairs with all the item's blocks.
-BLOCKS_PER_SALT = 16
+# Blocks of an item on each side of one join key.
+BLOCKS_PER_GROUP = 16
 
 VALUE = {"pearson": "rating", "cosine": "seen"}
 
@@ -107,7 +107,7 @@ def block_pairs(
     Here the raters of an item travel as arrays, one per user block, to the tasks that own a pair of
     blocks; the pair sums are formed there and only results leave: per block pair the ``k`` best of
     each user, or all co-rated pairs when ``k`` is None. An item of r raters in b blocks costs r * b
-    array entries, never r * r rows, and its blocks are salted over several join tasks.
+    array entries, never r * r rows, in join keys of bounded size. ``cells`` has one row per user and item.
     """
     spark = cells.sparkSession
     base = _comparable(cells, measure)
@@ -118,29 +118,31 @@ def block_pairs(
         "pos", F.row_number().over(in_block) - 1
     )
 
-    postings = (
+    # Raters of an item in one block: at most a block of users.
+    postings = stage(
         base.join(users.select("user_id", "block", "pos"), "user_id")
         .groupBy("item_id", "block")
         .agg(F.collect_list(F.struct("pos", "val")).alias("raters"))
-        .withColumn("item_blocks", F.count("*").over(Window.partitionBy("item_id")))
-        .withColumn("salts", F.ceil(F.col("item_blocks") / BLOCKS_PER_SALT).cast("int"))
-    )
-    postings = stage(
-        postings.select("item_id", "block", "salts", F.col("raters.pos").alias("pos"), F.col("raters.val").alias("val")),
+        .select("item_id", "block", F.col("raters.pos").alias("pos"), F.col("raters.val").alias("val")),
         "postings",
     )
-    left = postings.select(
-        "item_id", F.col("block").alias("left_block"), F.pmod("block", "salts").alias("salt"),
-        F.col("pos").alias("left_pos"), F.col("val").alias("left_val"),
+    # An item in many blocks is cut into groups of blocks, and each pair of groups is a join key of its own.
+    groups = F.ceil(F.count("*") / BLOCKS_PER_GROUP).cast("int")
+    hot = postings.groupBy("item_id").agg(groups.alias("groups")).where(F.col("groups") > 1)
+    grouped = postings.join(hot, "item_id", "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
+    own_group = F.pmod("block", "groups")
+    every_group = F.explode(F.sequence(F.lit(0), F.col("groups") - 1))
+    left = grouped.select(
+        "item_id", own_group.alias("left_group"), every_group.alias("right_group"),
+        F.col("block").alias("left_block"), F.col("pos").alias("left_pos"), F.col("val").alias("left_val"),
     )
-    right = postings.select(
-        "item_id", F.col("block").alias("right_block"),
-        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
-        F.col("pos").alias("right_pos"), F.col("val").alias("right_val"),
+    right = grouped.select(
+        "item_id", every_group.alias("left_group"), own_group.alias("right_group"),
+        F.col("block").alias("right_block"), F.col("pos").alias("right_pos"), F.col("val").alias("right_val"),
     )
     id_type = base.schema["user_id"].dataType
     shared = (
-        left.join(right, ["item_id", "salt"]).where(F.col("left_block") <= F.col("right_block"))
+        left.join(right, ["item_id", "left_group", "right_group"]).where(F.col("left_block") <= F.col("right_block"))
         .select(
             "left_block", "right_block", F.lit(1).alias("part"), F.size("left_pos").alias("n_left"),
             F.concat("left_pos", "right_pos").alias("pos"), F.concat("left_val", "right_val").alias("val"),

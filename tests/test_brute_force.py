@@ -69,6 +69,15 @@ def test_neighbors(spark, which, job, block_users):
         assert got == want
 
 
+def test_hot_items_are_cut_into_groups(spark, monkeypatch):
+    cells = _skewed_cells(3)
+    df = spark.createDataFrame([(u, i, *v) for (u, i), v in cells.items()],
+                               "user_id long, item_id string, rating double, seen double")
+    want = {tuple(r) for r in similarity.cosine_matrix(df).collect()}
+    monkeypatch.setattr(similarity, "BLOCKS_PER_GROUP", 2)
+    assert {tuple(r) for r in similarity.cosine_matrix(df, block_users=4).collect()} == want
+
+
 def test_predictions(spark):
     cells = _skewed_cells(5)
     df = spark.createDataFrame([(u, i, *v) for (u, i), v in cells.items()],
@@ -87,7 +96,9 @@ def test_predictions(spark):
     got = {(r.user_id, r.item_id): r.score for r in prediction.predict_pearson(df, near).collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1.01e-4 for k in want)
-    some = prediction.predict_pearson(df, similarity.pearson_neighbors(df, [3, 9], 6), [3, 9])
+    capped = prediction.predict_pearson(df, near, k=6)
+    assert {(r.user_id, r.item_id): r.score for r in capped.collect()} == got
+    some = prediction.predict_pearson(df, similarity.pearson_neighbors(df, [3, 9], 6), [3, 9], 6)
     assert {(r.user_id, r.item_id): r.score for r in some.collect()} == {
         k: s for k, s in got.items() if k[0] in (3, 9)}
 
