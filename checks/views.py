@@ -20,7 +20,7 @@ class Views:
 
     def _sales(self) -> DataFrame:
         orders = self.table("orders").select("o_orderkey", "o_custkey")
-        lines = self.table("lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+        lines = spread(self.table("lineitem").select("l_orderkey", "l_partkey", "l_quantity"))
         return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
     def ratings(self) -> DataFrame:

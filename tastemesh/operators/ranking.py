@@ -21,3 +21,4 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int | No
     """
     numbered = ranked(df, by, order, name)
     return numbered if k is None else numbered.where(F.col(name) <= k)
+

@@ -15,8 +15,8 @@ from tastemesh.operators.ranking import top_k
 from tastemesh.sources.staging import stage
 
 # Users per block. A task holds the sums of one pair of blocks, six for Pearson and two for cosine:
-# at most 50 or 64 MB of doubles, and much less while the pairs are sparse.
-BLOCK_USERS = {"pearson": 1024, "cosine": 2048}
+# at most 113 or 64 MB of doubles, and much less while the pairs are sparse.
+BLOCK_USERS = {"pearson": 1536, "cosine": 2048}
 # Blocks of an item on each side of one join key.
 BLOCKS_PER_GROUP = 16
 
