@@ -117,7 +117,7 @@ def clean_history(v: Views) -> DataFrame:
 
 @query
 def support_counts(v: Views) -> DataFrame:
-    return H.support_counts(H.in_catalog(H.usable_history(v.history()), v.catalog()))
+    return H.support_counts(v.history(), v.catalog())
 
 
 @query
@@ -132,7 +132,7 @@ def binary_cells(v: Views) -> DataFrame:
 
 @query
 def interaction_cells(v: Views) -> DataFrame:
-    return _cells(v)
+    return _cells(v).select("user_id", "item_id", "rating", "seen")
 
 
 @query

@@ -37,19 +37,36 @@ def in_catalog(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     return rows.join(known_items(catalog), "item_id", "left_semi")
 
 
-def _supported(rows: DataFrame, key: str, n_rows: Column, min_ratings: int) -> DataFrame:
-    return rows.groupBy(key).agg(n_rows.alias("n")).where(F.col("n") >= min_ratings).select(key)
+def _row_counts(rows: DataFrame, label: str, *extra: Column) -> DataFrame:
+    """Rows per user and item, staged: raw history is combined on the map side before it is shuffled."""
+    return stage(rows.groupBy("user_id", "item_id").agg(F.count("*").alias("n"), *extra), label)
 
 
-def clean_history(history: DataFrame, catalog: DataFrame, min_ratings: int = 20) -> DataFrame:
-    """History rows of known items whose user and whose item have enough rows.
+def _per_user(counts: DataFrame, catalog: DataFrame) -> DataFrame:
+    return in_catalog(counts, catalog).groupBy("user_id").agg(F.sum("n").alias("n"))
+
+
+def _per_item(counts: DataFrame, catalog: DataFrame) -> DataFrame:
+    # Counted before the catalog is joined: one row per item meets it, however often the item occurs.
+    return in_catalog(counts.groupBy("item_id").agg(F.sum("n").alias("n")), catalog)
+
+
+def _keep_supported(rows: DataFrame, counts: DataFrame, catalog: DataFrame, min_ratings: int) -> DataFrame:
+    """Rows of known items whose user and whose item have enough rows of known items.
 
     Both counts come from the same rows and are applied once, so a kept user may end below the minimum.
     """
-    base = in_catalog(usable_history(history), catalog)
-    users = _supported(base, "user_id", F.count("*"), min_ratings)
-    items = _supported(base, "item_id", F.count("*"), min_ratings)
-    return base.join(users, "user_id", "left_semi").join(items, "item_id", "left_semi").select(base.columns)
+    enough = F.col("n") >= min_ratings
+    items = _per_item(counts, catalog).where(enough).select("item_id")
+    users = _per_user(counts, catalog).where(enough).select("user_id")
+    kept = rows.join(items, "item_id", "left_semi").join(users, "user_id", "left_semi")
+    return kept.select(rows.columns)
+
+
+def clean_history(history: DataFrame, catalog: DataFrame, min_ratings: int = 20) -> DataFrame:
+    """History rows of known items with enough rows on both sides: ``user_id, item_id[, rating]``."""
+    rows = usable_history(history)
+    return _keep_supported(rows, _row_counts(rows, "row-counts"), catalog, min_ratings)
 
 
 def rating_cells(rows: DataFrame) -> DataFrame:
@@ -65,30 +82,25 @@ def binary_cells(rows: DataFrame) -> DataFrame:
 def interaction_cells(history: DataFrame, catalog: DataFrame, min_ratings: int = 20) -> DataFrame:
     """``user_id, item_id, seen`` and, if rated, ``rating`` of the cleaned history, as a staged table.
 
-    Same cells as ``rating_cells`` and ``binary_cells`` over ``clean_history``. The rows are combined
-    per cell first, so raw history is shuffled once, already combined on the map side; support is then
-    counted and applied on cells.
+    Same cells as ``rating_cells`` and ``binary_cells`` over ``clean_history``, without going through
+    the rows again: support is counted and applied on cells.
     """
-    rows = in_catalog(usable_history(history), catalog)
+    rows = usable_history(history)
     rating = [F.sum("rating").alias("rating")] if "rating" in rows.columns else []
-    cells = stage(
-        rows.groupBy("user_id", "item_id").agg(*rating, F.count("*").cast("double").alias("seen")), "cells"
-    )
-    users = _supported(cells, "user_id", F.sum("seen"), min_ratings)
-    items = _supported(cells, "item_id", F.sum("seen"), min_ratings)
-    return stage(
-        cells.join(users, "user_id", "left_semi").join(items, "item_id", "left_semi").select(cells.columns),
-        "supported-cells",
-    )
+    counts = _row_counts(rows, "cells", *rating)
+    cells = _keep_supported(counts, counts, catalog, min_ratings)
+    return stage(cells.withColumn("seen", F.col("n").cast("double")).drop("n"), "supported-cells")
+
 
+def support_counts(history: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Rows of known items per user and per item: ``kind, key, n``."""
+    counts = _row_counts(usable_history(history), "row-counts")
 
-def support_counts(rows: DataFrame) -> DataFrame:
-    """Rows per user and per item: ``kind, key, n``."""
-    def count(kind: str, key: str) -> DataFrame:
-        return rows.groupBy(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key")).agg(
-            F.count("*").alias("n"))
+    def named(kind: str, key: str, sums: DataFrame) -> DataFrame:
+        return sums.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), "n")
 
-    return count("user", "user_id").unionByName(count("item", "item_id"))
+    return named("user", "user_id", _per_user(counts, catalog)).unionByName(
+        named("item", "item_id", _per_item(counts, catalog)))
 
 
 def dataset_summary(cells: DataFrame) -> DataFrame:
