@@ -10,16 +10,17 @@ from pyspark.sql import types as T
 
 from tastemesh.sources import schemas
 
-# A quoted field may hold commas, doubled quotes and line breaks.
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
+# A quoted field may hold commas and doubled quotes.
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"'}
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, line_breaks: bool = False) -> DataFrame:
+    """CSV with a header. ``line_breaks`` in quoted fields cost the splitting of large files."""
+    return spark.read.options(**CSV_OPTIONS, multiLine=line_breaks).schema(schema).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).options(header="true", quote='"', escape='"').csv(path)
+    df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -28,7 +29,7 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     as_text = T.StructType(
         [T.StructField(f.name, T.StringType() if f.name in lists else f.dataType) for f in schemas.CATALOG]
     )
-    df = read_csv(spark, path, as_text)
+    df = read_csv(spark, path, as_text, line_breaks=True)
     for name in sorted(lists):
         df = df.withColumn(name, F.from_json(name, T.ArrayType(T.StringType())))
     return df.select(*schemas.CATALOG.names)
