@@ -62,10 +62,10 @@ dots as (select a.user_id, b.user_id as other_id, count(*) as n_common, sum(a.se
     from cells a join cells b on a.item_id = b.item_id and a.user_id <> b.user_id where true {one} group by 1, 2),
 cosine as (select d.user_id, other_id, {_q('dot / sqrt(x.norm * y.norm)', 12)} as sim, n_common
     from dots d join norms x on x.user_id = d.user_id join norms y on y.user_id = d.other_id),
-pearson_nb as (select * from (select *, row_number() over (partition by user_id order by abs(sim) desc, other_id)
-    as rank from pearson) {cut}),
-cosine_nb as (select * from (select *, row_number() over (partition by user_id order by sim desc, other_id)
-    as rank from cosine) {cut}),
+pearson_nb as (select * from (select *,
+    cast(row_number() over (partition by user_id order by abs(sim) desc, other_id) as int) as rank from pearson) {cut}),
+cosine_nb as (select * from (select *,
+    cast(row_number() over (partition by user_id order by sim desc, other_id) as int) as rank from cosine) {cut}),
 pearson_sums as (select nb.user_id, c.item_id,
         sum(cast(floor(sim * (c.rating - m.mean) * 1e10 + 0.5) as bigint)) as num,
         sum(cast(floor(abs(sim) * 1e10 + 0.5) as bigint)) as den
@@ -93,7 +93,7 @@ def _scores(which: str, digits: int, clipped: bool) -> str:
 
 
 def _ranked(which: str, digits: int = 4, clipped: bool = True) -> str:
-    return f"""select *, row_number() over (partition by user_id order by score desc, item_id) as rank
+    return f"""select *, cast(row_number() over (partition by user_id order by score desc, item_id) as int) as rank
         from ({_scores(which, digits, clipped)})"""
 
 
@@ -136,7 +136,8 @@ _ITEM_TEXT = """item_texts as (select id as item_id, trim(coalesce(plot, '') ||
 
 CONTENT = VIEWS + "," + _ITEM_TEXT + "," + _vectors("item_texts") + f""",
 matches as (select u.user_id, f.id as item_id from usable u join firsts f on f.tmdb_id = u.item_id),
-profile as (select user_id, term, sum(cast(floor(weight * 1e8 + 0.5) as bigint)) / 1e8 / any_value(n) as weight from matches join vectors using (item_id)
+profile as (select user_id, term, sum(cast(floor(weight * 1e8 + 0.5) as bigint)) / 1e8 / any_value(n) as weight
+    from matches join vectors using (item_id)
     join (select user_id, count(*) as n from matches group by 1) using (user_id) group by 1, 2),
 item_norm as (select item_id, sqrt(sum(weight * weight)) as inorm from vectors group by 1),
 user_norm as (select user_id, sqrt(sum(weight * weight)) as unorm from profile group by 1),
@@ -154,8 +155,8 @@ table_all as (select u.user_id, m.id as item_id, m.title, s.user_id is not null
 
 def _content_recs(where: str, top_k: int) -> str:
     return f"""with {CONTENT} select user_id, rank, title, tmdb_id, imdb_id, {_q('score', 4)} as score, item_id from (
-        select t.*, c.tmdb_id, c.imdb_id, row_number() over (partition by user_id
-            order by score desc, t.title nulls last, item_id) as rank
+        select t.*, c.tmdb_id, c.imdb_id, cast(row_number() over (partition by user_id
+            order by score desc, t.title nulls last, item_id) as int) as rank
         from table_all t join catalog c on c.id = t.item_id where not seen and {where}) where rank <= {top_k}"""
 
 
@@ -224,7 +225,7 @@ ORACLE: dict[str, str] = {
             full join (select distinct user_id, tmdb_id from c) b
             on a.user_id = b.user_id and a.tmdb_id = b.tmdb_id) group by 1""",
     "user_history": f"""with {VIEWS} select * from (select user_id, f.title, f.tmdb_id, f.imdb_id, f.id as item_id,
-        row_number() over (partition by user_id order by f.title nulls last, f.id) as rank
+        cast(row_number() over (partition by user_id order by f.title nulls last, f.id) as int) as rank
         from usable u join firsts f on f.tmdb_id = u.item_id) where rank <= 10""",
     "user_history_rated": f"""with {VIEWS} select user_id, f.title, f.tmdb_id, rating
         from cells join firsts f on f.tmdb_id = item_id""",
@@ -239,13 +240,14 @@ ORACLE: dict[str, str] = {
     "tfidf_vocab": f"with {_TEXTS} {_vectors('texts')} select term, total, df from vocab",
     "tfidf_vectors": f"with {_TEXTS} {_vectors('texts')} {_VECTOR_ROWS}",
     "top_terms": f"""with {_TEXTS} {_vectors('texts')} select item_id, term, {_q('weight', 6)} as weight, rank from (
-        select *, row_number() over (partition by item_id order by weight desc, term) as rank from vectors)
+        select *, cast(row_number() over (partition by item_id order by weight desc, term) as int) as rank from vectors)
         where rank <= 5""",
     "vector_stats": f"""with {_TEXTS} {_vectors('texts')} select item_id, count(*) as non_zero,
         {_q('sum(cast(floor(weight * 1e8 + 0.5) as bigint)) / 1e8', 4)} as weight_sum from vectors group by 1""",
     "content_profile": f"with {CONTENT} select user_id, term, {_q('weight', 6)} as weight from profile",
     "content_score_all": f"""with {CONTENT} select user_id, item_id, {_q('score', 4)} as score,
-        row_number() over (partition by user_id order by score desc nulls last, title nulls last, item_id) as rank
+        cast(row_number() over (partition by user_id order by score desc nulls last, title nulls last, item_id) as int)
+        as rank
         from table_all""",
     "rec_content": _content_recs("user_id = 10", 20),
     "rec_content_batch": _content_recs("score > 0", 10),

@@ -69,10 +69,12 @@ class Views:
         return self.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"))
 
     def movie_genre(self) -> DataFrame:
-        return self.table("lineitem").select(F.col("l_partkey").alias("movie_id"), F.col("l_suppkey").alias("genre_id"))
+        return self.table("lineitem").select(
+            F.col("l_partkey").alias("movie_id"), F.col("l_suppkey").alias("genre_id"))
 
     def movie_theme(self) -> DataFrame:
-        return self.table("lineitem").select(F.col("l_partkey").alias("movie_id"), F.col("l_orderkey").alias("theme_id"))
+        return self.table("lineitem").select(
+            F.col("l_partkey").alias("movie_id"), F.col("l_orderkey").alias("theme_id"))
 
     def history(self) -> DataFrame:
         return export_history(self.ratings(), self.links(), include_rating=True)
