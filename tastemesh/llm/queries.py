@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tastemesh.llm.decontaminate import contamination
 from tastemesh.llm.jaccard_join import classes
+from tastemesh.llm.pii import BASE_KINDS, span_text, spans
+from tastemesh.llm.quality import quality
 from tastemesh.llm.substrings import remove_repeats
 from tastemesh.llm.tables import read
 
@@ -21,6 +23,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule measures of each document and whether it is kept under its host's verdict."""
+    return quality(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "verdict")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the words of passages seen earlier."""
     kept = remove_repeats(read(spark, sf_dir, "documents"))
@@ -32,7 +40,21 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and places of personal data in each document."""
+    found = spans(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def of_kind(kind: str):
+        return lambda s: s["base"] & (s["kind"] == kind)
+
+    return found.select(
+        "doc_id",
+        *(F.size(F.filter("spans", of_kind(k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS),
+        F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op6_substring_dedup, op8_jaccard_join)
+    f.__name__: f for f in (op1_decontamination, op2_quality_rules, op6_substring_dedup, op8_jaccard_join, op10_pii)
 }
 ORACLE: dict[str, str] = {}
