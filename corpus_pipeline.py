@@ -1,4 +1,8 @@
-"""The corpus pipeline: each stage works on what the one before kept, written and read again in between."""
+"""The corpus pipeline: each stage works on what the one before kept, written and read again in between.
+
+Documents are followed by ``doc_id``: rows without one go in the first stage, and of repeated rows of one
+``doc_id`` a single one is left after the second. Columns besides those of ``documents`` are not carried.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +13,50 @@ from pyspark.sql import functions as F
 
 from tastemesh.llm.decontaminate import contamination
 from tastemesh.llm.jaccard_join import classes
+from tastemesh.llm.mixing import mix
+from tastemesh.llm.pii import redact
+from tastemesh.llm.quality import quality
 from tastemesh.llm.tables import read
 from tastemesh.sources.staging import stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules, or go with their host, leave."""
+    kept = quality(docs).where("kept").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of similar ones stays: the one whose ``doc_id`` names the class."""
     first = classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
     clean = contamination(docs, read(spark, sf_dir, "benchmark")).where("NOT contaminated").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(clean, "doc_id", "left_semi")
+    return docs.select(*COLUMNS).join(clean, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; personal data in them is replaced by its kind, and ``n_chars`` follows the text."""
+    return redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each copy that the mix takes, numbered by ``copy``."""
+    copies = mix(docs).where("copies > 0").select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    return docs.select(*COLUMNS).join(copies, "doc_id").select(*COLUMNS, "copy")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality_rules),
     ("near duplicates", near_duplicates),
     ("decontamination", decontamination),
+    ("personal data", personal_data),
+    ("source mix", source_mix),
 ]
 
 

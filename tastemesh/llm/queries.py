@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tastemesh.llm.decontaminate import contamination
 from tastemesh.llm.jaccard_join import classes
+from tastemesh.llm.mixing import mix
 from tastemesh.llm.pii import BASE_KINDS, span_text, spans
 from tastemesh.llm.quality import quality
 from tastemesh.llm.substrings import remove_repeats
@@ -40,6 +41,11 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and places of personal data in each document."""
     found = spans(read(spark, sf_dir, "documents"))
@@ -55,6 +61,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_quality_rules, op6_substring_dedup, op8_jaccard_join, op10_pii)
+    f.__name__: f for f in (op1_decontamination, op2_quality_rules, op6_substring_dedup, op8_jaccard_join, op9_mixing, op10_pii)
 }
 ORACLE: dict[str, str] = {}
