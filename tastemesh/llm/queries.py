@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastemesh.llm.decontaminate import contamination
+from tastemesh.llm.html_text import extract
 from tastemesh.llm.jaccard_join import classes
 from tastemesh.llm.mixing import mix
 from tastemesh.llm.pii import BASE_KINDS, span_text, spans
 from tastemesh.llm.quality import quality
 from tastemesh.llm.substrings import remove_repeats
 from tastemesh.llm.tables import read
+from tastemesh.llm.url_filter import judge
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,12 +32,22 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "verdict")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page."""
+    return extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the words of passages seen earlier."""
     kept = remove_repeats(read(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on each page's url."""
+    return judge(read(spark, sf_dir, "pages")).drop("url")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of each document under links of similar shingle sets."""
     return classes(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
@@ -61,6 +73,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_quality_rules, op6_substring_dedup, op8_jaccard_join, op9_mixing, op10_pii)
+    f.__name__: f for f in (op1_decontamination, op2_quality_rules, op5_html_extraction, op6_substring_dedup, op7_url_filters, op8_jaccard_join, op9_mixing, op10_pii)
 }
 ORACLE: dict[str, str] = {}
