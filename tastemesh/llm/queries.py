@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tastemesh.llm.decontaminate import contamination
 from tastemesh.llm.html_text import extract
 from tastemesh.llm.jaccard_join import classes
+from tastemesh.llm.lang_id import identify
+from tastemesh.llm.licences import by_document
 from tastemesh.llm.mixing import mix
 from tastemesh.llm.pii import BASE_KINDS, span_text, spans
 from tastemesh.llm.quality import quality
@@ -32,6 +34,16 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "verdict")
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families confirmed in each document."""
+    return by_document(read(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document."""
+    return identify(read(spark, sf_dir, "documents"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of each page."""
     return extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
@@ -73,6 +85,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_quality_rules, op5_html_extraction, op6_substring_dedup, op7_url_filters, op8_jaccard_join, op9_mixing, op10_pii)
+    f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_licences, op4_language_id, op5_html_extraction, op6_substring_dedup, op7_url_filters, op8_jaccard_join, op9_mixing, op10_pii)
 }
 ORACLE: dict[str, str] = {}
