@@ -113,6 +113,9 @@ class Model:
     def __init__(self, labels: list[str], idf: np.ndarray, weights: np.ndarray, temperature: float):
         self.labels, self.idf, self.weights, self.temperature = labels, idf, weights, temperature
 
+    def parts(self) -> tuple:
+        return self.labels, self.idf, self.weights, self.temperature
+
     def logits(self, text: str) -> np.ndarray:
         features, values = vector(text, self.idf)
         return values @ self.weights[features]
@@ -156,13 +159,13 @@ def train(documents: DataFrame) -> Model | None:
     for row in learned.groupBy("feature", "label").agg(F.sum("weight").alias("weight")).collect():
         weights[row.feature, row.label] = row.weight / max(1, total)
     model = Model(labels, idf, weights, 1.0)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model.parts())
     doubt = 1 / (CALIBRATION_DOCS + 2)  # no sample proves more certainty than its size allows
 
     def losses(batches: Batches) -> Batches:
-        loss = np.zeros(len(_TEMPERATURES))
+        loss, model = np.zeros(len(_TEMPERATURES)), Model(*shared.value)
         for piece, row, text in _texts(batches):
-            scaled = shared.value.logits(text) / _TEMPERATURES[:, None]
+            scaled = model.logits(text) / _TEMPERATURES[:, None]
             right = softmax(scaled)[:, numbers[piece.column("lang")[row].as_py()]]
             loss -= (1 - doubt) * np.log(right + 1e-300) + doubt * np.log(1 - right + 1e-300)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(loss), dtype=np.int32)), pa.array(loss)], ["step", "loss"])
@@ -175,10 +178,10 @@ def train(documents: DataFrame) -> Model | None:
 
 def predict(documents: DataFrame, model: Model | None) -> DataFrame:
     """``doc_id``, ``held_out``, ``lang_pred`` and ``score``."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = documents.sparkSession.sparkContext.broadcast(model and model.parts())
 
     def work(batches: Batches) -> Batches:
-        model = shared.value
+        model = Model(*shared.value) if shared.value else None
         for batch in batches:
             for piece in chunks(batch):
                 found, scores = [], []
