@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Similarities are kept to 12 decimals, products summed in units of 1e-10, term weights kept to 8.
+# Similarities are kept to 12 decimals, term weights to 8; ratings are compared in units of 1e-4.
 SIM_DIGITS = 12
-TERM_DIGITS = 10
 WEIGHT_DIGITS = 8
+RATING_DIGITS = 4
 
 
 def clip(col: Column, low: float, high: float) -> Column:
@@ -26,11 +26,19 @@ def quantize(col: Column, digits: int) -> Column:
     return F.floor(col * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
 
 
-def scaled(col: Column, digits: int = TERM_DIGITS) -> Column:
+def scaled(col: Column, digits: int) -> Column:
     """Fixed-point bigint of a double, so that a sum is exact in any order."""
     return F.floor(col * F.lit(float(10**digits)) + F.lit(0.5)).cast("bigint")
 
 
-def unscaled(col: Column, digits: int = TERM_DIGITS) -> Column:
+def unscaled(col: Column, digits: int) -> Column:
     """The double behind a fixed-point bigint."""
     return col.cast("double") / F.lit(float(10**digits))
+
+
+def exact_sum(col: Column) -> Column:
+    """Sum of doubles to 18 decimals that is the same in any order: two sums of bigints, the upper and lower nine."""
+    unit = F.lit(1e9)
+    high = F.floor(col * unit).cast("bigint")
+    low = F.floor((col * unit - high.cast("double")) * unit + F.lit(0.5)).cast("bigint")
+    return (F.sum(high).cast("double") + F.sum(low).cast("double") / unit) / unit

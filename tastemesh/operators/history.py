@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tastemesh.functions.ids import normalize_id, pad_imdb_id
-from tastemesh.functions.numeric import clip
+from tastemesh.functions.numeric import clip, scaled, unscaled
 from tastemesh.sources.staging import stage
 
 
@@ -69,9 +69,17 @@ def clean_history(history: DataFrame, catalog: DataFrame, min_ratings: int = 20)
     return _keep_supported(rows, _row_counts(rows, "row-counts"), catalog, min_ratings)
 
 
+# Ratings of one cell are added up to this many decimals, the same in any order.
+CELL_DIGITS = 9
+
+
+def _total_rating() -> Column:
+    return unscaled(F.sum(scaled(F.col("rating"), CELL_DIGITS)), CELL_DIGITS).alias("rating")
+
+
 def rating_cells(rows: DataFrame) -> DataFrame:
     """One row per user and item; repeated ratings of a cell are added up."""
-    return rows.groupBy("user_id", "item_id").agg(F.sum("rating").alias("rating"))
+    return rows.groupBy("user_id", "item_id").agg(_total_rating())
 
 
 def binary_cells(rows: DataFrame) -> DataFrame:
@@ -80,16 +88,16 @@ def binary_cells(rows: DataFrame) -> DataFrame:
 
 
 def interaction_cells(history: DataFrame, catalog: DataFrame, min_ratings: int = 20) -> DataFrame:
-    """``user_id, item_id, seen`` and, if rated, ``rating`` of the cleaned history, as a staged table.
+    """``user_id, item_id, seen`` and, if rated, ``rating`` of the cleaned history.
 
     Same cells as ``rating_cells`` and ``binary_cells`` over ``clean_history``, without going through
-    the rows again: support is counted and applied on cells.
+    the rows again: support is counted and applied on cells. Stage the result where several branches read it.
     """
     rows = usable_history(history)
-    rating = [F.sum("rating").alias("rating")] if "rating" in rows.columns else []
+    rating = [_total_rating()] if "rating" in rows.columns else []
     counts = _row_counts(rows, "cells", *rating)
     cells = _keep_supported(counts, counts, catalog, min_ratings)
-    return stage(cells.withColumn("seen", F.col("n").cast("double")).drop("n"), "supported-cells")
+    return cells.withColumn("seen", F.col("n").cast("double")).drop("n")
 
 
 def support_counts(history: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -138,44 +138,29 @@ class _BlockPair:
             ones = np.ones(len(x))
             self.sums.add(index, [ones, x * y, x, y, x * x, y * y] if self.pearson else [ones, x * y])
 
-    def _totals(self, dense: bool) -> tuple[np.ndarray, list[np.ndarray]]:
-        index, sums = self.sums.result()
-        if not dense:
-            return index, sums
-        every = np.arange(self.sums.size)
-        if self.same:
-            every = every[every // self.width < every % self.width]
-        slots = np.searchsorted(every, index)
-        spread = [np.zeros(len(every)) for _ in sums]
-        for wide, column in zip(spread, sums):
-            wide[slots] = column
-        return every, spread
-
-    def result(self, k: int | None, dense: bool, digits: int) -> pa.RecordBatch:
-        index, s = self._totals(dense)
+    def result(self, k: int, digits: int) -> pa.RecordBatch:
+        index, s = self.sums.result()
         u, v = index // self.width, index % self.width
         n, xy = s[0], s[1]
         if self.pearson:
             x, y, xx, yy = s[2:]
             vx, vy = n * xx - x * x, n * yy - y * y
             defined = (n >= 2) & (vx > 0) & (vy > 0)
-            sim = _quantize((n * xy - x * y) / np.sqrt(np.where(defined, vx * vy, 1.0)), digits)
+            ratio = (n * xy - x * y) / np.sqrt(np.where(defined, vx * vy, 1.0))
+            sim = _quantize(np.clip(ratio, -1.0, 1.0), digits)
         else:
             defined = np.ones(len(n), dtype=bool)
             sim = _quantize(xy / np.sqrt(self.norms[0][u] * self.norms[1][v]), digits)
-        if k is None:
-            forward = backward = np.arange(len(u))
-        else:
-            u, v, n, sim, defined = (a[defined] for a in (u, v, n, sim, defined))
-            strength = np.abs(sim) if self.pearson else sim
-            forward, backward = _best(u, v, strength, k), _best(v, u, strength, k)
+        u, v, n, sim = (a[defined] for a in (u, v, n, sim))
+        strength = np.abs(sim) if self.pearson else sim
+        forward, backward = _best(u, v, strength, k), _best(v, u, strength, k)
         both = np.r_[forward, backward]
         left, right = self.ids
         return pa.RecordBatch.from_arrays(
             [
                 pa.concat_arrays([left.take(pa.array(u[forward])), right.take(pa.array(v[backward]))]),
                 pa.concat_arrays([right.take(pa.array(v[forward])), left.take(pa.array(u[backward]))]),
-                pa.array(sim[both], mask=~defined[both]),
+                pa.array(sim[both]),
                 pa.array(n[both].astype(np.int64)),
             ],
             names=["user_id", "other_id", "sim", "n_common"],
@@ -183,13 +168,12 @@ class _BlockPair:
 
 
 def pair_similarity(
-    measure: str, k: int | None, dense: bool, digits: int
+    measure: str, k: int, digits: int
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Task function over rows sorted by ``(left_block, right_block, part)``.
 
     The row of ``part`` 0 gives the ids and squared norms of both blocks, those of ``part`` 1 the cells
-    of one item in both, left ones first. Yields both directions of each pair of users: the ``k`` best
-    per user of the block pair, or every co-rated pair (every pair at all when ``dense``).
+    of one item in both, left ones first. Yields the ``k`` best of each user of the block pair.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,14 +181,14 @@ def pair_similarity(
         for batch in batches:
             for (left, right, part), start, end in _runs(batch, ["left_block", "right_block", "part"]):
                 if (left, right) != key and state:
-                    yield state.result(k, dense, digits)
+                    yield state.result(k, digits)
                 key, rows = (left, right), batch.slice(start, end - start)
                 if part == 0:
                     state = _BlockPair(rows, left == right, measure)
                 else:
                     state.add(rows)
         if state:
-            yield state.result(k, dense, digits)
+            yield state.result(k, digits)
 
     return run
 
@@ -238,13 +222,14 @@ class _ScoreBlock:
                 self._score(row, col, val)
 
     def _open(self) -> None:
-        """The users' profiles as a dense term by user matrix."""
+        """The users' profiles as a dense matrix of their terms, sorted by hash, and users."""
         if self.by_term is not None:
             return
         self.n_users = sum(len(u) for u in self.users)
         row, col, val = (np.concatenate(c) for c in zip(*self.profiles))
-        self.by_term = np.zeros((int(col.max()) + 1 if len(col) else 0, self.n_users))
-        self.by_term[col, row] = val
+        self.terms, at = np.unique(col, return_inverse=True)
+        self.by_term = np.zeros((len(self.terms), self.n_users))
+        self.by_term[at, row] = val
         self.user_norms = np.sqrt((self.by_term**2).sum(axis=0))
 
     def _score(self, item: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
@@ -260,9 +245,10 @@ class _ScoreBlock:
             at = starts[first:last] - starts[first]
             t, w = term[part], weight[part]
             norms = np.sqrt(np.add.reduceat(w * w, at))
-            # Terms beyond the profiles' last one are in no profile and add nothing.
-            known = t < len(self.by_term)
-            rows = self.by_term[np.where(known, t, 0)] if len(self.by_term) else np.zeros((len(t), self.n_users))
+            # Terms that are in no profile add nothing.
+            place = np.minimum(np.searchsorted(self.terms, t), max(0, len(self.terms) - 1))
+            known = self.terms[place] == t if len(self.terms) else np.zeros(len(t), dtype=bool)
+            rows = self.by_term[place] if len(self.terms) else np.zeros((len(t), self.n_users))
             rows *= np.where(known, w, 0.0)[:, None]
             dots = np.add.reduceat(rows, at, axis=0)
             scale = norms[:, None] * self.user_norms[None, :]
@@ -270,7 +256,7 @@ class _ScoreBlock:
             self.scored.append((item[starts[first:last]], dots))
             first = last
 
-    def result(self, k: int | None, include_zero: bool, keep_seen: bool, digits: int) -> pa.RecordBatch | None:
+    def result(self, k: int, include_zero: bool, digits: int) -> pa.RecordBatch | None:
         if not self.users or not self.items:
             return None
         users, items = pa.concat_arrays(self.users), pa.concat_arrays(self.items)
@@ -282,27 +268,27 @@ class _ScoreBlock:
         for row, col in self.seen_pairs:
             seen[row, col] = True
         wanted = ~seen if include_zero else ~seen & (scores > 0)
-        if k is not None and len(items) > k:
+        if len(items) > k:
             cost = np.where(wanted, -scores, np.inf)
             limit = np.partition(cost, k - 1, axis=1)[:, k - 1 : k]
             better, equal = cost < limit, cost == limit
             room = k - better.sum(axis=1, keepdims=True)
             wanted &= better | (equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= room))
-        u, i = np.nonzero(wanted | seen if keep_seen else wanted)
+        u, i = np.nonzero(wanted)
         return pa.RecordBatch.from_arrays(
-            [users.take(pa.array(u)), items.take(pa.array(i)), pa.array(scores[u, i], mask=seen[u, i])],
+            [users.take(pa.array(u)), items.take(pa.array(i)), pa.array(scores[u, i])],
             names=["user_id", "item_id", "score"],
         )
 
 
 def profile_scores(
-    k: int | None, include_zero: bool, keep_seen: bool, digits: int
+    k: int, include_zero: bool, digits: int
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Task function over rows sorted by ``(user_block, item_block, part, row)``.
 
     Part 0 has the users of the block with their profiles, part 1 the items with their vectors, part 2
-    the seen pairs. Yields ``user_id, item_id, score`` of unseen pairs, the ``k`` best per user of the
-    block pair when ``k`` is given.
+    the seen pairs. Yields ``user_id, item_id, score`` of the ``k`` best unseen items per user of the
+    block pair.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,11 +296,11 @@ def profile_scores(
         for batch in batches:
             for (users, items, part), start, end in _runs(batch, ["user_block", "item_block", "part"]):
                 if (users, items) != key:
-                    if state and (out := state.result(k, include_zero, keep_seen, digits)):
+                    if state and (out := state.result(k, include_zero, digits)):
                         yield out
                     key, state = (users, items), _ScoreBlock()
                 state.add(part, batch.slice(start, end - start))
-        if state and (out := state.result(k, include_zero, keep_seen, digits)):
+        if state and (out := state.result(k, include_zero, digits)):
             yield out
 
     return run

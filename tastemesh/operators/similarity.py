@@ -1,4 +1,4 @@
-"""User-user similarity: neighbours of some users, neighbours of all users, the whole matrix."""
+"""User-user similarity: neighbours of some users or of all, rows of the similarity matrix for some."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tastemesh.functions.numeric import SIM_DIGITS, quantize
+from tastemesh.functions.numeric import RATING_DIGITS, SIM_DIGITS, quantize
 from tastemesh.operators import kernels
 from tastemesh.operators.history import for_users
 from tastemesh.operators.ranking import top_k
@@ -19,14 +19,22 @@ from tastemesh.sources.staging import stage
 BLOCK_USERS = {"pearson": 1536, "cosine": 2048}
 # Blocks of an item on each side of one join key.
 BLOCKS_PER_GROUP = 16
+# Pairs of blocks that a task works through at most, one at a time.
+PAIRS_PER_TASK = 8
 
 VALUE = {"pearson": "rating", "cosine": "seen"}
 
 
 def _comparable(cells: DataFrame, measure: str) -> DataFrame:
-    """``user_id, item_id, val``: what two users are compared on; zeros are not co-ratings."""
+    """``user_id, item_id, val``: what two users are compared on; zeros are not co-ratings.
+
+    Ratings become whole numbers of 1e-4. A correlation is the same in any unit, and moments of whole
+    numbers are exact in doubles: equal in any order of addition, and with no variance exactly where
+    all ratings are equal.
+    """
     value = F.col(VALUE[measure])
-    return cells.where(value > 0).select("user_id", "item_id", value.cast("double").alias("val"))
+    val = F.floor(value * float(10**RATING_DIGITS) + 0.5) if measure == "pearson" else value
+    return cells.where(value > 0).select("user_id", "item_id", val.cast("double").alias("val"))
 
 
 def squared_norms(cells: DataFrame) -> DataFrame:
@@ -51,21 +59,29 @@ def pearson_neighbors(
 def cosine_neighbors(
     cells: DataFrame, users: Sequence | DataFrame | None = None, k: int | None = 50, block_users: int | None = None
 ) -> DataFrame:
-    """The ``k`` users with the highest cosine of what they have seen; zero cosines are left out."""
+    """The ``k`` users with the highest cosine of what they have seen.
+
+    By definition a neighbour has something in common: zero cosines, which add nothing to a prediction,
+    do not fill up the list.
+    """
     return _neighbors(cells, "cosine", users, k, block_users)
 
 
 def _neighbors(cells, measure, users, k, block_users) -> DataFrame:
     if users is None:
-        pairs = block_pairs(cells, measure, k=k, block_users=block_users).where(F.col("sim").isNotNull())
+        if k is None:
+            raise ValueError("neighbours of all users need a limit k")
+        pairs = block_pairs(cells, measure, k, block_users)
     else:
         pairs = _pairs_of(cells, measure, users)
     return top_k(pairs, ["user_id"], [_strength(measure).desc(), F.col("other_id")], k)
 
 
-def _pairs_of(cells: DataFrame, measure: str, users: Sequence | DataFrame) -> DataFrame:
+def _pairs_of(cells: DataFrame, measure: str, users: Sequence | DataFrame, undefined: bool = False) -> DataFrame:
     """Similarities of the given users with everyone: linear in the cells of their items.
 
+    Pairs whose correlation is not defined are left out, or NULL with ``undefined``.
+
     The targets' cells are few as a rule and are then broadcast at run time; otherwise both sides
     shuffle on the item and AQE splits the hot ones.
     """
@@ -81,12 +97,11 @@ def _pairs_of(cells: DataFrame, measure: str, users: Sequence | DataFrame) -> Da
         )
         vx = F.expr("n_common * sxx - sx * sx")
         vy = F.expr("n_common * syy - sy * sy")
-        return (
-            s.withColumns({"vx": vx, "vy": vy})
-            .where((F.col("n_common") >= 2) & (F.col("vx") > 0) & (F.col("vy") > 0))
-            .withColumn("sim", quantize(F.expr("(n_common * sxy - sx * sy) / sqrt(vx * vy)"), SIM_DIGITS))
-            .select("user_id", "other_id", "sim", "n_common")
-        )
+        ratio = F.expr("greatest(-1D, least(1D, (n_common * sxy - sx * sy) / sqrt(vx * vy)))")
+        defined = (F.col("n_common") >= 2) & (F.col("vx") > 0) & (F.col("vy") > 0)
+        sims = s.withColumns({"vx": vx, "vy": vy}).select(
+            "user_id", "other_id", F.when(defined, quantize(ratio, SIM_DIGITS)).alias("sim"), "n_common")
+        return sims if undefined else sims.where(F.col("sim").isNotNull())
     norms = squared_norms(base)
     mine_norm = for_users(norms, users).withColumnRenamed("norm", "nx")
     other_norm = norms.select(F.col("user_id").alias("other_id"), F.col("norm").alias("ny"))
@@ -99,14 +114,13 @@ def _pairs_of(cells: DataFrame, measure: str, users: Sequence | DataFrame) -> Da
 
 
 def block_pairs(
-    cells: DataFrame, measure: str, k: int | None = None, dense: bool = False, block_users: int | None = None
+    cells: DataFrame, measure: str, k: int, block_users: int | None = None
 ) -> DataFrame:
-    """Similarities between all users, both directions of each pair, without the user itself.
+    """Similarities between all users: per block pair the ``k`` best of each user, without the user itself.
 
     A co-rating self-join would emit every pair of raters of an item, a square of the hottest one.
     Here the raters of an item travel as arrays, one per user block, to the tasks that own a pair of
-    blocks; the pair sums are formed there and only results leave: per block pair the ``k`` best of
-    each user, or all co-rated pairs when ``k`` is None. An item of r raters in b blocks costs r * b
+    blocks; the pair sums are formed there and only the best leave. An item of r raters in b blocks costs r * b
     array entries, never r * r rows, in join keys of bounded size. ``cells`` has one row per user and item.
     """
     spark = cells.sparkSession
@@ -160,12 +174,13 @@ def block_pairs(
         .join(members.select(F.col("block").alias("right_block"), F.col("m").alias("rm")), "right_block")
         .select(
             "left_block", "right_block", F.lit(0).alias("part"), F.size(lm).alias("n_left"),
-            F.concat(lm.pos, rm.pos).alias("pos"), F.concat(lm.norm, rm.norm).alias("val"),
+            F.array().cast("array<int>").alias("pos"), F.concat(lm.norm, rm.norm).alias("val"),
             F.concat(lm.user_id, rm.user_id).alias("ids"),
         )
     )
     # Work grows with pairs of cells, not with bytes, so the tasks are counted here and not by AQE.
-    tasks = min(n_blocks * (n_blocks + 1) // 2, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pairs = n_blocks * (n_blocks + 1) // 2
+    tasks = max(min(pairs, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-pairs // PAIRS_PER_TASK))
     out = T.StructType([
         T.StructField("user_id", id_type), T.StructField("other_id", id_type),
         T.StructField("sim", T.DoubleType()), T.StructField("n_common", T.LongType()),
@@ -176,30 +191,29 @@ def block_pairs(
         headers.unionByName(shared)
         .repartitionById(tasks, F.pmod(pair, F.lit(tasks)).cast("int"))
         .sortWithinPartitions("left_block", "right_block", "part")
-        .mapInArrow(kernels.pair_similarity(measure, k, dense, SIM_DIGITS), out)
+        .mapInArrow(kernels.pair_similarity(measure, k, SIM_DIGITS), out)
     )
 
 
-def _matrix(cells: DataFrame, measure: str, dense: bool, block_users: int) -> DataFrame:
-    pairs = block_pairs(cells, measure, dense=dense, block_users=block_users)
+def _matrix(cells: DataFrame, measure: str, users: Sequence | DataFrame) -> DataFrame:
     own = F.count_if(F.col(VALUE[measure]) > 0).alias("n_common")
-    diagonal = cells.groupBy("user_id").agg(own).select(
+    diagonal = for_users(cells, users).groupBy("user_id").agg(own).select(
         "user_id", F.col("user_id").alias("other_id"), F.lit(1.0).alias("sim"), "n_common"
     )
-    return pairs.unionByName(diagonal)
+    return _pairs_of(cells, measure, users, undefined=True).unionByName(diagonal)
 
 
-def pearson_matrix(cells: DataFrame, dense: bool = False, block_users: int | None = None) -> DataFrame:
-    """Pearson of all user pairs with a common item, both directions, and 1 on the diagonal.
+def pearson_matrix(cells: DataFrame, users: Sequence | DataFrame) -> DataFrame:
+    """Rows of the Pearson matrix: the given users with everyone they share an item with, and themselves (1).
 
-    NULL where it is undefined. ``dense`` adds the pairs without a common item, NULL too.
+    NULL where the correlation is undefined.
     """
-    return _matrix(cells, "pearson", dense, block_users)
+    return _matrix(cells, "pearson", users)
 
 
-def cosine_matrix(cells: DataFrame, dense: bool = False, block_users: int | None = None) -> DataFrame:
-    """Cosine of all user pairs with a common item, both directions, and 1 on the diagonal.
+def cosine_matrix(cells: DataFrame, users: Sequence | DataFrame) -> DataFrame:
+    """Rows of the cosine matrix: the given users with everyone they share an item with, and themselves (1).
 
-    ``dense`` adds the pairs without a common item, with 0.
+    Pairs without a common item, all 0, are not listed.
     """
-    return _matrix(cells, "cosine", dense, block_users)
+    return _matrix(cells, "cosine", users)

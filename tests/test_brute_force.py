@@ -73,9 +73,9 @@ def test_hot_items_are_cut_into_groups(spark, monkeypatch):
     cells = _skewed_cells(3)
     df = spark.createDataFrame([(u, i, *v) for (u, i), v in cells.items()],
                                "user_id long, item_id string, rating double, seen double")
-    want = {tuple(r) for r in similarity.cosine_matrix(df).collect()}
+    want = {tuple(r) for r in similarity.cosine_neighbors(df, k=9).collect()}
     monkeypatch.setattr(similarity, "BLOCKS_PER_GROUP", 2)
-    assert {tuple(r) for r in similarity.cosine_matrix(df, block_users=4).collect()} == want
+    assert {tuple(r) for r in similarity.cosine_neighbors(df, k=9, block_users=4).collect()} == want
 
 
 def test_predictions(spark):
@@ -96,13 +96,88 @@ def test_predictions(spark):
     got = {(r.user_id, r.item_id): r.score for r in prediction.predict_pearson(df, near).collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1.01e-4 for k in want)
-    capped = prediction.predict_pearson(df, near, k=6)
-    assert {(r.user_id, r.item_id): r.score for r in capped.collect()} == got
-    some = prediction.predict_pearson(df, similarity.pearson_neighbors(df, [3, 9], 6), [3, 9], 6)
+    some = prediction.predict_pearson(df, similarity.pearson_neighbors(df, [3, 9], 6), [3, 9])
     assert {(r.user_id, r.item_id): r.score for r in some.collect()} == {
         k: s for k, s in got.items() if k[0] in (3, 9)}
 
 
+def _cells_frame(spark, cells):
+    return spark.createDataFrame([(u, i, r, 1.0) for (u, i), r in cells.items()],
+                                 "user_id long, item_id string, rating double, seen double")
+
+
+def _both_paths(df, users, k):
+    for listed in (users, None):
+        yield {(r.user_id, r.other_id): r.sim for r in similarity.pearson_neighbors(df, listed, k).collect()}
+
+
+def test_constant_raters_have_no_correlation(spark):
+    cells = {(u, f"i{i}"): r for u, r in ((1, 3.9), (2, 3.7), (3, 1.1)) for i in range(8)}
+    cells.update({(4, f"i{i}"): 0.5 + 0.5 * i for i in range(8)})
+    cells.update({(5, f"i{i}"): 4.3 - 0.4 * i for i in range(8)})
+    for got in _both_paths(_cells_frame(spark, cells), [1, 2, 3, 4, 5], 10):
+        assert got == {(4, 5): -1.0, (5, 4): -1.0}
+
+
+def test_ratings_in_tenths(spark):
+    rnd = random.Random(17)
+    cells = {(u, f"i{i}"): rnd.randint(0, 50) / 10 for u in range(20) for i in range(12) if rnd.random() < 0.7}
+    rows = defaultdict(dict)
+    for (u, i), r in cells.items():
+        rows[u][i] = r
+    want = {(u, v): s for u in rows for v in rows if u != v and (s := _pearson(rows[u], rows[v])) is not None}
+    for got in _both_paths(_cells_frame(spark, cells), list(range(20)), 100):
+        assert got.keys() == want.keys()
+        assert all(abs(got[p] - want[p]) < 1e-9 and abs(got[p]) <= 1 for p in want)
+
+
+def test_matrix_rows(spark):
+    cells = _skewed_cells(9)
+    df = spark.createDataFrame([(u, i, *v) for (u, i), v in cells.items()],
+                               "user_id long, item_id string, rating double, seen double")
+    rows, binary = defaultdict(dict), defaultdict(dict)
+    for (u, i), (r, s) in cells.items():
+        binary[u][i] = s
+        if r > 0:
+            rows[u][i] = r
+    users = [3, 7, 8]
+    for job, table, sim in ((similarity.pearson_matrix, rows, _pearson), (similarity.cosine_matrix, binary, _cosine)):
+        want = {(u, v): 1.0 if u == v else sim(table[u], table[v]) for u in users for v in table
+                if set(table[u]) & set(table[v])}
+        got = {(r.user_id, r.other_id): r.sim for r in job(df, users).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[p] == s if s is None else abs(got[p] - s) < 1e-9 for p, s in want.items())
+
+
+def test_small_similarities_count_in_full(spark):
+    cells = {(1, "a"): 4.0, (1, "b"): 2.0, (2, "c"): 5.0, (2, "d"): 1.0, (3, "c"): 2.0, (3, "e"): 4.0}
+    near = spark.createDataFrame([(1, 2, 3.1e-8), (1, 3, -1.7e-8)], "user_id long, other_id long, sim double")
+    got = {r.item_id: r.score for r in prediction.predict_pearson(_cells_frame(spark, cells), near, [1], bounds=None).collect()}
+    both = 3 + (3.1e-8 * 2 + -1.7e-8 * -1) / (3.1e-8 + 1.7e-8)
+    want = {"c": both, "d": 3 + 3.1e-8 * -2 / 3.1e-8, "e": 3 + -1.7e-8 * 1 / 1.7e-8}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-4 for i in want)
+
+
+def test_neighbors_of_all_users_need_a_limit(spark):
+    with pytest.raises(ValueError):
+        similarity.cosine_neighbors(_cells_frame(spark, {(1, "a"): 1.0}), None, None)
+
+
+def test_one_user_with_everything(spark):
+    cells = {(0, f"i{i}"): float(1 + i % 5) for i in range(3000)}
+    cells.update({(u, f"i{(u * 37 + j) % 3000}"): float(1 + (u + j) % 5) for u in range(1, 40) for j in range(6)})
+    df = _cells_frame(spark, cells)
+    near = similarity.cosine_neighbors(df, None, 5)
+    got = {(r.user_id, r.item_id) for r in prediction.predict_cosine(df, near).collect()}
+    own = defaultdict(set)
+    for u, i in cells:
+        own[u].add(i)
+    pairs = defaultdict(list)
+    for r in near.collect():
+        pairs[r.user_id].append(r.other_id)
+    assert got == {(u, i) for u, others in pairs.items() for v in others for i in own[v] - own[u]}
+
+
 def test_long_cell_lists_are_split(spark, monkeypatch):
     monkeypatch.setattr(prediction, "PACK_CELLS", 2)
     cells = _skewed_cells(5)
