@@ -122,11 +122,12 @@ def test_unknown_user_and_empty_result(spark):
     cells = spark.createDataFrame([(1, "a", 4.0, 1.0)], "user_id long, item_id string, rating double, seen double")
     cat = _catalog(spark, [(1, "t", "i", "a", None, [], [])])
     for job in (R.recommend_pearson, R.recommend_cosine):
-        with pytest.raises(ValueError):
-            job(cells, cat, [2])
+        with pytest.raises(ValueError, match=r"\[2, 3\]"):
+            job(cells, cat, [1, 2, 3], require_known=True)
+        assert job(cells, cat, [2]).count() == 0
         empty = job(cells, cat, [1])
         assert empty.columns[:6] == list(R.OUTPUT) and empty.count() == 0
         assert job(cells, cat, [2, 3]).count() == 0
         assert job(cells, cat).count() == 0
     with pytest.raises(ValueError):
-        R.history_listing(cells, cat, [2])
+        R.history_listing(cells, cat, [2], require_known=True)

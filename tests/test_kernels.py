@@ -86,9 +86,9 @@ def skewed(spark):
 def test_blocks_equal_the_join(skewed):
     users = [*range(25), 99]
     joined = {(r.user_id, r.item_id): r.score for r in content.scores_for(*skewed, users).collect()}
-    blocks = content.block_scores(*skewed, include_zero=True, block_users=7, block_items=9)
+    blocks = content.block_scores(*skewed, 100, block_users=7, block_items=9)
     assert {(r.user_id, r.item_id): r.score for r in blocks.collect()} == joined
-    positive = content.block_scores(*skewed, block_users=100, block_items=100)
+    positive = content.block_scores(*skewed, 100, include_zero=False, block_users=100, block_items=100)
     assert {(r.user_id, r.item_id): r.score for r in positive.collect()} == {
         pair: s for pair, s in joined.items() if s > 0}
 
@@ -96,7 +96,7 @@ def test_blocks_equal_the_join(skewed):
 @pytest.mark.parametrize("k", [1, 3, 50])
 def test_best_of_blocks(skewed, k):
     catalog = skewed[2].withColumnRenamed("item_id", "id")
-    every = content.rank_content(content.block_scores(*skewed, block_users=7, block_items=9), catalog, k)
-    best = content.rank_content(content.block_scores(*skewed, k=k, block_users=7, block_items=9), catalog, k)
+    every = content.rank_content(content.scores_for(*skewed, [*range(25), 99]), catalog, k)
+    best = content.rank_content(content.block_scores(*skewed, k, block_users=7, block_items=9), catalog, k)
     key = lambda df: sorted((r.user_id, r["rank"], r.item_id, r.score) for r in df.collect())
     assert key(best) == key(every)
