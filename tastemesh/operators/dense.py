@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,16 +11,12 @@ from tastemesh.functions.dense import cosine
 
 
 def vector_mean(vectors: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
-    """Mean vector per key: ``key, mean`` with ``mean`` an array as long as the vectors.
+    """Mean vector per key: ``key, mean`` with ``mean`` an array as long as the vectors; NULL vectors do not count.
 
-    Positions are averaged with map-side combining, so a key with very many vectors is no hot spot.
+    Whole vectors are added up with map-side combining, so a key with very many vectors is no hot spot.
     """
-    per_position = (
-        vectors.select(key, F.posexplode(vector).alias("pos", "x"))
-        .groupBy(key, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    )
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "x")))
-    return per_position.groupBy(key).agg(F.transform(ordered, lambda p: p["x"]).alias("mean"))
+    dense = vectors.where(F.col(vector).isNotNull()).select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
+    return dense.groupBy(key).agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("mean"))
 
 
 def cosine_with_mean(vectors: DataFrame, key: str, vector: str = "embedding") -> DataFrame:

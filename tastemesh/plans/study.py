@@ -11,7 +11,7 @@ from tastemesh.operators import consensus, content, tfidf
 from tastemesh.operators import history as H
 from tastemesh.plans import recommend as R
 from tastemesh.sources.csv import Inputs
-from tastemesh.sources.staging import shared_dir, stage
+from tastemesh.sources.staging import stage
 from tastemesh.sources.vectors import load_or_build
 
 
@@ -30,7 +30,7 @@ def collaborative_study(
     ``consensus``.
     """
     history = H.export_history(inputs.ratings, inputs.links, include_rating=True)
-    cells = H.interaction_cells(history, inputs.catalog, min_ratings)
+    cells = stage(H.interaction_cells(history, inputs.catalog, min_ratings), "cells")
     pearson = stage(R.recommend_pearson(cells, inputs.catalog, users, k, top_k), "pearson")
     cosine = stage(R.recommend_cosine(cells, inputs.catalog, users, k, top_k), "cosine")
     return {
@@ -52,14 +52,17 @@ def content_study(
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
     vector_root: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Content-based recommendations, with vectors saved below ``vector_root`` and used again.
+    """Content-based recommendations; with ``vector_root``, vectors are saved below it and used again.
 
     Returns ``vectors``, ``history``, ``coverage`` and ``recommendations``.
     """
     params = {"max_features": max_features, "low": low, "high": high, "stop_words": tuple(stop_words)}
-    root = vector_root or f"{shared_dir(inputs.catalog.sparkSession)}/vectors"
-    vectors = load_or_build(
-        tfidf.item_texts(inputs.catalog), params, root, lambda items: tfidf.tfidf_vectors(items, **params))
+    texts = tfidf.item_texts(inputs.catalog)
+
+    def build(items: DataFrame) -> DataFrame:
+        return tfidf.tfidf_vectors(items, **params)
+
+    vectors = load_or_build(texts, params, vector_root, build) if vector_root else stage(build(texts), "vectors")
     history = H.export_history(inputs.ratings, inputs.links)
     seen = content.seen_counts(history, inputs.catalog)
     coverage = content.history_coverage(history, inputs.catalog)

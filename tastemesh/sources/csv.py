@@ -10,13 +10,24 @@ from pyspark.sql import types as T
 
 from tastemesh.sources import schemas
 
-# A quoted field may hold commas and doubled quotes.
-CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"'}
+# A quoted field may hold commas, doubled quotes and blanks at its ends.
+CSV_OPTIONS = {
+    "header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, line_breaks: bool = False) -> DataFrame:
-    """CSV with a header. ``line_breaks`` in quoted fields cost the splitting of large files."""
-    return spark.read.options(**CSV_OPTIONS, multiLine=line_breaks).schema(schema).csv(path)
+    """The columns of ``schema`` by the names in the header, in any order and among others.
+
+    A missing column is an error, a value that does not fit its type is NULL. ``line_breaks`` in quoted fields cost
+    the splitting of large files.
+    """
+    # With a null mark that no file holds, only fields left empty are NULL, and quoted empty ones are empty text.
+    found = spark.read.options(**CSV_OPTIONS, multiLine=line_breaks, nullValue="\0").csv(path)
+    if missing := [f.name for f in schema if f.name not in found.columns]:
+        raise ValueError(f"no column {missing!r} in {path}: {found.columns!r}")
+    return found.select(*(
+        F.col(f.name) if f.dataType == T.StringType() else F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -35,8 +46,16 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*schemas.CATALOG.names)
 
 
-def write_catalog(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Catalog as CSV, lists as JSON text (CSV cannot hold arrays)."""
+def read_catalog_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Catalog saved with its lists as arrays."""
+    return spark.read.parquet(path).select(*schemas.CATALOG.names)
+
+
+def write_catalog(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "csv") -> None:
+    """Catalog as Parquet with arrays, or as CSV with its lists as JSON text (CSV cannot hold arrays)."""
+    if fmt != "csv":
+        df.select(*schemas.CATALOG.names).write.mode(mode).format(fmt).save(path)
+        return
     out = df.withColumns({c: F.to_json(c) for c in ("genres", "themes")})
     write_csv(out.select(*schemas.CATALOG.names), path, mode)
 

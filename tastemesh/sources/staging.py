@@ -2,44 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+def shared_dir(spark: SparkSession) -> str | None:
+    """The shared folder that ``spark.checkpoint.dir`` names, if any."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    local = tempfile.mkdtemp(prefix="tastemesh-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/{app}/{label}-{uuid.uuid4().hex}"
+    return configured.rstrip("/") if configured else None
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet and read it back.
+    """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage, survives lost executors without recomputation, and gives the readers column
-    pruning and true sizes. Used where a table feeds several branches of one job.
+    pruning and true sizes. Used where a table feeds several branches of one job. The folders, one per
+    application, may be cleared once the application has ended. Without a shared folder the rows are kept on
+    the executors' disks instead and computed again where one is lost.
     """
     spark = df.sparkSession
-    path = new_path(spark, label)
+    shared = shared_dir(spark)
+    if shared is None:
+        return df.persist(StorageLevel.DISK_ONLY)
+    path = f"{shared}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan with fewer partitions than the cluster has cores, dealt out over the cores.
-
-    For CPU-heavy work on small or unsplittable files; a scan of many partitions stays as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
