@@ -19,6 +19,7 @@ from tastemesh.session import build_session  # noqa: E402
 HEADLINE = (
     "interaction_cells", "clean_history", "export_history_rated", "catalog_denorm", "rec_pearson", "rec_cosine",
     "rec_consensus", "pearson_neighbors_batch", "cosine_neighbors_batch", "rec_pearson_batch", "rec_cosine_batch",
+    "pearson_matrix", "cosine_matrix", "pearson_predict_all", "cosine_predict_all", "content_score_all",
     "tokens", "ngrams", "tfidf_vocab", "tfidf_vectors", "rec_content", "rec_content_batch", "vector_mean",
     "vector_cosine",
 )

@@ -4,6 +4,12 @@ from __future__ import annotations
 
 from tastemesh.functions.text import ENGLISH_STOP_WORDS
 
+LISTED_USERS = (10, 20, 37, 42, 64, 75, 88, 91, 106, 133)
+
+
+def _listed(users: int | tuple[int, ...]) -> str:
+    return ", ".join(map(str, (users,) if isinstance(users, int) else users))
+
 
 def _q(x: str, digits: int) -> str:
     return f"(floor(({x}) * 1e{digits} + 0.5) / 1e{digits})"
@@ -27,10 +33,11 @@ links as (select p_partkey as "movieId", cast(p_partkey * 50000 + 1 as varchar)
     case p_size when 50 then null when 49 then 'nan' when 48 then ''
         else ' ' || cast(p_partkey as varchar) || '.0 ' end as "tmdbId" from part),
 movie as (select p_partkey as id, p_name as title, 'tt' || cast(p_partkey * 50000 + 1 as varchar) as imdb_id,
-    case when p_size <> 47 then cast(p_partkey as varchar) || '.0' end as tmdb_id, p_name as plot,
+    case when p_size <> 47 then cast(case when p_size <= 6 then p_partkey - p_partkey % 3 + 1 else p_partkey end as varchar)
+        || '.0' end as tmdb_id, p_name as plot,
     p_type, p_brand from part),
-history as (select "userId", {_PAD} as "imdbId", coalesce("tmdbId", '') as "tmdbId", rating
-    from ratings join links using ("movieId")),
+history as (select "userId", {_PAD} as "imdbId", coalesce("tmdbId", '') as "tmdbId",
+    greatest(0.0, least(5.0, rating)) as rating from raw_ratings join links using ("movieId")),
 catalog as (select id, title, imdb_id, {_norm('tmdb_id')} as tmdb_id from movie),
 firsts as (select * from catalog where tmdb_id is not null
     qualify row_number() over (partition by tmdb_id order by title nulls last, id) = 1),
@@ -39,24 +46,27 @@ base as (select * from usable where item_id in (select tmdb_id from catalog wher
 clean as (select * from base
     where user_id in (select user_id from base group by 1 having count(*) >= 20)
     and item_id in (select item_id from base group by 1 having count(*) >= 20)),
-cells as (select user_id, item_id, sum(rating) as rating, cast(count(*) as double) as seen from clean group by 1, 2)
+cells as (select user_id, item_id, {_q('sum(rating)', 9)} as rating, cast(count(*) as double) as seen from clean group by 1, 2)
 """
 
-_PEARSON = """(n_common * sxy - sx * sy) / sqrt((n_common * sxx - sx * sx) * (n_common * syy - sy * sy))"""
-_DEFINED = "n_common >= 2 and n_common * sxx - sx * sx > 0 and n_common * syy - sy * sy > 0"
+# Ratings count in units of 1e-4, so all moments are whole numbers. Constant raters have no correlation.
+_PEARSON = """least(1.0, greatest(-1.0, cast(n_common * sxy - sx * sy as double)
+    / sqrt(cast(n_common * sxx - sx * sx as double) * cast(n_common * syy - sy * sy as double))))"""
+_DEFINED = "n_common >= 2 and lo_x < hi_x and lo_y < hi_y"
 
 
-def _collaborative(user: int | None = None, k: int | None = 50) -> str:
+def _collaborative(user: int | tuple[int, ...] | None = None, k: int | None = 50) -> str:
     """Similarities, neighbours and predictions, for one user or for all."""
-    one = "" if user is None else f"and a.user_id = {user}"
+    one = "" if user is None else f"and a.user_id in ({_listed(user)})"
     cut = "" if k is None else f"where rank <= {k}"
     return VIEWS + f""",
 means as (select user_id, avg(rating) as mean from cells group by 1),
 norms as (select user_id, sum(seen * seen) as norm from cells group by 1),
-moments as (select a.user_id, b.user_id as other_id, count(*) as n_common, sum(a.rating) as sx, sum(b.rating) as sy,
-        sum(a.rating * a.rating) as sxx, sum(b.rating * b.rating) as syy, sum(a.rating * b.rating) as sxy
-    from cells a join cells b on a.item_id = b.item_id and a.user_id <> b.user_id
-    where a.rating > 0 and b.rating > 0 {one} group by 1, 2),
+units as (select user_id, item_id, cast(round(rating * 10000) as bigint) as x from cells where rating > 0),
+moments as (select a.user_id, b.user_id as other_id, count(*) as n_common, sum(a.x) as sx, sum(b.x) as sy,
+        sum(a.x * a.x) as sxx, sum(b.x * b.x) as syy, sum(a.x * b.x) as sxy,
+        min(a.x) as lo_x, max(a.x) as hi_x, min(b.x) as lo_y, max(b.x) as hi_y
+    from units a join units b on a.item_id = b.item_id and a.user_id <> b.user_id where true {one} group by 1, 2),
 pearson as (select user_id, other_id, {_q(_PEARSON, 12)} as sim, n_common from moments where {_DEFINED}),
 dots as (select a.user_id, b.user_id as other_id, count(*) as n_common, sum(a.seen * b.seen) as dot
     from cells a join cells b on a.item_id = b.item_id and a.user_id <> b.user_id where true {one} group by 1, 2),
@@ -67,12 +77,10 @@ pearson_nb as (select * from (select *,
 cosine_nb as (select * from (select *,
     cast(row_number() over (partition by user_id order by sim desc, other_id) as int) as rank from cosine) {cut}),
 pearson_sums as (select nb.user_id, c.item_id,
-        sum(cast(floor(sim * (c.rating - m.mean) * 1e10 + 0.5) as bigint)) as num,
-        sum(cast(floor(abs(sim) * 1e10 + 0.5) as bigint)) as den
+        sum(sim * (c.rating - m.mean)) as num, sum(abs(sim)) as den
     from pearson_nb nb join cells c on c.user_id = nb.other_id join means m on m.user_id = nb.other_id
     where c.rating <> 0 group by 1, 2),
-cosine_sums as (select nb.user_id, c.item_id, sum(cast(floor(sim * c.seen * 1e10 + 0.5) as bigint)) as num,
-        sum(cast(floor(abs(sim) * 1e10 + 0.5) as bigint)) as den
+cosine_sums as (select nb.user_id, c.item_id, sum(sim * c.seen) as num, sum(abs(sim)) as den
     from cosine_nb nb join cells c on c.user_id = nb.other_id group by 1, 2),
 pearson_open as (select * from pearson_sums s where den > 0 and not exists
     (select 1 from cells c where c.user_id = s.user_id and c.item_id = s.item_id)),
@@ -82,13 +90,13 @@ cosine_open as (select * from cosine_sums s where den > 0 and not exists
 
 
 def _scores(which: str, digits: int, clipped: bool) -> str:
-    ratio = "cast(num as double) / cast(den as double)"
+    ratio = "num / den"
     if which == "pearson":
         ratio = f"mean + {ratio}"
         if clipped:
             ratio = f"greatest(0.0, least(5.0, {ratio}))"
     means = "join means using (user_id)" if which == "pearson" else ""
-    return f"""select user_id, item_id, {_q(ratio, digits)} as score, {_q('cast(den as double) / 1e10', 4)} as support
+    return f"""select user_id, item_id, {_q(_q(ratio, 10), digits)} as score, {_q(_q('den', 10), 4)} as support
         from {which}_open {means}"""
 
 
@@ -166,9 +174,10 @@ ORACLE: dict[str, str] = {
     "csv_catalog_roundtrip": f"""with {VIEWS} select id, title, imdb_id, tmdb_id, plot, p_type as genres,
         p_brand as themes from movie""",
     "csv_ratings_roundtrip": f"with {VIEWS} select * from ratings",
-    "csv_links_roundtrip": f"""with {VIEWS} select "movieId", "imdbId", {_norm('"tmdbId"')} as "tmdbId" from links""",
-    "csv_history_roundtrip": f"""with {VIEWS} select "userId", "imdbId", {_norm('"tmdbId"')} as "tmdbId", rating
-        from history""",
+    "csv_links_roundtrip": f"with {VIEWS} select * from links",
+    "csv_history_roundtrip": f"with {VIEWS} select * from history",
+    "parquet_catalog_roundtrip": f"""with {VIEWS} select id, title, imdb_id, tmdb_id, plot, p_type as genres,
+        p_brand as themes from movie""",
     "vector_store_roundtrip": f"with {VIEWS}, {_ITEM_TEXT}, {_vectors('item_texts')} {_VECTOR_ROWS}",
     "normalize_id": f"""with {VIEWS} select "movieId", {_norm('"tmdbId"')} as tmdb_id from links""",
     "pad_imdb_id": f"""with {VIEWS} select "movieId", {_PAD} as imdb_id from links""",
@@ -187,7 +196,7 @@ ORACLE: dict[str, str] = {
     "dataset_summary": f"""with {VIEWS} select count(distinct user_id) as users, count(distinct item_id) as items,
         count(*) as cells from cells""",
     "user_means": f"with {VIEWS} select user_id, {_q('avg(rating)', 6)} as mean from cells group by 1",
-    "seen_lists": f"""with {VIEWS} select user_id, string_agg(item_id || ':' || cast(cast(rating as int) as varchar),
+    "seen_lists": f"""with {VIEWS} select user_id, string_agg(item_id || ':' || cast(cast(round(rating * 10) as int) as varchar),
         '|' order by item_id) as items from cells group by 1""",
     "catalog_denorm": f"""with {VIEWS} select m.id, m.title, m.imdb_id, m.tmdb_id, m.plot,
         coalesce(string_agg(distinct s_name, '|' order by s_name), '') as genres,
@@ -200,14 +209,15 @@ ORACLE: dict[str, str] = {
     "cosine_neighbors": f"with {_collaborative(10)} select user_id, other_id, sim, n_common, rank from cosine_nb",
     "pearson_neighbors_batch": f"with {_collaborative()} select user_id, other_id, sim, n_common, rank from pearson_nb",
     "cosine_neighbors_batch": f"with {_collaborative()} select user_id, other_id, sim, n_common, rank from cosine_nb",
-    "pearson_matrix": f"""with {_collaborative()} select user_id, other_id, sim, n_common
+    "pearson_matrix": f"""with {_collaborative(LISTED_USERS)} select user_id, other_id, sim, n_common
         from moments left join (select user_id, other_id, sim from pearson) using (user_id, other_id)
-        union all select user_id, user_id, 1.0, count(*) from cells where rating > 0 group by 1""",
-    "cosine_matrix": f"""with {_collaborative()} select user_id, other_id, sim, n_common from cosine
-        union all select user_id, user_id, 1.0, count(*) from cells group by 1""",
-    "pearson_predict_all": f"""with {_collaborative(None, None)} select user_id, item_id, score, rank
+        union all select user_id, user_id, 1.0, count(*) filter (rating > 0) from cells
+            where user_id in ({_listed(LISTED_USERS)}) group by 1""",
+    "cosine_matrix": f"""with {_collaborative(LISTED_USERS)} select user_id, other_id, sim, n_common from cosine
+        union all select user_id, user_id, 1.0, count(*) from cells where user_id in ({_listed(LISTED_USERS)}) group by 1""",
+    "pearson_predict_all": f"""with {_collaborative(LISTED_USERS, None)} select user_id, item_id, score, rank
         from ({_ranked('pearson', 2, False)})""",
-    "cosine_predict_all": f"""with {_collaborative(None, None)} select user_id, item_id, score, rank
+    "cosine_predict_all": f"""with {_collaborative(LISTED_USERS, None)} select user_id, item_id, score, rank
         from ({_ranked('cosine', 3)})""",
     "rec_pearson": f"with {_collaborative(10)} {_recs('pearson', 500)}",
     "rec_cosine": f"with {_collaborative(10)} {_recs('cosine', 500)}",
@@ -248,9 +258,9 @@ ORACLE: dict[str, str] = {
     "content_score_all": f"""with {CONTENT} select user_id, item_id, {_q('score', 4)} as score,
         cast(row_number() over (partition by user_id order by score desc nulls last, title nulls last, item_id) as int)
         as rank
-        from table_all""",
+        from table_all where user_id in ({_listed(LISTED_USERS)})""",
     "rec_content": _content_recs("user_id = 10", 20),
-    "rec_content_batch": _content_recs("score > 0", 10),
+    "rec_content_batch": _content_recs("true", 10),
     "vector_mean": f"""select label, cast(pos - 1 as int) as pos, {_q('avg(x)', 6)} as mean from (
         select label, cast(unnest(embedding) as double) as x, generate_subscripts(embedding, 1) as pos
         from embeddings) group by label, pos""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +17,12 @@ from tastemesh.operators import history as H
 from tastemesh.operators.catalog import by_title, denormalize_catalog, first_per_external_id
 from tastemesh.plans import recommend as R
 from tastemesh.sources import csv
-from tastemesh.sources.staging import new_path, stage
+from tastemesh.sources.staging import stage
 from tastemesh.sources.vectors import load_or_build
 
 USER = 10
+# Those whose whole row of a table is asked for; the length of the list, not of the data, sets the output.
+LISTED_USERS = (10, 20, 37, 42, 64, 75, 88, 91, 106, 133)
 COLLABORATIVE_TOP = 500
 CONTENT_TOP = 20
 
@@ -33,46 +36,61 @@ def query(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
     return f
 
 
+def _sink(v: Views, label: str) -> str:
+    """A new folder below the warehouse, which the cluster shares."""
+    return f"{v.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def _cells(v: Views) -> DataFrame:
     return H.interaction_cells(v.history(), v.catalog())
 
 
+def _kept_cells(v: Views) -> DataFrame:
+    return stage(_cells(v), "cells")
+
+
 # --- sources and sinks -----------------------------------------------------------------------
 
 
 @query
 def csv_catalog_roundtrip(v: Views) -> DataFrame:
-    path = new_path(v.spark, "catalog-csv")
+    path = _sink(v, "catalog-csv")
     csv.write_catalog(v.catalog(), path)
     return _joined_lists(csv.read_catalog(v.spark, path))
 
 
 @query
 def csv_ratings_roundtrip(v: Views) -> DataFrame:
-    path = new_path(v.spark, "ratings-csv")
+    path = _sink(v, "ratings-csv")
     csv.write_csv(v.ratings(), path)
     return csv.read_ratings(v.spark, path)
 
 
 @query
 def csv_links_roundtrip(v: Views) -> DataFrame:
-    path = new_path(v.spark, "links-csv")
+    path = _sink(v, "links-csv")
     csv.write_csv(v.links(), path)
-    return csv.read_links(v.spark, path).select(
-        "movieId", "imdbId", normalize_id("tmdbId").alias("tmdbId"))
+    return csv.read_links(v.spark, path)
 
 
 @query
 def csv_history_roundtrip(v: Views) -> DataFrame:
-    path = new_path(v.spark, "history-csv")
+    path = _sink(v, "history-csv")
     csv.write_history(v.history(), path, fmt="csv")
-    return csv.read_history(v.spark, path, rated=True).withColumn("tmdbId", normalize_id("tmdbId"))
+    return csv.read_history(v.spark, path, rated=True)
+
+
+@query
+def parquet_catalog_roundtrip(v: Views) -> DataFrame:
+    path = _sink(v, "catalog-parquet")
+    csv.write_catalog(v.catalog(), path, fmt="parquet")
+    return _joined_lists(csv.read_catalog_parquet(v.spark, path))
 
 
 @query
 def vector_store_roundtrip(v: Views) -> DataFrame:
     params = {"max_features": 5000, "low": 1, "high": 3}
-    root = new_path(v.spark, "vector-store")
+    root = _sink(v, "vector-store")
 
     def saved() -> DataFrame:
         return load_or_build(
@@ -148,7 +166,7 @@ def user_means(v: Views) -> DataFrame:
 @query
 def seen_lists(v: Views) -> DataFrame:
     lists = H.seen_lists(_cells(v), "rating")
-    entry = F.transform("items", lambda e: F.concat_ws(":", e["item_id"], e["rating"].cast("int").cast("string")))
+    entry = F.transform("items", lambda e: F.concat_ws(":", e["item_id"], F.round(e["rating"] * 10).cast("int").cast("string")))
     return lists.select("user_id", F.array_join(entry, "|").alias("items"))
 
 
@@ -168,47 +186,48 @@ def catalog_first(v: Views) -> DataFrame:
 
 @query
 def pearson_neighbors(v: Views) -> DataFrame:
-    return similarity.pearson_neighbors(_cells(v), [USER])
+    return similarity.pearson_neighbors(_kept_cells(v), [USER])
 
 
 @query
 def cosine_neighbors(v: Views) -> DataFrame:
-    return similarity.cosine_neighbors(_cells(v), [USER])
+    return similarity.cosine_neighbors(_kept_cells(v), [USER])
 
 
 @query
 def pearson_neighbors_batch(v: Views) -> DataFrame:
-    return similarity.pearson_neighbors(_cells(v))
+    return similarity.pearson_neighbors(_kept_cells(v))
 
 
 @query
 def cosine_neighbors_batch(v: Views) -> DataFrame:
-    return similarity.cosine_neighbors(_cells(v))
+    return similarity.cosine_neighbors(_kept_cells(v))
 
 
 @query
 def pearson_matrix(v: Views) -> DataFrame:
-    return similarity.pearson_matrix(_cells(v))
+    return similarity.pearson_matrix(_kept_cells(v), LISTED_USERS)
 
 
 @query
 def cosine_matrix(v: Views) -> DataFrame:
-    return similarity.cosine_matrix(_cells(v))
+    return similarity.cosine_matrix(_kept_cells(v), LISTED_USERS)
 
 
 @query
 def pearson_predict_all(v: Views) -> DataFrame:
-    cells = _cells(v)
-    neighbors = stage(similarity.pearson_neighbors(cells, k=None), "neighbors")
-    scores = prediction.predict_pearson(cells, neighbors, bounds=None, digits=2)
+    cells = _kept_cells(v)
+    neighbors = stage(similarity.pearson_neighbors(cells, LISTED_USERS, k=None), "neighbors")
+    scores = prediction.predict_pearson(cells, neighbors, LISTED_USERS, bounds=None, digits=2)
     return prediction.rank_items(scores, None).drop("support")
 
 
 @query
 def cosine_predict_all(v: Views) -> DataFrame:
-    cells = _cells(v)
-    neighbors = stage(similarity.cosine_neighbors(cells, k=None), "neighbors")
-    return prediction.rank_items(prediction.predict_cosine(cells, neighbors, digits=3), None).drop("support")
+    cells = _kept_cells(v)
+    neighbors = stage(similarity.cosine_neighbors(cells, LISTED_USERS, k=None), "neighbors")
+    scores = prediction.predict_cosine(cells, neighbors, LISTED_USERS, digits=3)
+    return prediction.rank_items(scores, None).drop("support")
 
 
 def _pearson(v: Views, cells: DataFrame, users=(USER,), top_k=COLLABORATIVE_TOP) -> DataFrame:
@@ -221,26 +240,26 @@ def _cosine(v: Views, cells: DataFrame, users=(USER,), top_k=COLLABORATIVE_TOP)
 
 @query
 def rec_pearson(v: Views) -> DataFrame:
-    return _pearson(v, _cells(v))
+    return _pearson(v, _kept_cells(v))
 
 
 @query
 def rec_cosine(v: Views) -> DataFrame:
-    return _cosine(v, _cells(v))
+    return _cosine(v, _kept_cells(v))
 
 
 @query
 def rec_pearson_batch(v: Views) -> DataFrame:
-    return _pearson(v, _cells(v), None, 10)
+    return _pearson(v, _kept_cells(v), None, 10)
 
 
 @query
 def rec_cosine_batch(v: Views) -> DataFrame:
-    return _cosine(v, _cells(v), None, 10)
+    return _cosine(v, _kept_cells(v), None, 10)
 
 
 def _both(v: Views) -> tuple[DataFrame, DataFrame]:
-    cells = _cells(v)
+    cells = _kept_cells(v)
     return _pearson(v, cells), _cosine(v, cells)
 
 
@@ -340,7 +359,7 @@ def content_profile(v: Views) -> DataFrame:
 @query
 def content_score_all(v: Views) -> DataFrame:
     seen = content.seen_counts(v.history(), v.catalog())
-    scores = content.content_score_all(_catalog_vectors(v), seen, v.catalog())
+    scores = content.content_score_all(_catalog_vectors(v), seen, v.catalog(), LISTED_USERS)
     return scores.select("user_id", "item_id", quantize(F.col("score"), 4).alias("score"), "rank")
 
 

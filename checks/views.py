@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastemesh.operators.history import export_history
-from tastemesh.sources.staging import spread
 
 
 class Views:
@@ -20,7 +19,7 @@ class Views:
 
     def _sales(self) -> DataFrame:
         orders = self.table("orders").select("o_orderkey", "o_custkey")
-        lines = spread(self.table("lineitem").select("l_orderkey", "l_partkey", "l_quantity"))
+        lines = self.table("lineitem").select("l_orderkey", "l_partkey", "l_quantity")
         return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
     def ratings(self) -> DataFrame:
@@ -31,7 +30,7 @@ class Views:
         )
 
     def raw_ratings(self) -> DataFrame:
-        """Ratings partly outside [0, 5]."""
+        """Ratings in steps of 0.2, partly outside [0, 5]: clipped, they hold zeros and fractions."""
         return self._sales().select(
             F.col("o_custkey").alias("userId"), F.col("l_partkey").alias("movieId"),
             (F.col("l_quantity") / 5.0 - 1.0).alias("rating"),
@@ -48,12 +47,16 @@ class Views:
         )
 
     def movie(self) -> DataFrame:
-        """Every part as a movie; parts of one size have no external id and so are unknown items."""
+        """Every part as a movie; parts of one size have no external id and so are unknown items.
+
+        Parts of some sizes come in threes with one external id, that of one of them.
+        """
         key = F.col("p_partkey")
+        shared = F.when(F.col("p_size") <= 6, key - key % 3 + 1).otherwise(key)
         return self.table("part").select(
             key.alias("id"), F.col("p_name").alias("title"),
             F.concat(F.lit("tt"), (key * 50000 + 1).cast("string")).alias("imdb_id"),
-            F.when(F.col("p_size") != 47, F.concat(key.cast("string"), F.lit(".0"))).alias("tmdb_id"),
+            F.when(F.col("p_size") != 47, F.concat(shared.cast("string"), F.lit(".0"))).alias("tmdb_id"),
             F.col("p_name").alias("plot"),
         )
 
@@ -77,7 +80,7 @@ class Views:
             F.col("l_partkey").alias("movie_id"), F.col("l_orderkey").alias("theme_id"))
 
     def history(self) -> DataFrame:
-        return export_history(self.ratings(), self.links(), include_rating=True)
+        return export_history(self.raw_ratings(), self.links(), include_rating=True)
 
     def texts(self) -> DataFrame:
-        return spread(self.table("documents").select(F.col("doc_id").alias("item_id"), "text"))
+        return self.table("documents").select(F.col("doc_id").alias("item_id"), "text")
