@@ -13,6 +13,7 @@ from tastemesh.llm.jaccard_join import classes
 from tastemesh.llm.lang_id import identify
 from tastemesh.llm.licences import by_document
 from tastemesh.llm.mixing import mix
+from tastemesh.llm.oracle import ORACLE
 from tastemesh.llm.pii import BASE_KINDS, span_text, spans
 from tastemesh.llm.quality import quality
 from tastemesh.llm.substrings import remove_repeats
@@ -87,4 +88,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_licences, op4_language_id, op5_html_extraction, op6_substring_dedup, op7_url_filters, op8_jaccard_join, op9_mixing, op10_pii)
 }
-ORACLE: dict[str, str] = {}
+
+__all__ = ["ORACLE", "QUERIES"]
