@@ -23,8 +23,8 @@ _FLUSH = 1 << 22
 
 
 def sketch_bits(expected: int) -> int:
-    """Bits of the cell number for ``expected`` keys: sixteen cells a key, within the bounds."""
-    return int(min(MAX_BITS, max(MIN_BITS, np.ceil(np.log2(max(1, 16 * expected))))))
+    """Bits of the cell number for ``expected`` keys: eight cells a key, within the bounds."""
+    return int(min(MAX_BITS, max(MIN_BITS, np.ceil(np.log2(max(1, 8 * expected))))))
 
 
 def cells_of(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -78,8 +78,9 @@ def repeated_bits(df: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.nd
     )
     bitmap = np.zeros((1 << bits) // 8, np.uint8)
     width = (1 << BLOCK_BITS) // 8
-    for row in merged.collect():  # 8 KB a row, 2 ** (bits - 16) rows: 64 MB at most
-        bitmap[row.block * width : (row.block + 1) * width] = np.frombuffer(row.repeated, np.uint8)
+    found = merged.toArrow()  # 8 KB a row, 2 ** (bits - 16) rows: 64 MB at most
+    for block, bits_of in zip(found["block"].to_pylist(), found["repeated"], strict=True):
+        bitmap[block * width : (block + 1) * width] = np.frombuffer(bits_of.as_buffer(), np.uint8)
     return spark.sparkContext.broadcast(bitmap)
 
 
