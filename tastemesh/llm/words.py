@@ -13,8 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
-_SPAN = 4 << 20  # a word longer than this is hashed by itself
+CHUNK_BYTES = 1 << 20
+_SPAN = 2 << 20  # a word longer than this is hashed by itself
 _BASE, _WINDOW_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
