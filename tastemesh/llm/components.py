@@ -11,34 +11,25 @@ from tastemesh.sources.staging import stage
 def components(links: DataFrame) -> DataFrame:
     """``node``, ``component`` (the smallest node reached) for all nodes of ``links`` (``a``, ``b``).
 
-    Each round hangs every node, and the node it hung on, below the smallest node around it (large star),
-    then below the smallest of those (small star); trees flatten in a logarithmic number of rounds. A node's
-    neighbours are only ever reduced to a minimum, never gathered.
+    Each round hangs every node's larger neighbours below the smallest node around it (large star), then every node
+    and its smaller neighbours below the smallest of them (small star); trees flatten in a logarithmic number of
+    rounds. A node's neighbours are only ever reduced to a minimum, never gathered.
     """
-    edges = stage(_downward(links.select("a", "b")), "links")
+    edges = _downward(links.select("a", "b"))
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        # Large star: larger neighbours of a node move to the node's minimum.
-        large = stage(_downward(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))), "links")
-        # Small star: a node and its smaller neighbours move to the smallest of them.
+        large = _downward(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         floor = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(floor, "a")
-        after = stage(_downward(
-            small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(floor.select("a", F.col("m").alias("b")))), "links")
-        if _mark(after) == _mark(edges):
+        small = large.join(floor, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = stage(_downward(small.unionByName(floor.select("a", F.col("m").alias("b")))), "links")
+        # Done when each node hangs below one other, and that one below none.
+        parents, children = edges.select(F.col("b").alias("a")), edges.groupBy("a").agg(F.count("*").alias("n"))
+        if children.where("n > 1").isEmpty() and children.join(parents, "a", "left_semi").isEmpty():
             break
-        edges = after
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-        edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
 def _downward(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-def _mark(edges: DataFrame) -> tuple:
-    """Row count and two order-free sums that tell whether the edges changed."""
-    return tuple(edges.agg(
-        F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")),
-        F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())

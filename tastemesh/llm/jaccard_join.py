@@ -9,7 +9,9 @@ both kinds carry both. So two sets at the threshold always share a signature.
 
 A signature met by many sets is not expanded into pairs. Each round verifies every member against the
 signature's hub, a linear number of pairs, joins what is similar, and goes on with signatures whose members are
-still in different classes; after ``HUB_ROUNDS`` rounds the pairs left there, all of them, are verified.
+still in different classes; after ``HUB_ROUNDS`` rounds the pairs left there, all of them, are verified. A pair
+meets only where the signature's places in both prefixes leave enough tokens to reach the threshold, and, of the pairs
+left, where the parity bitmaps of the sets do not differ in more cells than similar sets can.
 
 Edge cases: null or blank texts have an empty set and link with nothing; rows without ``doc_id`` get their size and a
 null class; equal rows of one ``doc_id`` are one document (texts that differ under one id are the caller's error);
@@ -19,6 +21,8 @@ other columns are not read; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +38,10 @@ from tastemesh.sources.staging import stage
 SHINGLE, PERCENT = 5, 80
 FREQUENT = 1000  # a shingle counted more often makes signatures in pairs
 CLASSES, SMALL = 32, 64
-HUB_ROUNDS = 3
+PARITY_BITS = 1024
+HUB_ROUNDS = 1
 _WORDS = blank_separated()
-_COUNT_BITS = (16, 24)  # counters of the order sketch: at most 2 ** 24
+_COUNT_BITS = (16, 22)  # counters of the order sketch: at most 2 ** 22
 _BLOCK = 1 << 16
 
 
@@ -72,7 +77,7 @@ def set_keys(documents: DataFrame, shingle: int, bits: int) -> DataFrame:
 
 
 def _order_sketch(found: DataFrame, bits: int):
-    """Broadcast counts of shingles by the top ``bits`` of their hash: 64 MB at most."""
+    """Broadcast counts of shingles by the top ``bits`` of their hash: 16 MB at most."""
     width = min(_BLOCK, 1 << bits)
 
     def merge(batches: Batches) -> Batches:
@@ -88,22 +93,28 @@ def _order_sketch(found: DataFrame, bits: int):
     spark = found.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = (found.where("block IS NOT NULL").select("block", "counts").repartition(partitions, "block")
-            .mapInArrow(merge, "block int, counts binary").collect())
+            .mapInArrow(merge, "block int, counts binary").toArrow())
     counts = np.zeros(1 << bits, np.int32)
-    for row in rows:
-        counts[row.block * width : (row.block + 1) * width] = np.frombuffer(row.counts, np.int32)
+    for block, own in zip(rows["block"].to_pylist(), rows["counts"], strict=True):
+        counts[block * width : (block + 1) * width] = np.frombuffer(own.as_buffer(), np.int32)
     return spark.sparkContext.broadcast(counts)
 
 
-def prefix_signatures(tokens: np.ndarray, estimate: np.ndarray, frequent: int, percent: int) -> np.ndarray:
-    """Signatures of one set: sorted distinct token hashes with their estimated counts."""
+def prefix_signatures(tokens: np.ndarray, estimate: np.ndarray, frequent: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of one set (sorted distinct token hashes with their estimated counts), and their places.
+
+    No common token stands before the place of the first signature that two sets share, so they have at most
+    ``n - place`` tokens in common. Of the first shared pair, earlier common tokens are of other classes, one each at
+    most; its place allows for them.
+    """
     n = len(tokens)
     need = n - -(-percent * n // 100) + 1
     order = np.lexsort((tokens, estimate))
     tokens, often = tokens[order], (estimate[order] > frequent)
-    out = []
+    sigs, places = [], []
     if n * 100 <= SMALL * 10000 // percent:  # sizes up to SMALL / t
-        out.append(mix(tokens[:need] ^ np.uint64(0x51ED270B)))
+        sigs.append(mix(tokens[:need] ^ np.uint64(0x51ED270B)))
+        places.append(np.arange(need))
     if n * 100 >= SMALL * percent:
         kind = np.where(often, (mix(tokens) % np.uint64(CLASSES)).astype(np.int64), -1)
         # A rare token, and every frequent one after the first of its class, adds one survived mismatch.
@@ -112,19 +123,31 @@ def prefix_signatures(tokens: np.ndarray, estimate: np.ndarray, frequent: int, p
         gain = np.cumsum(~often | ~fresh)
         length = int(np.searchsorted(gain, need)) + 1
         tokens, often, kind = tokens[:length], often[:length], kind[:length]
-        out.append(mix(tokens[~often]))
+        rare = np.flatnonzero(~often)
+        sigs.append(mix(tokens[rare]))
+        places.append(rare)
         for group in np.unique(kind[often]):
-            own = tokens[kind == group]
+            own = np.flatnonzero(kind == group)
             left, right = np.triu_indices(len(own), 1)
-            out.append(mix(mix(own[left]) + own[right] * np.uint64(0x9E3779B97F4A7C15)))
-    return np.unique(np.concatenate(out))
+            sigs.append(mix(mix(tokens[own[left]]) + tokens[own[right]] * np.uint64(0x9E3779B97F4A7C15)))
+            places.append(np.maximum(own[left] - (CLASSES - 1), 0))
+    return np.concatenate(sigs), np.concatenate(places).astype(np.int32)
+
+
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """Of each of ``PARITY_BITS`` cells, whether an odd number of tokens falls into it.
+
+    Two sets differ in at least as many tokens as cells.
+    """
+    odd = np.bincount((mix(tokens ^ np.uint64(0xA24BAED4963EE407)) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def classes(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT,
             hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``n_same``, the documents with the same set."""
     documents = documents.select("doc_id", "text")
-    bits = int(np.clip(np.ceil(np.log2(64 * max(1, documents.count()))), *_COUNT_BITS))
+    bits = int(np.clip(np.ceil(np.log2(16 * max(1, documents.count()))), *_COUNT_BITS))
     found = stage(set_keys(documents, shingle, bits), "sets")
     docs = found.where("block IS NULL").select("doc_id", "n", "k1", "k2")
     sets = stage(
@@ -147,15 +170,20 @@ def _links(documents, sets, sketch, bits, shingle, percent, frequent, hub_rounds
         limit = frequent + 2 * int(sketch.value.mean())  # besides what other shingles add to a counter
         for batch in batches:
             for piece, own in _sets(batch, shingle):
-                made = [prefix_signatures(s, sketch.value[(s >> shift).astype(np.int64)], limit, percent) if len(s) else s for s in own]
+                none = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+                made = [prefix_signatures(s, sketch.value[(s >> shift).astype(np.int64)], limit, percent) if len(s) else none for s in own]
+                sigs, places = (np.concatenate(x) for x in zip(*made, strict=True))
+                sizes = [len(m[0]) for m in made]
                 yield pa.RecordBatch.from_arrays(
                     [ids(piece), pa.array([len(s) for s in own], pa.int32()),
-                     lists(pa.array(np.concatenate(made).view(np.int64)), [len(m) for m in made])], ["doc_id", "n", "sigs"])
+                     lists(pa.array(sigs.view(np.int64)), sizes), lists(pa.array(places), sizes),
+                     lists(pa.array(np.concatenate([parity(s) for s in own])), [PARITY_BITS // 64] * len(own))],
+                    ["doc_id", "n", "sigs", "places", "bits"])
 
     reps = sets.select(F.col("rep").alias("doc_id"))
     prefixes = stage(
-        documents.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(signatures, "doc_id long, n int, sigs array<long>")
-        .dropDuplicates(["doc_id"]).join(reps, "doc_id", "left_semi"), "prefixes")
+        documents.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(signatures, "doc_id long, n int, sigs array<long>, places array<int>, bits array<long>")
+        .join(reps, "doc_id", "left_semi"), "prefixes")
     count = prefixes.agg(F.sum(F.size("sigs"))).first()[0] or 0
     sig_bits = sketch_bits(count)
     repeated = repeated_bits(prefixes.select("sigs"), lambda b: iter([flat(b.column(0))[0].view(np.uint64)]), sig_bits)
@@ -163,36 +191,48 @@ def _links(documents, sets, sketch, bits, shingle, percent, frequent, hub_rounds
     def shared(batches: Batches) -> Batches:
         for batch in batches:
             sigs, offsets = flat(batch.column("sigs"))
+            places = flat(batch.column("places"))[0]
+            # The signature at the place before: two sets that share it too meet there already.
+            after = np.zeros(len(sigs), bool)
+            after[1:] = places[1:] == places[:-1] + 1
+            after[offsets[:-1][offsets[:-1] < len(sigs)]] = False
             keep = is_repeated(repeated.value, sigs.view(np.uint64), sig_bits)
             row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))[keep]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sigs[keep]), batch.column("doc_id").take(pa.array(row)), batch.column("n").take(pa.array(row))],
-                ["sig", "doc_id", "n"])
+                [pa.array(sigs[keep]), batch.column("doc_id").take(pa.array(row)), batch.column("n").take(pa.array(row)),
+                 pa.array(places[keep]), pa.array(np.roll(sigs, 1)[keep], mask=~after[keep])], ["sig", "doc_id", "n", "place", "prev"])
 
-    members = stage(prefixes.mapInArrow(shared, "sig long, doc_id long, n int"), "signatures")
+    members = stage(prefixes.drop("bits").mapInArrow(shared, "sig long, doc_id long, n int, place int, prev long"), "signatures")
+    # Sizes, and what can still be in common from the places on, must allow the threshold.
+    fits = f"""{100 + percent} * least(n - place, other_n - other_place) >= {percent} * (n + other_n)
+        AND 100 * least(n, other_n) >= {percent} * greatest(n, other_n)"""
     labels = links = pairs = None
     for turn in range(hub_rounds + 1):
         own = members if labels is None else members.join(
             labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
         own = own.withColumn("c", F.coalesce("component", "doc_id") if labels is not None else F.col("doc_id"))
-        pick = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("c").alias("hub_c"))
+        # Members with few tokens of their own are similar to most others: they make the best hubs.
+        pick = F.struct(
+            F.floor(100 * F.col("place") / F.col("n")).alias("own"), F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("other"),
+            F.col("n").alias("other_n"), F.col("place").alias("other_place"), F.col("c").alias("other_c"))
         hubs = own.groupBy("sig").agg(F.min(pick).alias("hub"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
         if turn < hub_rounds:
-            found = own.join(hubs.select("sig", "hub.*"), "sig").where("c <> hub_c").select(
-                "doc_id", "n", F.col("hub").alias("other"), F.col("hub_n").alias("other_n"))
+            found = own.join(hubs.select("sig", "hub.*"), "sig").where(f"c <> other_c AND {fits}")
         else:
-            own = stage(own.join(hubs, "sig", "left_semi").select("sig", "doc_id", "n", "c"), "open")
-            found = own.alias("x").join(own.alias("y"), "sig").where("x.doc_id < y.doc_id AND x.c <> y.c").select(
-                "x.doc_id", "x.n", F.col("y.doc_id").alias("other"), F.col("y.n").alias("other_n"))
-        fresh = found.where(f"100 * least(n, other_n) >= {percent} * greatest(n, other_n)").select(
+            own = stage(own.join(hubs, "sig", "left_semi").select("sig", "doc_id", "n", "place", "prev", "c"), "open")
+            own = own.join(prefixes.select("doc_id", "bits"), "doc_id")
+            twin = own.select("sig", *(F.col(x).alias(y) for x, y in (
+                ("doc_id", "other"), ("n", "other_n"), ("place", "other_place"), ("prev", "other_prev"), ("c", "other_c"), ("bits", "other_bits"))))
+            apart = reduce(add, (F.bit_count(F.get("bits", F.lit(k)).bitwiseXOR(F.get("other_bits", F.lit(k)))) for k in range(PARITY_BITS // 64)))
+            near = (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("other_n"))
+            found = own.join(twin, "sig").where(F.expr(f"doc_id < other AND c <> other_c AND coalesce(prev <> other_prev, true) AND {fits}") & near)
+        fresh = found.select(
             F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
         if pairs is not None:
             fresh = fresh.join(pairs, ["a", "b"], "left_anti")
         fresh = stage(fresh, "pairs")
         pairs = fresh if pairs is None else pairs.unionByName(fresh)
         if fresh.isEmpty():
-            if turn >= hub_rounds - 1:
-                break
             continue
         met = stage(similar_pairs(documents, fresh, shingle, percent), "links")
         links = met if links is None else links.unionByName(met)
@@ -203,28 +243,38 @@ def _links(documents, sets, sketch, bits, shingle, percent, frequent, hub_rounds
 
 
 def similar_pairs(documents: DataFrame, pairs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Those of the pairs (``a``, ``b``) whose sets reach the threshold, with ``common`` and ``total``."""
+    """Those of the pairs (``a``, ``b``) whose sets reach the threshold, with ``common`` and ``total``.
 
-    def encode(batches: Batches) -> Batches:
+    Texts travel to the pairs, not sets, which are larger. A bitmap of the ids in pairs, of bounded size, keeps
+    nearly all other texts where they are.
+    """
+    bits = sketch_bits(2 * pairs.count())
+
+    def named(batch: pa.RecordBatch):
+        for side in ("a", "b"):
+            yield np.repeat(mix(batch.column(side).to_numpy().view(np.uint64)), 2)
+
+    wanted = repeated_bits(pairs.select("a", "b"), named, bits)
+
+    def involved(batches: Batches) -> Batches:
         for batch in batches:
-            for piece, sets in _sets(batch, shingle):
-                yield pa.RecordBatch.from_arrays([ids(piece), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "tokens"])
+            keep = is_repeated(wanted.value, mix(ids(batch).to_numpy().view(np.uint64)), bits)
+            yield batch.filter(pa.array(keep))
 
     def verify(batches: Batches) -> Batches:
         for batch in batches:
             rows = ([], [], [], [])
-            for a, b, x, y in zip(*(batch.column(c) for c in ("a", "b", "x", "y")), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                total = len(x) + len(y) - common
-                if common and 100 * common >= percent * total:
-                    for out, value in zip(rows, (a.as_py(), b.as_py(), common, total), strict=True):
-                        out.append(value)
+            for piece in chunks(batch, "x"):
+                left, right = (list(shingle_sets(split_words(piece.column(c), _WORDS, lower=True), shingle)) for c in ("x", "y"))
+                for a, b, x, y in zip(piece.column("a").to_pylist(), piece.column("b").to_pylist(), left, right, strict=True):
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    total = len(x) + len(y) - common
+                    if common and 100 * common >= percent * total:
+                        for out, value in zip(rows, (a, b, common, total), strict=True):
+                            out.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], ["a", "b", "common", "total"])
 
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = stage(texts.mapInArrow(encode, "id long, tokens binary"), "verify")
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
+    kept = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(involved, "doc_id long, text string")
+    left = pairs.join(kept.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
+    both = left.join(kept.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, common long, total long")
