@@ -42,7 +42,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; personal data in them is replaced by its kind, and ``n_chars`` follows the text."""
-    return redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+    return redact(docs.select(*COLUMNS), "doc_id").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -203,11 +203,16 @@ def span_text(found: Column) -> Column:
     return F.concat_ws(",", F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
 
 
-def redact(documents: DataFrame) -> DataFrame:
-    """The documents, all columns, with every span of ``text`` replaced by its kind in square brackets."""
-    keyed = stage(documents.withColumn("pii_row", F.monotonically_increasing_id()), "pii-input")
-    found = spans(keyed.select(F.col("pii_row").alias("doc_id"), "text")).where(F.size("spans") > 0)
-    marked = keyed.join(found.select(F.col("doc_id").alias("pii_row"), F.col("spans").alias("pii_spans")), "pii_row", "left")
+def redact(documents: DataFrame, key: str | None = None) -> DataFrame:
+    """The documents, all columns, with every span of ``text`` replaced by its kind in square brackets.
+
+    ``key`` is a column that tells all rows apart; without one a copy of the input with row numbers is staged.
+    """
+    columns, keyed = documents.columns, documents
+    if key is None:
+        key, keyed = "pii_row", stage(documents.withColumn("pii_row", F.monotonically_increasing_id()), "pii-input")
+    found = spans(keyed.select(F.col(key).alias("doc_id"), "text")).where(F.size("spans") > 0)
+    marked = keyed.join(found.select(F.col("doc_id").alias(key), F.col("spans").alias("pii_spans")), key, "left")
     # Overlapping spans become one cut, named by the first.
     joined = F.aggregate("pii_spans", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")), lambda s, x: F.struct(
         F.greatest(s["at"], x["end"]).alias("at"),
@@ -216,4 +221,4 @@ def redact(documents: DataFrame) -> DataFrame:
         .otherwise(s["out"]).alias("out")))
     redacted = let(joined, lambda s: F.concat(F.array_join(s["out"], ""), F.substring("text", (s["at"] + 1).cast("int"), F.length("text"))))
     return marked.select(*(
-        F.when(F.size("pii_spans") > 0, redacted).otherwise(F.col("text")).alias("text") if c == "text" else c for c in documents.columns))
+        F.when(F.size("pii_spans") > 0, redacted).otherwise(F.col("text")).alias("text") if c == "text" else c for c in columns))
