@@ -2,7 +2,8 @@
 
 Each page proposes containers: for every block element its own text, less what lies in boilerplate (by tag, by words
 of its class, id or role) or in links, is scored, and the best container votes for its generalised path: tags and
-classes from the root, numbers replaced by ``#``. Votes are summed by host in Spark, and each page is cut again along
+classes from the root, numbers replaced by ``#``. The best is the tightest one around the text, widened to the article or
+main that it is part of and to elements around with text of the same flow, such as a title or lead. Votes are summed by host in Spark, and each page is cut again along
 its host's winning path; a page without that path uses its own best container. A hot host only means larger
 sums: votes are combined before the shuffle, and winners, one row a host, are joined to the pages.
 
@@ -52,6 +53,8 @@ _NO_BREAK = {"img", "input", "wbr", "embed", "svg", "canvas", "button", "select"
 _KEEPS = {"body", "html", "article", "main"}  # words of their class describe the page, not the element
 _CLOSES_P = re.compile("^(?:address|article|aside|blockquote|div|dl|fieldset|footer|form|h[1-6]|header|hr|main|nav|ol|p|pre|section|table|ul)$")
 _CLOSED_BY_LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_WHOLE = {"article", "main"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _SCOPES = {"ul", "ol", "dl", "table", "td", "th", "div", "article", "section", "body", "html", "main", "aside", "nav"}
 
 
@@ -143,9 +146,10 @@ def _close(open_: list[_Node], tags: set[str]) -> None:
 
 
 def best_container(source: str) -> str | None:
-    """The path of the container that holds most text of its own, deep ones first on near ties."""
+    """The path of the container that holds most text of its own, deep ones first on near ties, widened."""
     scores: dict[int, list] = {}
-    for node, text, _ in page_blocks(source):
+    pieces = list(page_blocks(source))
+    for node, text, _ in pieces:
         size = len(text.split())
         if not size or node.skip:
             continue
@@ -153,12 +157,62 @@ def best_container(source: str) -> str | None:
         # Text passes on to outer containers with a loss, so the tightest one around the text wins.
         while node is not None and abs(gain) > size / 100:
             if node.tag in CONTAINERS:
-                entry = scores.setdefault(node.number, [0.0, node.path])
+                entry = scores.setdefault(node.number, [0.0, node])
                 entry[0] += gain
                 gain *= 0.8
             node = node.parent
     best = max(scores.items(), key=lambda x: (x[1][0], x[0]), default=None)
-    return best[1][1] if best and best[1][0] > 0 else None
+    return _widened(best[1][1], pieces).path if best and best[1][0] > 0 else None
+
+
+def _widened(tight: _Node, pieces: list[tuple[_Node, str, bool]]) -> _Node:
+    """The nearest article or main around the tightest container, and further out while text of the same flow is there.
+
+    An element around it is of the same flow if it holds text itself (or in its sections, not in other containers),
+    of the body only if that has a heading, and if what it adds is more text than links.
+    """
+    out = tight
+    while out.parent is not None and out.tag not in _WHOLE:
+        out = out.parent
+    out = out if out.tag in _WHOLE else tight
+    around, node = {}, tight
+    while node is not None:
+        around[node.number] = len(around)
+        node = node.parent
+    added = [[0, 0] for _ in around]  # words and words of links, by the innermost element around them
+    flow, titled = [0] * len(around), [False] * len(around)
+    place: dict[int, tuple[int, bool, bool]] = {}
+
+    def placed(node: _Node) -> tuple[int, bool, bool]:
+        """The innermost element around, whether no other container lies between, and whether it is in a heading."""
+        way = []
+        while node.number not in place and node.number not in around:
+            way.append(node)
+            node = node.parent
+        at, direct, heading = place.get(node.number) or (around[node.number], True, False)
+        for node in reversed(way):
+            direct, heading = direct and (node.tag not in CONTAINERS or node.tag == "section"), heading or node.tag in _HEADINGS
+            place[node.number] = at, direct, heading
+        return at, direct, heading
+
+    for node, text, _ in pieces:
+        size = len(text.split())
+        if size and not node.skip:
+            at, direct, heading = placed(node)
+            added[at][node.link] += size
+            if direct and not node.link:
+                flow[at] += size
+                titled[at] |= heading
+    node, words, links, own, title = out, 0, 0, 0, False
+    for at in range(around[out.number] + 1, len(around)):
+        node = node.parent
+        words, links = words + added[at][0], links + added[at][1]
+        own, title = own + flow[at], title or titled[at]  # text in a section or list around belongs to what is around that
+        if node.tag in CONTAINERS and node.tag != "section":
+            if words > links and (title if node.tag in ("body", "html") else own):
+                out, words, links = node, 0, 0
+            own, title = 0, False
+    return out
 
 
 def main_text(source: str, path: str) -> str:

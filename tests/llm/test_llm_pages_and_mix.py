@@ -89,6 +89,35 @@ def test_host_consensus(spark):
     assert H.extract(pages.where("false")).count() == 0
 
 
+LONG = "<p>" + "many words of the body " * 60 + "</p>"
+BODY = " ".join(LONG[3:-4].split())
+
+
+@pytest.mark.parametrize("inner, want", [
+    ("<article><h1>Title</h1><p>The lead</p><div class=body>{}</div><p>The end</p></article>", "Title The lead {} The end"),
+    ("<article><h1>Title</h1><section><p>short</p></section><section>{}<figure><figcaption>Caption</figcaption></figure></section></article>",
+     "Title short {} Caption"),
+    ("<article><div class=head><h1>Title</h1></div><div class=body>{}</div></article>", "Title {}"),
+    ("<main><h1>Title</h1><div><div class=body>{}</div></div><p>The end</p></main>", "Title {} The end"),
+    ("<main><h1>Title</h1><p>The lead</p><article>{}</article></main>", "Title The lead {}"),
+    ("<div class=top>Site name and slogan</div><div class=post><h1>Title</h1><p>The lead</p><div class=body>{}</div><p>The end</p></div>",
+     "Title The lead {} The end"),
+    ("<div class=post><h1>Title</h1><section>short</section><section>{}</section></div><div class=more>Other text</div>", "Title short {}"),
+    ("<h1>Title</h1><p>The lead</p><div class=body>{}</div>", "Title The lead {}"),
+    ("<p>Loose words</p><div class=body>{}</div><div class=more>Other text</div>", "{}"),
+    ("<div class=page><p>Go <a>to one</a> <a>to two</a> <a>and three</a></p><div class=body>{}</div></div>", "{}"),
+])
+def test_text_around_the_body(spark, inner, want):
+    source = f"<html><body><nav><a>Home</a></nav>{inner.format(LONG)}<footer>&copy; Example</footer></body></html>"
+    assert H.main_text(source, H.best_container(source)) == want.format(BODY)
+
+
+def test_hosts_vote_for_whole_articles(spark):
+    inner = "<article><h1>Title {0}</h1><p>Lead {0}</p><div class=body>" + LONG + "</div><p>End {0}</p></article>"
+    pages = spark.createDataFrame([(n, "http://h.example/a", f"<body>{inner.format(n)}</body>") for n in range(5)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in H.extract(pages).collect()} == {n: f"Title {n} Lead {n} {BODY} End {n}" for n in range(5)}
+
+
 def test_pages_of_the_table(spark):
     rows = queries.op5_html_extraction(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect()
     import html
