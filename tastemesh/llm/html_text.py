@@ -8,7 +8,8 @@ its host's winning path; a page without that path uses its own best container. A
 sums: votes are combined before the shuffle, and winners, one row a host, are joined to the pages.
 
 Inside a container the text of blocks is kept in page order; boilerplate elements are left out, but not headings of an
-article. White space inside a block becomes one space; blocks are joined by one space.
+article, nor elements around the article or most of the page's text. Words mark an element only as a whole class
+token, role or id. White space inside a block becomes one space; blocks are joined by one space.
 
 Edge cases: null or empty html gives an empty text; text outside any element counts as the body's; unclosed, stray
 and overlapping tags, quoted ``>``, comments, CDATA and raw text elements are handled; pages of a null or unparsable
@@ -20,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +42,7 @@ INLINE = {
     "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "center",
 }
 LEFT_OUT = {"nav", "header", "footer", "aside", "form", "menu", "head", "button", "select", "dialog", "svg", "canvas", "audio", "video", "object", "map", *RAW}
+_AROUND = {"form"}  # of these, those that are found around whole pages
 CONTAINERS = {"html", "body", "article", "main", "section", "div", "td", "center", "content"}
 _LEFT_OUT_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "sidebar", "menu", "nav",
@@ -48,6 +50,18 @@ _LEFT_OUT_WORDS = {
     "newsletter", "subscribe", "signup", "login", "share", "sharing", "social", "related", "recommended", "comment", "comments", "reply", "replies",
     "disqus", "widget", "search", "toolbar", "pagination", "pager", "copyright", "skip", "hidden", "contentinfo", "complementary",
 }
+# Words that may stand beside those in a class token or id without changing what it is.
+_NEUTRAL_WORDS = {
+    "slot", "box", "bar", "block", "area", "wrap", "wrapper", "container", "inner", "outer", "holder", "panel", "section", "region", "zone", "unit", "group",
+    "list", "item", "items", "link", "links", "button", "buttons", "btn", "icon", "icons", "form", "field", "input", "toggle", "trigger", "title", "heading",
+    "text", "body", "thread", "respond", "count", "posts", "post", "entry", "article", "articles", "story", "stories", "site", "page", "main", "global",
+    "primary", "secondary", "top", "bottom", "left", "right", "col", "column", "row", "x", "google", "dfp", "media", "overlay", "message", "tabs", "trail", "default",
+}
+# Things apart from the article, which may be longer than it is; no layout wraps the article in one of them.
+_APART_WORDS = {
+    "comment", "comments", "reply", "replies", "disqus", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "copyright", "related", "recommended", "newsletter",
+}
+_TITLED = {"post", "entry", "article", "story"}  # their headers hold titles
 _LONG_PATH = 400
 _NO_BREAK = {"img", "input", "wbr", "embed", "svg", "canvas", "button", "select"}
 _KEEPS = {"body", "html", "article", "main"}  # words of their class describe the page, not the element
@@ -61,39 +75,106 @@ _SCOPES = {"ul", "ol", "dl", "table", "td", "th", "div", "article", "section", "
 class _Node:
     """An open element: its generalised path, the element around it, and what it inherits."""
 
-    __slots__ = ("tag", "path", "parent", "skip", "link", "article", "inside", "number")
+    __slots__ = ("tag", "path", "parent", "skip", "link", "article", "inside", "number", "mark")
 
-    def __init__(self, tag: str, path: str, parent: _Node | None, number: int, skip: bool = False, wanted: str | None = None):
-        self.tag, self.path, self.parent, self.number = tag, path, parent, number
-        self.skip = skip or (parent is not None and parent.skip)
+    def __init__(self, tag: str, path: str, parent: _Node | None, number: int, mark: int = 0, kept: bool = False, wanted: str | None = None):
+        self.tag, self.path, self.parent, self.number, self.mark = tag, path, parent, number, mark
+        self.skip = (mark > 0 and not kept) or (parent is not None and parent.skip)
         self.link = tag == "a" or (parent is not None and parent.link)
         self.article = tag == "article" or (parent is not None and parent.article)
         self.inside = (parent is not None and parent.inside) or (tag not in INLINE and path == wanted)
 
 
-def _step(tag: str, attributes: str, article: bool) -> tuple[str, bool]:
-    """The path step of an element, and whether its attributes mark it as boilerplate."""
+def _named(tokens: list[str], article: bool) -> int:
+    """The mark of class tokens, roles or an id: 0 for none, 2 for things apart from any article, else 1."""
+    mark = 0
+    for token in tokens:
+        words = set(re.split("[^a-z]+", token)) - {""}
+        named = words & _LEFT_OUT_WORDS
+        if article or not _TITLED.isdisjoint(words):
+            named -= {"header"}
+        if named and words <= _LEFT_OUT_WORDS | _NEUTRAL_WORDS:
+            mark = max(mark, 1 if named.isdisjoint(_APART_WORDS) else 2)
+    return mark
+
+
+def _step(tag: str, attributes: str, article: bool) -> tuple[str, int]:
+    """The path step of an element, and the mark its attributes give it as boilerplate.
+
+    A token counts as a whole, so ``with-sidebar`` or ``no-comments`` say nothing. Ids of headings, and of sections
+    of an article, are made from their titles and say nothing either.
+    """
     if not attributes.strip(" /\n\t"):
-        return tag, False
-    step, skip = tag, False
+        return tag, 0
+    step, mark = tag, 0
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), html.unescape("".join(values)).lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            skip = True
+            mark = max(mark, 1)
         elif name == "style":
-            skip |= "display:none" in value.replace(" ", "")
+            mark = max(mark, int("display:none" in value.replace(" ", "")))
         elif name in ("class", "id", "role"):
-            words = set(re.split(r"[^a-z]+", value)) - ({"header"} if article else set())
-            skip |= tag not in _KEEPS and not _LEFT_OUT_WORDS.isdisjoint(words)
+            slug = name == "id" and (tag in _HEADINGS or (tag == "section" and article))
+            if tag not in _KEEPS and not slug:
+                mark = max(mark, _named(value.split(), article))
             if name == "class":
                 step += "".join(f".{c}" for c in sorted(set(re.sub("[0-9]+", "#", value).split())))
-    return step, skip
+    return step, mark
 
 
-def page_blocks(source: str, wanted: str | None = None) -> Iterator[tuple[_Node, str, bool]]:
+def page_pieces(source: str, wanted: str | None = None) -> list[tuple[_Node, str, bool]]:
+    """The pieces of ``page_blocks``, where marked elements that hold the article or most of the text are not skipped."""
+    pieces = list(page_blocks(source, wanted))
+    kept = _wrappers(pieces)
+    return list(page_blocks(source, wanted, kept)) if kept else pieces
+
+
+def _wrappers(pieces: list[tuple[_Node, str, bool]]) -> set[int]:
+    """Numbers of the marked elements around the article or around most of the text outside links."""
+    nodes: dict[int, _Node] = {}
+    words: dict[int, int] = {}
+    for node, text, _ in pieces:
+        if not node.link:
+            words[node.number] = words.get(node.number, 0) + len(text.split())
+        while node is not None and node.number not in nodes:
+            nodes[node.number] = node
+            node = node.parent
+    order = sorted(nodes)  # outer elements first
+    if not any(nodes[n].mark for n in order):
+        return set()
+    nearest: dict[int, int] = {}  # the innermost marked element around, -1 for none
+    shown: dict[int, int] = {}  # words by that element
+    total = dict.fromkeys(order, 0) | words
+    for n in order:
+        node = nodes[n]
+        nearest[n] = n if node.mark else nearest[node.parent.number] if node.parent else -1
+        shown[nearest[n]] = shown.get(nearest[n], 0) + words.get(n, 0)
+    for n in reversed(order):
+        if nodes[n].parent:
+            total[nodes[n].parent.number] += total[n]
+    article = max((n for n in order if nodes[n].tag in _WHOLE and total[n]), key=lambda n: (total[n], -n), default=None)
+    around, node = set(), nodes.get(article)
+    while node is not None:
+        around.add(node.number)
+        node = node.parent
+    kept, left = {-1}, shown.get(-1, 0)
+    for level in (1, 2):  # things apart only around an article, and where nothing else is left of the page
+        for n in order:
+            node = nodes[n]
+            if node.mark not in range(1, level + 1) or n in kept or (node.parent and nearest[node.parent.number] not in kept):
+                continue
+            most = node.mark == 1 and 2 * total[n] > total[order[0]] and total[n] > 4 * left
+            if most or (n in around and total[article] > left and (node.mark == 1 or not left)):
+                kept.add(n)
+                left += shown.get(n, 0)
+    kept.discard(-1)
+    return kept
+
+
+def page_blocks(source: str, wanted: str | None = None, kept: Set[int] = frozenset()) -> Iterator[tuple[_Node, str, bool]]:
     """Pieces of text in page order with the element around them, and whether a block starts before the piece.
 
-    Elements on the path ``wanted`` and below are ``inside``.
+    Elements on the path ``wanted`` and below are ``inside``; marked ones whose number is in ``kept`` are not skipped.
     """
     open_, at, count, fresh = [_Node("html", "html", None, 0, wanted=wanted)], 0, 1, True
     while at < len(source):
@@ -126,12 +207,13 @@ def page_blocks(source: str, wanted: str | None = None) -> Iterator[tuple[_Node,
         if tag in VOID or (attributes.endswith("/") and tag in ("svg", "path", "circle", "rect", "use")):
             continue
         above = open_[-1]
-        step, marked = _step(tag, attributes, above.article)
-        skip = marked or (tag in LEFT_OUT and not (tag == "header" and above.article))
+        step, mark = _step(tag, attributes, above.article)
+        if tag in LEFT_OUT and not (tag == "header" and above.article):
+            mark = max(mark, 1 if tag in _AROUND else 2)
         path = above.path if tag in INLINE else f"{above.path}>{step}"
         if len(path) > _LONG_PATH:  # deep pages keep short names
             path = "~" + hashlib.blake2b(path.encode(), digest_size=16).hexdigest()
-        open_.append(_Node(tag, path, above, count, skip, wanted))
+        open_.append(_Node(tag, path, above, count, mark, count in kept, wanted))
         count += 1
 
 
@@ -148,7 +230,7 @@ def _close(open_: list[_Node], tags: set[str]) -> None:
 def best_container(source: str) -> str | None:
     """The path of the container that holds most text of its own, deep ones first on near ties, widened."""
     scores: dict[int, list] = {}
-    pieces = list(page_blocks(source))
+    pieces = page_pieces(source)
     for node, text, _ in pieces:
         size = len(text.split())
         if not size or node.skip:
@@ -219,7 +301,7 @@ def main_text(source: str, path: str) -> str:
     """Text of all elements on the path, boilerplate left out; blocks joined by one space."""
     blocks: list[str] = []
     parts: list[str] = []
-    for node, text, fresh in page_blocks(source, path):
+    for node, text, fresh in page_pieces(source, path):
         if fresh and parts:
             blocks.append("".join(parts))
             parts = []

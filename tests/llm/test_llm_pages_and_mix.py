@@ -118,6 +118,26 @@ def test_hosts_vote_for_whole_articles(spark):
     assert {r.page_id: r.text for r in H.extract(pages).collect()} == {n: f"Title {n} Lead {n} {BODY} End {n}" for n in range(5)}
 
 
+@pytest.mark.parametrize("inner, want", [
+    ("<div class='content with-sidebar'><article><h1>Title</h1>{}</article><div class=sidebar>Other text</div></div>", "Title {}"),
+    ("<div id=page class=has-header><h1>Title</h1>{}</div>", "Title {}"),
+    ("<div class='post no-comments'><h1>Title</h1>{}</div>", "Title {}"),
+    ("<div class=widget><div class=sidebar><article><h1>Title</h1>{}</article></div><div class=share>Tell all</div></div>", "Title {}"),
+    ("<form id=search><div class=menu>Other text</div><div class=post><h1>Title</h1>{}</div></form>", "Title {}"),
+    ("<div class=banner><p>{}</p></div>", "{}"),
+    ("<article><h2 id='related-work'>Related work</h2><section id=search><p>How to search</p></section>{}</article>", "Related work How to search {}"),
+    ("<article><section id='social-history'><p>Past</p></section><h3 id=comments>Comments</h3>{}</article>", "Past Comments {}"),
+    ("<div class=post><h2 id=related>Related</h2>{}<div class='social-share ad-slot-2'>Tell all</div></div>", "Related {}"),
+    ("<div class=post>{}</div><aside><article>Other text</article></aside><div class=sidebar><article>More text</article></div>", "{}"),
+    ("<article><p>{}</p></article><div class=comments><article><p>" + "chatter " * 900 + "</p></article></div>", "{}"),
+    ("<div class=post><p>{}</p></div><div id=cookie-consent><p>" + "cookies " * 900 + "</p></div>", "{}"),
+    ("<div class=post><p>{}</p></div><div class=sidebar><p>" + "beside " * 600 + "</p></div>", "{}"),
+])
+def test_marked_elements(spark, inner, want):
+    source = f"<html><body><nav><a>Home</a></nav>{inner.format(LONG)}<footer>&copy; Example</footer></body></html>"
+    assert H.main_text(source, H.best_container(source)) == want.format(BODY)
+
+
 def test_pages_of_the_table(spark):
     rows = queries.op5_html_extraction(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect()
     import html
