@@ -2,24 +2,30 @@
 
 High-recall generators propose spans, overlapping between kinds. A candidate carries its format (length, digits,
 groups, checks) and its context (the characters and words before it, the character after). Gradient-boosted trees
-are trained on a bounded sample (``TRAIN_ROWS``) of the candidates whose checks tell what they are: checksums,
-ranges, reserved numbers. The checks are no features, so the trees learn what such data looks like and judge
+are trained on a bounded sample (``TRAIN_ROWS``, shared by the kinds) of the candidates whose checks tell what they are:
+checksums, ranges, reserved numbers; and on texts made from ``EXAMPLES``, so that every kind added to the base ones has
+labelled candidates of both sorts in any corpus. The checks are no features, so the trees learn what such data looks like and judge
 candidates without one. Other labelled candidates, all of them, calibrate one threshold a kind: the least score at
-which ``PRECISION`` of them are personal. Spans of the base patterns that pass their checks are always kept.
+which ``PRECISION`` of them are personal. Spans of the base patterns that pass their checks are always kept, and so are
+valid IBANs and written-out addresses that are mail addresses once their signs are put back, whatever the threshold. Of these
+two kinds nothing else is added, as their checks tell about every span.
+A base kind without labelled candidates in the corpus stays uncalibrated, and nothing is added of it.
 
 The texts are read once; what leaves their rows are the candidates. Positions are code points. Patterns use
 possessive groups, and a run of characters is entered at its start only, so long runs cost linear time.
 
 Edge cases: null texts have no spans; rows are told apart by a row number, so equal rows and null ``doc_id`` each get
-their row; other columns are not read; without labelled candidates of both sorts nothing is added to the base.
+their row; other columns are not read.
 """
 
 from __future__ import annotations
 
+import random
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tastemesh.llm.exprs import let, positions
@@ -53,9 +59,35 @@ CONTEXT = {
     "says_key": r"(?i)\b(?:token|key|secret|password|auth)\b",
     "says_version": r"(?i)\b(?:version|ver|v|section|release|order|no|item)\b",
 }
+# By kind, personal data and what looks like it. ``#`` is a digit, ``x`` a hex digit, ``a`` a small letter,
+# ``A`` a capital one, ``*`` any of them; the rest stands for itself. ``{}`` is the value.
+EXAMPLES = {
+    "handle": (
+        ("aaaa.aaaa (at) aaaaaa (dot) aaa", "aaaaa [at] aaaaaaa [dot] aaa [dot] aa", "aaaa##(at)aaaaa(dot)aaa", "aaa.aaaaa (at) aaaaaaaa.aaa"),
+        ("aaaa@aaaaa", "aaaa.aaaa@aaaaaa", "aaaa (at) aaaaa", "aaa##@aaaa-##", "aaaaa [at] aaa"),
+        ("write to {} please", "my mail: {}", "contact {}", "login {}", "{}", "see {} now")),
+    "call": (
+        ("(2##) 3##-####", "2##-3##-####", "0## 4## ####", "2##.3##.####", "0### 5## ####"),
+        ("## ### 20##", "##.###.####", "19## 19## 20##", "20## 201# 202#", "## #### 19##", "10-### -####"),
+        ("call me: {}.", "phone {}", "tel. {}", "my number is {}", "{}", "fax {} or mail"),
+        ("order no {}", "version {}", "in the years {}", "item {}", "section {}", "parts {} in total")),
+    "ssn": (
+        ("1##-4#-1###", "2##-5#-6###", "5##-1#-7###"), ("9##-4#-1###", "000-5#-6###", "5##-00-7###"),
+        ("my ssn is {}", "social security {}", "ssn: {}", "id {}"), ("order {}", "item {} sold", "version {}", "no {}")),
+    "mac": (
+        ("0x:1x:4x:xx:xx:xx", "3C-22-xx-xx-xx-xx", "ax:5x:xx:xx:xx:xx", "A4:xx:xx:xx:xx:xx"),
+        ("00:00:00:00:00:00", "FF:FF:FF:FF:FF:FF", "ff-ff-ff-ff-ff-ff", "1#:2#:3#:4#:5#:1#", "20-1#-0#-1#-2#-3#", "01:02:03:04:05:06"),
+        ("mac address {}", "from {}", "host {} is up", "device {}", "{}"), ("times {}", "version {}", "broadcast {}", "set {}", "on {}")),
+    "secret": (
+        ("password: aaaa##", "password: Aaaa#aa", "passwd=a#a#a#a#", "secret: ##aaaa##", "password = Aaaa_##_Aa", "pwtoken=******a#", "api_key=******#a****",
+         "password: ########", "password: AaAaaAaA", "password: aaaaa-aaaaaa-aaaaaa", "secret=aaaaaaaaAAAAaaaa", "token = \"xxxxxxxxxxxxxxxxxxxxxxxx1a"),
+        ("password: aaaaaa", "password: aaaaaaaa", "password: aaaaaaaaaa", "token: aaaaaaa", "secret: aaaaaaaa", "secret = Aaaaaaa", "api_key: aaaaaa", "password: ******"),
+        ("the {} is new", "{}", "set {} now", "his {}", "with {} and")),
+}
+EXAMPLE_TEXTS = 60  # of each kind and sort
 FEATURES = (
     "kind_no", "length", "digits", "letters", "digit_share", "upper_share", "groups", "longest_group", "shortest_group", "marks",
-    "distinct_share", "after_word", "before_word", "before_blank", *CONTEXT,
+    "distinct_share", "value_length", "value_digits", "value_capitals", "value_marks", "octets", "after_word", "before_word", "before_blank", *CONTEXT,
 )
 
 
@@ -93,8 +125,13 @@ def _iban_valid(span: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), lambda s, ch: F.when(ch == "", s).otherwise(step(s, ch))) == 1
 
 
+def _written_out(span: Column) -> Column:
+    """The span with ``(at)`` and ``(dot)`` as signs."""
+    return F.regexp_replace(F.regexp_replace(span, r"\x20?[(\[]at[)\]]\x20?", "@"), r"\x20?[(\[]dot[)\]]\x20?", ".")
+
+
 def candidates(scanned: DataFrame) -> DataFrame:
-    """One row a candidate: ``start``, ``end``, whether it is a ``base`` span, ``label`` (null: unknown), features."""
+    """One row a candidate: ``start``, ``end``, whether it is a ``base`` span or ``sure``, ``label`` (null: unknown), features."""
     rows = scanned.select("row", F.explode("found").alias("f")).select("row", "f.*")
     upto = Window.partitionBy("row", "kind").orderBy("i")
     size = F.length("span")
@@ -108,15 +145,20 @@ def candidates(scanned: DataFrame) -> DataFrame:
         "card": n_digits.between(12, 19) & _luhn(digits),
         "phone": n_digits.between(9, 15),
     }
+    address = _written_out(span).rlike(rf"^[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++$")
     value = F.regexp_extract(span, r"[=:]\x20?[\"']?(.*)$", 1)
     told = {
         **passes,
         "card": F.when(n_digits.between(12, 19), _luhn(digits)),
-        "handle": F.when(~span.contains("."), F.lit(False)),
+        "handle": address,
         "ssn": ~span.rlike("^(?:000|666|9)|-00-|-0000$"),
         "iban": _iban_valid(span),
-        "secret": (F.length(value) >= 16) & value.rlike("[0-9]") & value.rlike("[A-Za-z]"),
+        # Short values, and those without a digit, may be either; plain words of a usual length are none.
+        "secret": F.when((F.length(value) >= 16) & value.rlike("[0-9]") & value.rlike("[A-Za-z]"), F.lit(True)).when(
+            value.rlike("^[A-Z]?[a-z]{1,11}$"), F.lit(False)),
+        "mac": F.when(F.size(F.array_distinct(F.split(span, "[:-]"))) == 1, F.lit(False)),
     }
+    sure = {"iban": _iban_valid(span), "handle": address}
 
     def by_kind(checks: dict[str, Column], other: Column) -> Column:
         out = F
@@ -127,12 +169,15 @@ def candidates(scanned: DataFrame) -> DataFrame:
     part = lambda pattern: size - F.length(F.regexp_replace("span", pattern, ""))
     return placed.select(
         "row", "kind", F.col("start").cast("long"), F.col("end").cast("long"),
-        by_kind(passes, F.lit(False)).alias("base"), by_kind(told, F.lit(None).cast("boolean")).cast("double").alias("label"),
+        by_kind(passes, F.lit(False)).alias("base"), F.coalesce(by_kind(sure, F.lit(False)), F.lit(False)).alias("sure"), by_kind(told, F.lit(None).cast("boolean")).cast("double").alias("label"),
         *(x.cast("double").alias(name) for name, x in {
             "kind_no": F.array_position(F.array(*map(F.lit, PATTERNS)), F.col("kind")), "length": size, "digits": n_digits,
             "letters": part("[A-Za-z]"), "digit_share": n_digits / size, "upper_share": part("[A-Z]") / size,
             "groups": F.size(groups), "longest_group": F.coalesce(longest, F.lit(0)), "shortest_group": F.coalesce(shortest, F.lit(0)),
             "marks": part("[^A-Za-z0-9]"),
+            "value_length": F.length(value), "value_digits": F.length(F.regexp_replace(value, "[^0-9]", "")),
+            "value_capitals": F.length(F.regexp_replace(value, "[^A-Z]", "")), "value_marks": F.length(F.regexp_replace(value, "[A-Za-z0-9]", "")),
+            "octets": F.size(F.array_distinct(groups)),
             "distinct_share": F.size(F.array_distinct(F.split(span, ""))) / size,
             "after_word": F.col("after").rlike("^[A-Za-z0-9]"), "before_word": F.col("before").rlike("[A-Za-z0-9]$"),
             "before_blank": F.col("before").rlike(r"(?:^|\s)$"),
@@ -140,28 +185,57 @@ def candidates(scanned: DataFrame) -> DataFrame:
         }.items()))
 
 
-def _sampled(rows: DataFrame, count: int, limit: int) -> DataFrame:
-    """About ``limit`` rows at most, by a hash of their place; the same in every run."""
-    share = min(1.0, limit / max(1, count))
-    return rows.where(F.pmod(F.xxhash64("row", "kind", "start", F.lit("train")), F.lit(1_000_000)) < int(share * 1_000_000))
+def examples(spark: SparkSession) -> DataFrame:
+    """Labelled candidates of texts made from ``EXAMPLES``, the same in every run; ``row`` is negative."""
+    rnd, rows = random.Random(11), []
+    drawn = {"#": "0123456789", "x": "0123456789abcdef", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+             "*": "abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    for kind, (yes, no, frames, *others) in EXAMPLES.items():
+        for label, shapes, around in ((1.0, yes, frames), (0.0, no, others[0] if others else frames)):
+            for n in range(EXAMPLE_TEXTS):
+                shape, keyword = shapes[n % len(shapes)], ""
+                if kind == "secret":  # the keyword stands as it is
+                    cut = next(i for i, c in enumerate(shape) if c in ":=") + 1
+                    keyword, shape = shape[:cut].replace("pwtoken", "token"), shape[cut:]
+                    if label == 0.0:
+                        shape = shape.replace("*", "a")
+                fixed = shape.split("(at)") if kind == "handle" and "(at)" in shape else [shape]
+                made = []
+                for part in fixed:
+                    pieces = part.replace("[at]", "\0").replace("(dot)", "\1").replace("[dot]", "\2")
+                    made.append("".join(rnd.choice(drawn[c]) if c in drawn else c for c in pieces))
+                value = "(at)".join(made).replace("\0", "[at]").replace("\1", "(dot)").replace("\2", "[dot]")
+                rows.append((-1 - len(rows), around[rnd.randrange(len(around))].format(keyword + value), kind, label))
+    texts = spark.createDataFrame(rows, "row long, text string, wanted string, told double")
+    found = candidates(texts.select("row", F.concat(*(_found(F.col("text"), kind) for kind in PATTERNS)).alias("found")))
+    return found.join(texts.select("row", "wanted", "told"), "row").where("kind = wanted").withColumn("label", F.col("told")).drop("wanted", "told")
+
+
+def _sampled(rows: DataFrame, counts: dict[str, int], limit: int) -> DataFrame:
+    """About ``limit`` rows at most, shared by the kinds, by a hash of their place; the same in every run."""
+    share = F.lit(0)
+    for kind, count in counts.items():
+        share = F.when(F.col("kind") == kind, int(min(1.0, limit / len(counts) / max(1, count)) * 1_000_000)).otherwise(share)
+    return rows.where((F.col("row") < 0) | (F.pmod(F.xxhash64("row", "kind", "start", F.lit("train")), F.lit(1_000_000)) < share))
 
 
 def scored(found: DataFrame) -> DataFrame:
-    """Candidates with ``score`` and the kind's ``threshold``; null where nothing could be learned."""
-    told = found.where("label IS NOT NULL").withColumn("fit", F.pmod(F.xxhash64("row", F.lit("fold")), F.lit(2)) == 0)
-    sums = told.where("fit").groupBy("label").count().collect()
-    if len(sums) < 2:
-        return found.withColumns({"score": F.lit(None).cast("double"), "threshold": F.lit(None).cast("double")})
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    training = _sampled(told.where("fit"), sum(r["count"] for r in sums), TRAIN_ROWS).select("label", *FEATURES)
+    """Candidates with ``score`` and the kind's ``threshold``."""
     spark = found.sparkSession
+    made = stage(examples(spark), "pii-examples")
+    halved = F.pmod(F.xxhash64("row", F.lit("fold")), F.lit(2))
+    told = found.where("label IS NOT NULL").unionByName(made).withColumn("fit", halved == 0)
+    counts = {r["kind"]: r["count"] for r in told.where("fit").groupBy("kind").count().collect()}  # a row a kind
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    training = _sampled(told.where("fit"), counts, TRAIN_ROWS)
+    training = training.withColumn("weight", F.lit(1.0) / F.count("*").over(Window.partitionBy("kind"))).select("label", "weight", *FEATURES)
     training = stage(training.repartition(4), "pii-training")  # a bounded sample
-    trees = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.2, seed=7, maxBins=32).fit(vectors.transform(training))
-    judged = trees.transform(vectors.transform(found)).withColumn(
+    trees = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.2, seed=7, maxBins=32, weightCol="weight").fit(vectors.transform(training))
+    judged = trees.transform(vectors.transform(found.unionByName(made))).withColumn(
         "score", F.get(vector_to_array("probability"), F.lit(1))).drop("features", "rawPrediction", "probability", "prediction")
     judged = stage(judged, "pii-scores")
     # All labelled candidates of the other fold, in a hundred steps of the score.
-    fold = judged.where("label IS NOT NULL").where(F.pmod(F.xxhash64("row", F.lit("fold")), F.lit(2)) == 1)
+    fold = judged.where("label IS NOT NULL").where(halved == 1)
     steps = fold.groupBy("kind", F.floor(F.col("score") * 100).alias("step")).agg(
         F.sum("label").alias("yes"), F.count("*").alias("all"))
     above = Window.partitionBy("kind").orderBy(F.desc("step"))
@@ -170,8 +244,8 @@ def scored(found: DataFrame) -> DataFrame:
     known = curve.select("kind").distinct().join(own, "kind", "left").select(
         "kind", F.coalesce(F.col("least") / 100, F.lit(2.0)).alias("threshold"))
     kinds = spark.createDataFrame([(k,) for k in PATTERNS], "kind string")
-    limits = stage(kinds.join(known, "kind", "left").select("kind", F.coalesce("threshold", F.lit(0.8)).alias("threshold")), "pii-limits")
-    return judged.join(limits, "kind", "left")
+    limits = stage(kinds.join(known, "kind", "left").select("kind", F.coalesce("threshold", F.lit(2.0)).alias("threshold")), "pii-limits")
+    return judged.where("row >= 0").join(limits, "kind", "left")
 
 
 def scan(documents: DataFrame) -> DataFrame:
@@ -185,7 +259,7 @@ def spans(documents: DataFrame) -> DataFrame:
     """Per document the ``spans`` to redact, ordered by start and kind, with ``base`` and ``score`` (base spans: 1)."""
     scanned = stage(scan(documents), "pii-scan")
     found = stage(candidates(scanned), "pii-candidates")
-    chosen = scored(found).where("base OR score >= threshold")
+    chosen = scored(found).where("base OR sure OR (score >= threshold AND kind NOT IN ('iban', 'handle'))")  # their checks decide all
     rank = F.array_position(F.array(*map(F.lit, PATTERNS)), F.col("kind"))
     lists = chosen.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(
         "start", rank.alias("rank"), "end", "kind", "base", F.when(F.col("base"), 1.0).otherwise(F.col("score")).alias("score")))).alias("spans"))

@@ -93,6 +93,28 @@ def test_trees_add_spans(spark):
     assert all(found[i] == [] for i in range(5, 300, 6))
 
 
+def test_every_added_kind_is_found(spark):
+    """Planted spans of each kind, in a corpus with many that look like them, or none."""
+    planted = {
+        1: ("please write to jane.doe (at) example (dot) com today", "handle"), 2: ("pay to DE89 3704 0044 0532 0130 00 soon", "iban"),
+        3: ("call me: (212) 555-0187.", "call"), 4: ("mac address 00:1b:44:11:3a:b7", "mac"), 5: ("the password: hunter27 is new", "secret"),
+        6: ("my ssn is 123-45-6789", "ssn"), 7: ("set password = Xk7_pQ2m now", "secret"), 8: ("joe [at] mail [dot] example [dot] org", "handle"),
+    }
+    plain = {20: "login joe@localhost", 21: "in the years 1998 2001 2004", 22: "broadcast ff:ff:ff:ff:ff:ff", 23: "set password: changeme now",
+             24: "account DE00 3704 0044 0532 0130 00 closed"}
+    crowd = {100 + i: [f"login u{i}@host{i}", f"account DE{i % 90 + 10} 3704 0044 0532 0130 {i:02d} closed", "set password: changeme now"][i % 3] for i in range(240)}
+    for docs in (planted | plain | crowd, planted | plain):
+        rows = {r.doc_id: [s.kind for s in r.spans] for r in P.spans(frame(spark, {i: t[0] if isinstance(t, tuple) else t for i, t in docs.items()})).collect()}
+        assert {i: rows[i] for i in planted} == {i: [k] for i, (_, k) in planted.items()}
+        assert [rows[i] for i in plain] == [[]] * len(plain)
+
+
+def test_examples_have_both_sorts(spark):
+    rows = P.examples(spark).groupBy("kind").agg(F.sum("label").alias("yes"), F.count("*").alias("all")).collect()
+    assert {r.kind for r in rows} == {"handle", "call", "ssn", "mac", "secret"}
+    assert all(r.yes >= 50 and r["all"] - r.yes >= 50 for r in rows)
+
+
 def test_redaction(spark):
     rows = {r.doc_id: r for r in P.redact(frame(spark, PII)).collect()}
     assert len(rows) == len(PII) and rows[1].columns if hasattr(rows[1], "columns") else True
