@@ -108,7 +108,114 @@ reach as (select rid as a, rid as b from rows_of_documents union select r.a, l.b
 named as (select r.a as rid, min(d.doc_id) as component_id from reach r join rows_of_documents d on d.rid = r.b group by 1)
 select doc_id, coalesce(n, 0) as n_shingles, component_id from rows_of_documents left join sizes using (rid) join named using (rid)"""
 
+# crc32 of ASCII text: the table of its polynomial, then a fold over the characters.
+_CRC_TABLE = """crc_table as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))) as crcs)"""
+
+
+def _crc32(text: str) -> str:
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: cast(ascii(substr({text}, cast(i as int), 1)) as bigint))"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_WHITE = r"[\x20\x09-\x0D]"
+# The best way so far to each state, as cost and letters: nothing yet, after the system turn, a user, an assistant.
+_FAR = "{'cost': 1000000000, 'audit': ''}"
+
+
+def _way(state: str, cost: str, letter: str) -> str:
+    return f"{{'cost': {state}.cost + {cost}, 'audit': {state}.audit || '{letter}'}}"
+
+
+def _best(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+_INSERTED = f"""select *, {_best("s2", _way("s0", "3", "I"), _way("s1", "3", "I"), _way("s3", "3", "I"))} as i2,
+    {_best("s3", _way("s2", "3", "I"), _way("s0", "6", "II"), _way("s1", "6", "II"))} as i3"""
+
+
+def _edit(state: str, cost: str, letter: str, when: str) -> str:
+    return f"case when {when} then {_way(state, cost, letter)} else {_FAR} end"
+
+
+_STAYS = "fault in ('', 'truncated')"
+_ROW = {
+    "s0": [_way("s0", "4", "D")],
+    "s1": [_way("s1", "4", "D"), _edit("s0", "more", "K", f"{_STAYS} and initial = 's'")],
+    "s2": [_way("i2", "4", "D"), *(w for s in ("s0", "s1", "i3") for w in (
+        _edit(s, "more", "K", f"{_STAYS} and initial = 'u'"), _edit(s, "3 + more", "R", _STAYS)))],
+    "s3": [_way("i3", "4", "D"), _edit("i2", "more", "K", f"{_STAYS} and initial = 'a'"), _edit("i2", "3 + more", "R", _STAYS)],
+}
+
+REPAIR = f"""with recursive {_CRC_TABLE},
+original as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as name from conversations),
+marked as (select o.* , {_crc32("name")} % 20 as hurt from original o, crc_table),
+damaged as (select conv_id, turn, case when hurt = 4 then 'user' else role end as role,
+        case hurt when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+        unnest(range(case hurt when 0 then 0 when 3 then 2 else 1 end)) as copy from marked),
+ordered as (select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text), copy) as i,
+    left(role, 1) as initial, right(regexp_replace(text, '{_WHITE}+$', ''), 1) as final from damaged),
+faulty as (select *, case when final = '' then 'blank' when i > min(i) over (partition by conv_id, role, text) then 'duplicate'
+        when final not in ('.', '!', '?') then 'truncated' else '' end as fault,
+    lag(initial) over (partition by conv_id order by i) as initial_before from ordered),
+counts as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+        count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+        count(*) filter (fault = 'truncated') as truncated,
+        count(*) filter (i > 1 and (initial_before || initial) not in ('su', 'ua', 'au')) as illegal from faulty group by 1),
+ways as (select conv_id, cast(0 as bigint) as i, {{'cost': 0, 'audit': ''}} as s0, {_FAR} as s1, {_FAR} as s2, {_FAR} as s3 from counts
+    union all
+    select conv_id, i, {", ".join(f"{_best(*ways)} as {state}" for state, ways in _ROW.items())} from (
+        select w.conv_id, f.i, f.fault, f.initial, case f.fault when 'truncated' then 3 else 0 end as more, w.s0, w.s1, w.i2, w.i3
+        from ({_INSERTED} from ways) w join faulty f on f.conv_id is not distinct from w.conv_id and f.i = w.i + 1)),
+done as (select w.conv_id, {_best("s0", "i3")} as best from ({_INSERTED} from ways) w join counts c
+    on c.conv_id is not distinct from w.conv_id and c.n = w.i),
+-- Each letter but an inserted one takes the next row; the letters kept so far alternate.
+letters as (select conv_id, best.audit as audit, unnest(range(1, length(best.audit) + 1)) as k from done),
+placed as (select conv_id, k, substr(audit, cast(k as int), 1) as letter,
+    cast(sum(case when substr(audit, cast(k as int), 1) <> 'I' then 1 else 0 end) over (partition by conv_id order by k) as bigint) as i from letters),
+lines as (select p.conv_id, k, letter, f.role, f.text, row_number() over (partition by p.conv_id order by k) as line,
+        max(case when letter = 'K' and f.initial = 's' then 1 else 0 end) over (partition by p.conv_id) as lead
+    from placed p join (select conv_id, i, role, text, initial from faulty union all
+            select distinct conv_id, cast(0 as bigint), null, null, null from faulty) f
+        on f.conv_id is not distinct from p.conv_id and f.i = p.i where letter <> 'D'),
+repaired as (select conv_id, string_agg(case when letter = 'K' then role || ':' || text
+        else (case when (line - lead) % 2 = 1 then 'user:' else 'assistant:' end) || (case letter when 'R' then text else '' end) end,
+        chr(10) order by k) as text from lines group by 1)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+    coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, cast(coalesce(best.cost, 0) as bigint) as cost,
+    coalesce(best.audit, '') as audit, sha256(coalesce(r.text, '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join counts c on c.conv_id is not distinct from o.conv_id
+left join done d on d.conv_id is not distinct from o.conv_id left join repaired r on r.conv_id is not distinct from o.conv_id"""
+
+TRIE = f"""with {_CRC_TABLE},
+turns as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (
+        partition by conv_id order by turn nulls first, coalesce(role, ''), md5(coalesce(text, ''))) as pos
+    from conversations where conv_id is not null),
+ids as (select conv_id, conv_id - conv_id % 100 as base, {_crc32("cast(conv_id as varchar)")} % 6 as h
+    from (select distinct conv_id from turns), crc_table),
+raw as (select i.conv_id, 0 as part, t.pos, t.role, t.text from ids i join turns t on t.conv_id = i.base and t.pos <= h
+    union all select i.conv_id, 1, t.pos, t.role, t.text from ids i join turns t on t.conv_id = i.conv_id and t.pos > h),
+placed as (select conv_id, row_number() over o as depth, text, sha256(string_agg(length(role) || ':' || length(text) || ':' || role || text, '|') over o) as path
+    from raw window o as (partition by conv_id order by part, pos rows between unbounded preceding and current row)),
+spots as (select conv_id, depth, path, length(text) as chars, lag(path, 1, '') over (partition by conv_id order by depth) as parent from placed
+    union all select conv_id, 0, '', 0, null from ids),
+ended as (select conv_id, arg_max(path, depth) as path from spots group by 1),
+ends as (select path, string_agg(cast(conv_id as varchar), ',' order by conv_id) as ids from ended group by 1),
+nodes as (select path, any_value(parent) as parent, any_value(depth) as depth, any_value(chars) as chars, min(conv_id) as conv_id, count(*) as n
+    from spots group by 1),
+kids as (select parent as path, count(*) as n from nodes where parent is not null group by 1),
+leaves as (select path from nodes anti join kids using (path)),
+under as (select s.path, count(distinct e.path) as n from spots s join ended e using (conv_id) where e.path in (select path from leaves) group by 1),
+chain as (select distinct a.path as top, b.path from spots a join spots b on a.conv_id = b.conv_id and b.depth >= a.depth),
+saved as (select top as path, sum((n.n - 1) * n.chars) as n from chain c join nodes n on n.path = c.path group by 1)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n as n_convs, coalesce(k.n, 0) as n_children, u.n as n_leaves,
+    cast(s.n as bigint) as saved_tokens, sha256(coalesce(e.ids, '')) as ends_sha256
+from nodes n left join nodes p on p.path = n.parent left join kids k on k.path = n.path join under u on u.path = n.path
+join saved s on s.path = n.path left join ends e on e.path = n.path"""
+
 ORACLE: dict[str, str] = {
     "op1_decontamination": CONTAMINATION, "op2_quality_rules": QUALITY, "op6_substring_dedup": SUBSTRINGS, "op7_url_filters": URLS,
-    "op8_jaccard_join": JACCARD,
+    "op8_jaccard_join": JACCARD, "op12_conversation_repair": REPAIR, "op13_prefix_trie": TRIE,
 }

@@ -16,9 +16,13 @@ from tastemesh.llm.mixing import mix
 from tastemesh.llm.oracle import ORACLE
 from tastemesh.llm.pii import BASE_KINDS, span_text, spans
 from tastemesh.llm.quality import quality
+from tastemesh.llm.repair import damaged, repair
+from tastemesh.llm.sharding import shards
 from tastemesh.llm.substrings import remove_repeats
 from tastemesh.llm.tables import read
+from tastemesh.llm.trie import numbered, rebuilt, trie
 from tastemesh.llm.url_filter import judge
+from tastemesh.sources.staging import stage
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +89,29 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and place of each document, under equal bytes."""
+    return shards(read(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of each damaged conversation."""
+    conversations = read(spark, sf_dir, "conversations")
+    found = repair(damaged(conversations)).withColumnRenamed("conv_id", "of")
+    known = conversations.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    return known.select(
+        "conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of rebuilt conversations."""
+    return trie(*rebuilt(stage(numbered(read(spark, sf_dir, "conversations")), "turns")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_licences, op4_language_id, op5_html_extraction, op6_substring_dedup, op7_url_filters, op8_jaccard_join, op9_mixing, op10_pii)
+    f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_licences, op4_language_id, op5_html_extraction, op6_substring_dedup, op7_url_filters, op8_jaccard_join, op9_mixing, op10_pii,
+                             op11_sharding, op12_conversation_repair, op13_prefix_trie)
 }
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -16,5 +16,5 @@ def test_query_equals_sql(spark, name):
 
 def test_registered():
     names = entry_points.queries()
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert ORACLE.items() <= entry_points.oracle_sql().items()
