@@ -1,17 +1,20 @@
 """Exact Jaccard join of documents on word shingles, and the classes its links form.
 
 Documents with equal shingle sets are one class from the start. Classes meet through prefix signatures: shingles
-are ordered from rare to frequent (by a sketch of their counts), and a set's prefix is extended until its
-signatures can survive ``n - ceil(t * n) + 1`` mismatches. A rare shingle is a signature by itself. Frequent
-shingles fall into ``CLASSES`` token classes, and two of one class make a signature; ``m`` of them survive
-``m - 1`` mismatches. Sets under ``SMALL`` shingles use single shingles only, and sizes that can be similar to
-both kinds carry both. So two sets at the threshold always share a signature.
-
-A signature met by many sets is not expanded into pairs. Each round verifies every member against the
-signature's hub, a linear number of pairs, joins what is similar, and goes on with signatures whose members are
-still in different classes; after ``HUB_ROUNDS`` rounds the pairs left there, all of them, are verified. A pair
-meets only where the signature's places in both prefixes leave enough tokens to reach the threshold, and, of the pairs
-left, where the parity bitmaps of the sets do not differ in more cells than similar sets can.
+are ordered from rare to frequent (by a sketch of their counts). A rare shingle is a signature by itself (``k = 1``), those
+counted over ``FREQUENT[0]`` times make signatures in pairs, over ``FREQUENT[1]`` times in threes, each within token
+classes dealt by a hash. A set's prefix is extended by the ``k - 1`` tokens that a class can share without a signature, so
+two sets at the threshold always share one. The classes grow in number with a ladder of set sizes, a set near the upper
+end of a step standing on two steps, so the signatures of a set grow in line with its size; sets up to ``SMALL``
+shingles use single shingles only.
+
+A signature met by many sets is not expanded into pairs. Each round verifies every member against the signature's hub,
+a linear number of pairs, joins what is similar, and goes on with signatures whose members are still in different classes,
+those with the same members as one. Rounds end when no signature holds more than ``OPEN_CLASSES`` classes, when less than one
+verified pair in ``JOINING`` is similar, after ``HUB_ROUNDS`` at the latest; the pairs left there between classes, all of
+them, are verified. A pair meets only where the signature's places in both prefixes leave enough tokens to reach the
+threshold: a place bounds the sizes of a set's partners, so the last join has steps of sizes in its key. Of its pairs, those
+are left out whose parity bitmaps differ in more cells than similar sets can.
 
 Edge cases: null or blank texts have an empty set and link with nothing; rows without ``doc_id`` get their size and a
 null class; equal rows of one ``doc_id`` are one document (texts that differ under one id are the caller's error);
@@ -36,13 +39,14 @@ from tastemesh.llm.words import blank_separated, chunks, mix, shingle_sets, spli
 from tastemesh.sources.staging import stage
 
 SHINGLE, PERCENT = 5, 80
-FREQUENT = 1000  # a shingle counted more often makes signatures in pairs
-CLASSES, SMALL = 32, 64
-PARITY_BITS = 1024
-HUB_ROUNDS = 1
+FREQUENT = (1000, 50_000)  # shingles counted more often than the first make signatures in pairs, than the second in threes
+CLASSES, SMALL = 2, 64
+PARITY_BITS, SIZE_STEP = 1024, 1.05
+HUB_ROUNDS, OPEN_CLASSES, JOINING = 6, 64, 4
 _WORDS = blank_separated()
 _COUNT_BITS = (16, 22)  # counters of the order sketch: at most 2 ** 22
 _BLOCK = 1 << 16
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _sets(batch: pa.RecordBatch, shingle: int):
@@ -100,37 +104,61 @@ def _order_sketch(found: DataFrame, bits: int):
     return spark.sparkContext.broadcast(counts)
 
 
-def prefix_signatures(tokens: np.ndarray, estimate: np.ndarray, frequent: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def levels(n: int, percent: int) -> range:
+    """The ladder levels at which a set meets sets as large as itself or larger. Level 0 holds sizes up to ``SMALL``, each
+    level after it sizes up to twice those of the one before."""
+    return range(_level(n), _level(100 * n // percent) + 1)
+
+
+def _level(n: int) -> int:
+    return max(0, (-(-n // SMALL) - 1).bit_length())
+
+
+def prefix_signatures(tokens: np.ndarray, estimate: np.ndarray, frequent: tuple[int, int], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of one set (sorted distinct token hashes with their estimated counts), and their places.
 
-    No common token stands before the place of the first signature that two sets share, so they have at most
-    ``n - place`` tokens in common. Of the first shared pair, earlier common tokens are of other classes, one each at
-    most; its place allows for them.
+    At a level, ``k - 1`` tokens of a class of ``k``-combinations may be common without a signature. All tokens beyond
+    that are the class's excess, and a prefix ends with the token that makes the excess one more than similar sets can
+    have mismatches. A signature's place is the excess before its last token: no more than ``n - place`` tokens are
+    common to two sets whose first common signature it is.
     """
     n = len(tokens)
     need = n - -(-percent * n // 100) + 1
     order = np.lexsort((tokens, estimate))
-    tokens, often = tokens[order], (estimate[order] > frequent)
+    tokens, estimate = tokens[order], estimate[order]
     sigs, places = [], []
-    if n * 100 <= SMALL * 10000 // percent:  # sizes up to SMALL / t
-        sigs.append(mix(tokens[:need] ^ np.uint64(0x51ED270B)))
-        places.append(np.arange(need))
-    if n * 100 >= SMALL * percent:
-        kind = np.where(often, (mix(tokens) % np.uint64(CLASSES)).astype(np.int64), -1)
-        # A rare token, and every frequent one after the first of its class, adds one survived mismatch.
-        fresh = np.zeros(n, bool)
-        fresh[np.unique(kind, return_index=True)[1]] = True
-        gain = np.cumsum(~often | ~fresh)
-        length = int(np.searchsorted(gain, need)) + 1
-        tokens, often, kind = tokens[:length], often[:length], kind[:length]
-        rare = np.flatnonzero(~often)
-        sigs.append(mix(tokens[rare]))
-        places.append(rare)
-        for group in np.unique(kind[often]):
-            own = np.flatnonzero(kind == group)
-            left, right = np.triu_indices(len(own), 1)
-            sigs.append(mix(mix(tokens[own[left]]) + tokens[own[right]] * np.uint64(0x9E3779B97F4A7C15)))
-            places.append(np.maximum(own[left] - (CLASSES - 1), 0))
+    for level in levels(n, percent):
+        salt = np.uint64((0x51ED270B * (level + 1)) % 2**64)
+        if level == 0:
+            sigs.append(mix(tokens[:need] ^ salt))
+            places.append(np.arange(need))
+            continue
+        classes = CLASSES << level
+        allowed = (estimate > frequent[0]).astype(np.int64) + (estimate > frequent[1])
+        kind = np.where(allowed > 0, allowed * classes + (mix(tokens) % np.uint64(classes)).astype(np.int64), 0)
+        by_kind = np.argsort(kind, kind="stable")
+        firsts = np.flatnonzero(np.diff(kind[by_kind], prepend=-1))
+        rank = np.empty(n, np.int64)
+        rank[by_kind] = np.arange(n) - np.repeat(firsts, np.diff(np.append(firsts, n)))
+        excess = np.cumsum(rank >= allowed)
+        length = min(n, int(np.searchsorted(excess, need)) + 1)
+        own, kind, allowed = tokens[:length], kind[:length], allowed[:length]
+        place = excess[:length] - (rank[:length] >= allowed)
+        rare = np.flatnonzero(kind == 0)
+        sigs.append(mix(own[rare] ^ salt))
+        places.append(place[rare])
+        for group in np.unique(kind[kind > 0]):
+            at = np.flatnonzero(kind == group)
+            left, right = np.triu_indices(len(at), 1)
+            both = mix(mix(own[at[left]] ^ salt) + own[at[right]] * _STEP)
+            if allowed[at[0]] == 1:
+                sigs.append(both)
+                places.append(place[at[right]])
+                continue
+            later = len(at) - 1 - right  # a third token for each pair
+            last = np.repeat(right + 1, later) + np.arange(later.sum()) - np.repeat(np.cumsum(later) - later, later)
+            sigs.append(mix(np.repeat(both, later) + own[at[last]] * _STEP))
+            places.append(place[at[last]])
     return np.concatenate(sigs), np.concatenate(places).astype(np.int32)
 
 
@@ -143,7 +171,7 @@ def parity(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def classes(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT,
+def classes(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, frequent: tuple[int, int] = FREQUENT,
             hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``n_same``, the documents with the same set."""
     documents = documents.select("doc_id", "text")
@@ -167,7 +195,8 @@ def _links(documents, sets, sketch, bits, shingle, percent, frequent, hub_rounds
     shift = np.uint64(64 - bits)
 
     def signatures(batches: Batches) -> Batches:
-        limit = frequent + 2 * int(sketch.value.mean())  # besides what other shingles add to a counter
+        noise = 2 * int(sketch.value.mean())  # what other shingles add to a counter
+        limit = frequent[0] + noise, frequent[1] + noise
         for batch in batches:
             for piece, own in _sets(batch, shingle):
                 none = np.zeros(0, np.uint64), np.zeros(0, np.int32)
@@ -192,56 +221,86 @@ def _links(documents, sets, sketch, bits, shingle, percent, frequent, hub_rounds
         for batch in batches:
             sigs, offsets = flat(batch.column("sigs"))
             places = flat(batch.column("places"))[0]
-            # The signature at the place before: two sets that share it too meet there already.
-            after = np.zeros(len(sigs), bool)
-            after[1:] = places[1:] == places[:-1] + 1
-            after[offsets[:-1][offsets[:-1] < len(sigs)]] = False
             keep = is_repeated(repeated.value, sigs.view(np.uint64), sig_bits)
             row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))[keep]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(sigs[keep]), batch.column("doc_id").take(pa.array(row)), batch.column("n").take(pa.array(row)),
-                 pa.array(places[keep]), pa.array(np.roll(sigs, 1)[keep], mask=~after[keep])], ["sig", "doc_id", "n", "place", "prev"])
+                 pa.array(places[keep])], ["sig", "doc_id", "n", "place"])
 
-    members = stage(prefixes.drop("bits").mapInArrow(shared, "sig long, doc_id long, n int, place int, prev long"), "signatures")
+    members = stage(prefixes.drop("bits").mapInArrow(shared, "sig long, doc_id long, n int, place int"), "signatures")
     # Sizes, and what can still be in common from the places on, must allow the threshold.
     fits = f"""{100 + percent} * least(n - place, other_n - other_place) >= {percent} * (n + other_n)
         AND 100 * least(n, other_n) >= {percent} * greatest(n, other_n)"""
     labels = links = pairs = None
+    joining = True
     for turn in range(hub_rounds + 1):
-        own = members if labels is None else members.join(
-            labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-        own = own.withColumn("c", F.coalesce("component", "doc_id") if labels is not None else F.col("doc_id"))
+        own = members.withColumn("c", F.col("doc_id")) if labels is None else stage(_open(own, labels), "open")
         # Members with few tokens of their own are similar to most others: they make the best hubs.
         pick = F.struct(
             F.floor(100 * F.col("place") / F.col("n")).alias("own"), F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("other"),
             F.col("n").alias("other_n"), F.col("place").alias("other_place"), F.col("c").alias("other_c"))
-        hubs = own.groupBy("sig").agg(F.min(pick).alias("hub"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-        if turn < hub_rounds:
+        if turn < hub_rounds and (labels is None or joining and _crowded(own)):
+            hubs = own.groupBy("sig").agg(F.min(pick).alias("hub"))
             found = own.join(hubs.select("sig", "hub.*"), "sig").where(f"c <> other_c AND {fits}")
         else:
-            own = stage(own.join(hubs, "sig", "left_semi").select("sig", "doc_id", "n", "place", "prev", "c"), "open")
-            own = own.join(prefixes.select("doc_id", "bits"), "doc_id")
-            twin = own.select("sig", *(F.col(x).alias(y) for x, y in (
-                ("doc_id", "other"), ("n", "other_n"), ("place", "other_place"), ("prev", "other_prev"), ("c", "other_c"), ("bits", "other_bits"))))
-            apart = reduce(add, (F.bit_count(F.get("bits", F.lit(k)).bitwiseXOR(F.get("other_bits", F.lit(k)))) for k in range(PARITY_BITS // 64)))
-            near = (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("other_n"))
-            found = own.join(twin, "sig").where(F.expr(f"doc_id < other AND c <> other_c AND coalesce(prev <> other_prev, true) AND {fits}") & near)
+            hub_rounds = turn  # the last one
+            found = _meetings(own.join(prefixes.select("doc_id", "bits"), "doc_id"), fits, percent)
         fresh = found.select(
             F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
         if pairs is not None:
             fresh = fresh.join(pairs, ["a", "b"], "left_anti")
         fresh = stage(fresh, "pairs")
         pairs = fresh if pairs is None else pairs.unionByName(fresh)
-        if fresh.isEmpty():
-            continue
-        met = stage(similar_pairs(documents, fresh, shingle, percent), "links")
-        links = met if links is None else links.unionByName(met)
-        labels = stage(components(links), "labels")
+        tried = fresh.count()
+        joining = False
+        if tried:
+            met = stage(similar_pairs(documents, fresh, shingle, percent), "links")
+            links = met if links is None else links.unionByName(met)
+            joining = JOINING * met.count() >= tried
+        if links is not None:
+            labels = stage(components(links), "labels")
+        if turn == hub_rounds:
+            break
     if labels is None:
         return documents.sparkSession.createDataFrame([], "node long, component long")
     return labels
 
 
+def _open(own: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of signatures that still hold several classes; signatures of the same members become one.
+
+    Its places are the least of theirs, so no pair is lost. Equal hashes of different member lists only add members.
+    """
+    named = own.drop("c").join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
+        "sig", "doc_id", "n", "place", F.coalesce("component", "doc_id").alias("c"))
+    lists = named.groupBy("sig").agg(
+        F.min("c").alias("low"), F.max("c").alias("high"), F.xxhash64(
+            F.count("*"), F.bit_xor(F.xxhash64("doc_id")), F.bit_xor(F.xxhash64(F.lit(1), "doc_id"))).alias("list")).where("low <> high")
+    return named.join(lists, "sig").groupBy(F.col("list").alias("sig"), "doc_id", "n", "c").agg(F.min("place").alias("place"))
+
+
+def _size_step(n: str) -> str:
+    return f"CAST(floor(ln({n}) / ln({SIZE_STEP})) AS int)"
+
+
+def _meetings(own: DataFrame, fits: str, percent: int) -> DataFrame:
+    """Pairs of members of different classes that can still be similar; the larger set looks for the sizes that fit its place."""
+    least, most = f"greatest(1, {percent} * n DIV 100)", f"least(n, ({100 + percent} * (n - place)) DIV {percent} - n)"
+    larger = own.where(f"{most} >= {least}").select("*", F.explode(F.expr(f"sequence({_size_step(least)}, {_size_step(most)})")).alias("step"))
+    smaller = own.select("sig", F.expr(_size_step("n")).alias("step"), *(F.col(x).alias(y) for x, y in (
+        ("doc_id", "other"), ("n", "other_n"), ("place", "other_place"), ("c", "other_c"), ("bits", "other_bits"))))
+    apart = reduce(add, (F.bit_count(F.get("bits", F.lit(k)).bitwiseXOR(F.get("other_bits", F.lit(k)))) for k in range(PARITY_BITS // 64)))
+    near = (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("other_n"))
+    ordered = "(other_n < n OR other_n = n AND other < doc_id)"
+    return larger.join(smaller, ["sig", "step"]).where(F.expr(f"{ordered} AND c <> other_c AND {fits}") & near)
+
+
+def _crowded(own: DataFrame) -> bool:
+    """Whether a signature holds more than about ``OPEN_CLASSES`` classes."""
+    most = own.groupBy("sig").agg(F.approx_count_distinct("c").alias("classes")).agg(F.max("classes")).first()[0]
+    return (most or 0) > OPEN_CLASSES
+
+
 def similar_pairs(documents: DataFrame, pairs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Those of the pairs (``a``, ``b``) whose sets reach the threshold, with ``common`` and ``total``.
 

@@ -78,13 +78,33 @@ def test_substrings_of_edges(spark, docs):
     assert S.remove_repeats(same.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("frequent, hub_rounds, small", [(1000, 3, 64), (0, 1, 8), (3, 2, 8), (-10**9, 0, 4)])
+@pytest.mark.parametrize("frequent, hub_rounds, small", [((1000, 50_000), 6, 64), ((0, 3), 1, 8), ((3, 10**9), 2, 8), ((-10**9, -10**9), 0, 4), ((-10**9, 2), 3, 16)])
 def test_jaccard_classes(spark, docs, frequent, hub_rounds, small, monkeypatch):
-    monkeypatch.setattr(J, "SMALL", max(small, 64) if frequent > 100 else 52)
+    monkeypatch.setattr(J, "SMALL", small)
     rows = J.classes(frame(spark, docs), frequent=frequent, hub_rounds=hub_rounds).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == jaccard(docs) and len(rows) == len(docs)
 
 
+def test_pairs_grow_with_a_group_not_its_square(spark, monkeypatch):
+    """Near copies of one text: twice as many make about twice the pairs that are verified."""
+    counted, real = [], J.stage
+
+    def counting(df, label):
+        out = real(df, label)
+        if label == "pairs":
+            counted[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(J, "stage", counting)
+    base = [f"w{i}" for i in range(200)]
+    for n in (150, 300):
+        texts = {i: " ".join([*base[:i % 190], f"own{i}", *base[i % 190 + 1:]]) for i in range(n)}
+        counted.append(0)
+        rows = J.classes(frame(spark, texts)).collect()
+        assert {r.component_id for r in rows} == {0}
+    assert 0 < counted[1] <= 3 * counted[0] and counted[1] < 20 * 300
+
+
 def test_jaccard_of_edges(spark, docs):
     some = frame(spark, {1: docs[1], 2: None, 3: docs[1]}).unionByName(frame(spark, {3: docs[1]}))
     unnamed = frame(spark, {8: docs[1]}).withColumn("doc_id", F.lit(None).cast("long"))
