@@ -68,14 +68,14 @@ EXAMPLES = {
         ("write to {} please", "my mail: {}", "contact {}", "login {}", "{}", "see {} now")),
     "call": (
         ("(2##) 3##-####", "2##-3##-####", "0## 4## ####", "2##.3##.####", "0### 5## ####"),
-        ("## ### 20##", "##.###.####", "19## 19## 20##", "20## 201# 202#", "## #### 19##", "10-### -####"),
+        ("## ### 20##", "##.###.####", "19## 19## 20##", "20## 201# 202#", "## #### 19##", "#### #### #### ####"),
         ("call me: {}.", "phone {}", "tel. {}", "my number is {}", "{}", "fax {} or mail"),
         ("order no {}", "version {}", "in the years {}", "item {}", "section {}", "parts {} in total")),
     "ssn": (
         ("1##-4#-1###", "2##-5#-6###", "5##-1#-7###"), ("9##-4#-1###", "000-5#-6###", "5##-00-7###"),
         ("my ssn is {}", "social security {}", "ssn: {}", "id {}"), ("order {}", "item {} sold", "version {}", "no {}")),
     "mac": (
-        ("0x:1x:4x:xx:xx:xx", "3C-22-xx-xx-xx-xx", "ax:5x:xx:xx:xx:xx", "A4:xx:xx:xx:xx:xx"),
+        ("0x:1x:4x:xx:xx:xx", "3C-22-xx-xx-xx-xx", "cx:5x:xx:xx:xx:xx", "D4:xx:xx:xx:xx:xx"),
         ("00:00:00:00:00:00", "FF:FF:FF:FF:FF:FF", "ff-ff-ff-ff-ff-ff", "1#:2#:3#:4#:5#:1#", "20-1#-0#-1#-2#-3#", "01:02:03:04:05:06"),
         ("mac address {}", "from {}", "host {} is up", "device {}", "{}"), ("times {}", "version {}", "broadcast {}", "set {}", "on {}")),
     "secret": (
@@ -87,7 +87,7 @@ EXAMPLES = {
 EXAMPLE_TEXTS = 60  # of each kind and sort
 FEATURES = (
     "kind_no", "length", "digits", "letters", "digit_share", "upper_share", "groups", "longest_group", "shortest_group", "marks",
-    "distinct_share", "value_length", "value_digits", "value_capitals", "value_marks", "octets", "after_word", "before_word", "before_blank", *CONTEXT,
+    "distinct_share", "value_length", "value_digits", "value_capitals", "value_marks", "octets", "after_word", "before_word", "before_blank", "after_digits", "before_digits", *CONTEXT,
 )
 
 
@@ -181,6 +181,7 @@ def candidates(scanned: DataFrame) -> DataFrame:
             "distinct_share": F.size(F.array_distinct(F.split(span, ""))) / size,
             "after_word": F.col("after").rlike("^[A-Za-z0-9]"), "before_word": F.col("before").rlike("[A-Za-z0-9]$"),
             "before_blank": F.col("before").rlike(r"(?:^|\s)$"),
+            "after_digits": F.col("after").rlike(r"^[\x20.-]?[0-9]"), "before_digits": F.col("before").rlike(r"[0-9][\x20.-]?$"),
             **{name: F.col("before").rlike(pattern) for name, pattern in CONTEXT.items()},
         }.items()))
 
@@ -263,10 +264,9 @@ def spans(documents: DataFrame) -> DataFrame:
     rank = F.array_position(F.array(*map(F.lit, PATTERNS)), F.col("kind"))
     lists = chosen.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(
         "start", rank.alias("rank"), "end", "kind", "base", F.when(F.col("base"), 1.0).otherwise(F.col("score")).alias("score")))).alias("spans"))
-    # A chosen span inside a base span says nothing new.
-    base = F.filter("spans", lambda s: s["base"])
-    new = let(base, lambda kept: F.filter("spans", lambda s: s["base"] | ~F.exists(
-        kept, lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))))
+    # A chosen span inside a base span, or inside a longer one, says nothing new.
+    new = let(F.col("spans"), lambda kept: F.filter(kept, lambda s: s["base"] | ~F.exists(
+        kept, lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]) & (b["base"] | (b["end"] - b["start"] > s["end"] - s["start"])))))
     return scanned.select("row", "doc_id").join(lists.withColumn("spans", new), "row", "left").select(
         "row", "doc_id",
         F.coalesce("spans", F.expr("CAST(array() AS array<struct<start:bigint,rank:bigint,end:bigint,kind:string,base:boolean,score:double>>)")).alias("spans"))
