@@ -98,12 +98,13 @@ def host_verdicts(measured: DataFrame, reject_rate: float = 0.6, strict_factor:
 
 
 def quality(documents: DataFrame, **thresholds: float) -> DataFrame:
-    """Measures of each document, ``base_failed``, the host's ``verdict`` and ``kept``."""
+    """Measures of each document, ``base_failed``, ``broken`` (any rule), the host's ``verdict`` and ``kept``."""
     measured = stage(measures(documents), "measures")
     hosts = stage(host_verdicts(measured, **thresholds), "hosts")
     joined = measured.alias("d").join(hosts.alias("h"), F.col("d.source").eqNullSafe(F.col("h.source")))
     failed = " OR ".join(f"({rule})" for rule in RULES.values())
     return joined.select("d.*", "verdict", "worst_rate").withColumns({
         "base_failed": F.expr(BASE),
+        "broken": F.expr(failed),
         "kept": F.expr(f"NOT ({BASE}) AND (verdict = 'normal' OR (verdict = 'strict' AND NOT ({failed})))"),
     })

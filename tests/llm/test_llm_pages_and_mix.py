@@ -273,3 +273,46 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
         if number < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         kept = got
+
+
+DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
+CLEAN = "the quick brown fox jumps over one lazy dog and then walks home again by the old river road"
+
+
+def _texts(rows):
+    return sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in rows)
+
+
+@pytest.mark.parametrize("name, step", corpus_pipeline.STAGES)
+def test_stage_with_odd_ids(spark, name, step):
+    """Repeated rows, null ids and one id with two texts: each row is judged by itself."""
+    mails = [CLEAN + f" write to joe{i}@example.org {'x' * i}" for i in range(3)]
+    rows = [(7, mails[0])] * 3 + [(None, mails[1])] * 2 + [(8, CLEAN), (8, CLEAN[::-1]), (9, None), (10, "too short"), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], DOCUMENT)
+    out = step(spark, docs, SF).collect()
+    got, every = _texts(out), sorted((i is None, i or 0, t or "") for i, t in rows)
+    if name == "quality rules":
+        assert got == [r for r in every if len(r[2]) > 20]
+    elif name == "near duplicates":
+        assert len([r for r in got if "fox" in (r[2] or "")]) == 1 and len(got) == 5
+    elif name == "decontamination":
+        assert sorted((a, b, c or "") for a, b, c in got) == every
+    elif name == "personal data":
+        assert len(got) == len(every) and not any("@" in (t or "") for _, _, t in got)
+        assert sum("[email]" in (t or "") for _, _, t in got) == 5 and [r.n_chars for r in out if r.text] == [len(r.text) for r in out if r.text]
+    else:
+        assert len(got) <= 3 * len(every) and {r for r in got} <= set(every)
+        assert sum(len(words(r.text)) for r in out) == sum(len(words(t)) for _, t in rows if t)
+
+
+@pytest.mark.parametrize("name, step", corpus_pipeline.STAGES)
+def test_stage_of_an_empty_table(spark, name, step):
+    assert step(spark, spark.createDataFrame([], DOCUMENT), SF).count() == 0
+
+
+def test_clean_documents_of_a_bad_host_stay(spark):
+    bad = [(i, "# * # * $ % " + CLEAN[: 40 + i % 7] + " a b c d e f g", "en", "bad", 1) for i in range(300)]
+    clean = [(1000 + i, CLEAN + f" {i}", "en", "bad", 1) for i in range(30)]
+    good = [(2000 + i, CLEAN + f" {i} {i}", "en", "good", 1) for i in range(300)]
+    kept = {r.doc_id for r in corpus_pipeline.quality_rules(spark, spark.createDataFrame(bad + clean + good, DOCUMENT), SF).collect()}
+    assert kept == {r[0] for r in clean + good}
