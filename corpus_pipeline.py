@@ -1,7 +1,9 @@
 """The corpus pipeline: each stage works on what the one before kept, written and read again in between.
 
-Documents are followed by ``doc_id``: rows without one go in the first stage, and of repeated rows of one
-``doc_id`` a single one is left after the second. Columns besides those of ``documents`` are not carried.
+Rows are followed by ``doc_id`` where it tells all of them apart. Where it does not (null ids, repeated rows, one id with
+several texts), a stage works on a staged copy with row numbers, so every row is judged by itself: none is multiplied,
+lost for its id, or left with personal data. Columns besides those of ``documents`` are not carried. Null and empty
+texts fail the quality rules, very long ones are worked on whole, an empty table goes through as one.
 """
 
 from __future__ import annotations
@@ -22,33 +24,53 @@ from tastemesh.sources.staging import stage
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents with ``row_id``, a number that no two rows share: ``doc_id`` if it is one."""
+    rows = docs.select(*COLUMNS)
+    if rows.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        return rows.withColumn("row_id", F.col("doc_id"))
+    return stage(rows.withColumn("row_id", F.monotonically_increasing_id()), "rows")
+
+
+def _by_row(rows: DataFrame) -> DataFrame:
+    """The rows under their numbers, as the operators take them."""
+    return rows.withColumn("doc_id", F.col("row_id"))
+
+
+def _kept(rows: DataFrame, judged: DataFrame, verdict: str) -> DataFrame:
+    return rows.join(judged.where(verdict).select(F.col("doc_id").alias("row_id")), "row_id", "left_semi").select(*COLUMNS)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, or go with their host, leave."""
-    kept = quality(docs).where("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Documents that fail a base rule leave, and those that break another rule where their host is strict or rejected."""
+    rows = numbered(docs)
+    return _kept(rows, quality(_by_row(rows)), "NOT base_failed AND (verdict = 'normal' OR NOT broken)")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of similar ones stays: the one whose ``doc_id`` names the class."""
-    first = classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each class of similar ones stays: the one with the smallest number."""
+    rows = numbered(docs)
+    return _kept(rows, classes(_by_row(rows)), "doc_id = component_id")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
-    clean = contamination(docs, read(spark, sf_dir, "benchmark")).where("NOT contaminated").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(clean, "doc_id", "left_semi").select(*COLUMNS)
+    rows = numbered(docs)
+    return _kept(rows, contamination(_by_row(rows), read(spark, sf_dir, "benchmark")), "NOT contaminated")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; personal data in them is replaced by its kind, and ``n_chars`` follows the text."""
-    return redact(docs.select(*COLUMNS), "doc_id").withColumn("n_chars", F.length("text").cast("long"))
+    redacted = redact(numbered(docs), "row_id")
+    return redacted.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each copy that the mix takes, numbered by ``copy``."""
-    copies = mix(docs).where("copies > 0").select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
-    return docs.select(*COLUMNS).join(copies, "doc_id").select(*COLUMNS, "copy")
+    rows = numbered(docs)
+    copies = mix(_by_row(rows)).where("copies > 0").select(
+        F.col("doc_id").alias("row_id"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    return rows.join(copies, "row_id").select(*COLUMNS, "copy")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
