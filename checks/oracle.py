@@ -4,11 +4,7 @@ from __future__ import annotations
 
 from tastemesh.functions.text import ENGLISH_STOP_WORDS
 
-LISTED_USERS = (10, 20, 37, 42, 64, 75, 88, 91, 106, 133)
-
-
-def _listed(users: int | tuple[int, ...]) -> str:
-    return ", ".join(map(str, (users,) if isinstance(users, int) else users))
+ASKING = "user_id % 100 = 0"
 
 
 def _q(x: str, digits: int) -> str:
@@ -55,9 +51,9 @@ _PEARSON = """least(1.0, greatest(-1.0, cast(n_common * sxy - sx * sy as double)
 _DEFINED = "n_common >= 2 and lo_x < hi_x and lo_y < hi_y"
 
 
-def _collaborative(user: int | tuple[int, ...] | None = None, k: int | None = 50) -> str:
-    """Similarities, neighbours and predictions, for one user or for all."""
-    one = "" if user is None else f"and a.user_id in ({_listed(user)})"
+def _collaborative(user: int | str | None = None, k: int | None = 50) -> str:
+    """Similarities, neighbours and predictions, for one user, for those of a condition, or for all."""
+    one = "" if user is None else f"and a.{user}" if isinstance(user, str) else f"and a.user_id = {user}"
     cut = "" if k is None else f"where rank <= {k}"
     return VIEWS + f""",
 means as (select user_id, avg(rating) as mean from cells group by 1),
@@ -209,15 +205,25 @@ ORACLE: dict[str, str] = {
     "cosine_neighbors": f"with {_collaborative(10)} select user_id, other_id, sim, n_common, rank from cosine_nb",
     "pearson_neighbors_batch": f"with {_collaborative()} select user_id, other_id, sim, n_common, rank from pearson_nb",
     "cosine_neighbors_batch": f"with {_collaborative()} select user_id, other_id, sim, n_common, rank from cosine_nb",
-    "pearson_matrix": f"""with {_collaborative(LISTED_USERS)} select user_id, other_id, sim, n_common
+    "pearson_matrix": f"""with {_collaborative(ASKING)} select user_id, other_id, sim, n_common
         from moments left join (select user_id, other_id, sim from pearson) using (user_id, other_id)
         union all select user_id, user_id, 1.0, count(*) filter (rating > 0) from cells
-            where user_id in ({_listed(LISTED_USERS)}) group by 1""",
-    "cosine_matrix": f"""with {_collaborative(LISTED_USERS)} select user_id, other_id, sim, n_common from cosine
-        union all select user_id, user_id, 1.0, count(*) from cells where user_id in ({_listed(LISTED_USERS)}) group by 1""",
-    "pearson_predict_all": f"""with {_collaborative(LISTED_USERS, None)} select user_id, item_id, score, rank
+            where {ASKING} group by 1""",
+    "cosine_matrix": f"""with {_collaborative(ASKING)} select user_id, other_id, sim, n_common from cosine
+        union all select user_id, user_id, 1.0, count(*) from cells where {ASKING} group by 1""",
+    "pearson_matrix_dense": f"""with {_collaborative(ASKING)} select a.user_id, b.user_id as other_id,
+            case when a.user_id = b.user_id then 1.0 else sim end as sim, a.user_id = b.user_id or n_common is not null as met
+        from (select distinct user_id from cells where {ASKING}) a cross join (select distinct user_id from cells) b
+        left join (select user_id, other_id, n_common, sim from moments left join (select user_id, other_id, sim from pearson)
+            using (user_id, other_id)) p on p.user_id = a.user_id and p.other_id = b.user_id""",
+    "cosine_matrix_dense": f"""with {_collaborative(ASKING)} select a.user_id, b.user_id as other_id,
+            case when a.user_id = b.user_id then 1.0 else coalesce(sim, 0.0) end as sim,
+            a.user_id = b.user_id or sim is not null as met
+        from (select distinct user_id from cells where {ASKING}) a cross join (select distinct user_id from cells) b
+        left join cosine p on p.user_id = a.user_id and p.other_id = b.user_id""",
+    "pearson_predict_all": f"""with {_collaborative(ASKING, None)} select user_id, item_id, score, rank
         from ({_ranked('pearson', 2, False)})""",
-    "cosine_predict_all": f"""with {_collaborative(LISTED_USERS, None)} select user_id, item_id, score, rank
+    "cosine_predict_all": f"""with {_collaborative(ASKING, None)} select user_id, item_id, score, rank
         from ({_ranked('cosine', 3)})""",
     "rec_pearson": f"with {_collaborative(10)} {_recs('pearson', 500)}",
     "rec_cosine": f"with {_collaborative(10)} {_recs('cosine', 500)}",
@@ -258,7 +264,7 @@ ORACLE: dict[str, str] = {
     "content_score_all": f"""with {CONTENT} select user_id, item_id, {_q('score', 4)} as score,
         cast(row_number() over (partition by user_id order by score desc nulls last, title nulls last, item_id) as int)
         as rank
-        from table_all where user_id in ({_listed(LISTED_USERS)})""",
+        from table_all where {ASKING}""",
     "rec_content": _content_recs("user_id = 10", 20),
     "rec_content_batch": _content_recs("true", 10),
     "vector_mean": f"""select label, cast(pos - 1 as int) as pos, {_q('avg(x)', 6)} as mean from (

@@ -21,8 +21,8 @@ from tastemesh.sources.staging import stage
 from tastemesh.sources.vectors import load_or_build
 
 USER = 10
-# Those whose whole row of a table is asked for; the length of the list, not of the data, sets the output.
-LISTED_USERS = (10, 20, 37, 42, 64, 75, 88, 91, 106, 133)
+# Whole rows of tables are asked for by every user whose id it divides, against all users or items.
+EVERY = 100
 COLLABORATIVE_TOP = 500
 CONTENT_TOP = 20
 
@@ -45,6 +45,10 @@ def _cells(v: Views) -> DataFrame:
     return H.interaction_cells(v.history(), v.catalog())
 
 
+def _asking(rows: DataFrame) -> DataFrame:
+    return rows.select("user_id").distinct().where(F.col("user_id") % EVERY == 0)
+
+
 def _kept_cells(v: Views) -> DataFrame:
     return stage(_cells(v), "cells")
 
@@ -206,27 +210,45 @@ def cosine_neighbors_batch(v: Views) -> DataFrame:
 
 @query
 def pearson_matrix(v: Views) -> DataFrame:
-    return similarity.pearson_matrix(_kept_cells(v), LISTED_USERS)
+    cells = _kept_cells(v)
+    return similarity.pearson_matrix(cells, _asking(cells))
 
 
 @query
 def cosine_matrix(v: Views) -> DataFrame:
-    return similarity.cosine_matrix(_kept_cells(v), LISTED_USERS)
+    cells = _kept_cells(v)
+    return similarity.cosine_matrix(cells, _asking(cells))
+
+
+def _dense(v: Views, matrix, empty: float | None) -> DataFrame:
+    cells = _kept_cells(v)
+    index, users = similarity.user_index(cells), _asking(cells)
+    return similarity.dense_matrix(similarity.packed_matrix(matrix(cells, users), index), index, users, empty)
+
+
+@query
+def pearson_matrix_dense(v: Views) -> DataFrame:
+    return _dense(v, similarity.pearson_matrix, None)
+
+
+@query
+def cosine_matrix_dense(v: Views) -> DataFrame:
+    return _dense(v, similarity.cosine_matrix, 0.0)
 
 
 @query
 def pearson_predict_all(v: Views) -> DataFrame:
     cells = _kept_cells(v)
-    neighbors = stage(similarity.pearson_neighbors(cells, LISTED_USERS, k=None), "neighbors")
-    scores = prediction.predict_pearson(cells, neighbors, LISTED_USERS, bounds=None, digits=2)
+    neighbors = stage(similarity.pearson_neighbors(cells, _asking(cells), k=None), "neighbors")
+    scores = prediction.predict_pearson(cells, neighbors, _asking(cells), bounds=None, digits=2)
     return prediction.rank_items(scores, None).drop("support")
 
 
 @query
 def cosine_predict_all(v: Views) -> DataFrame:
     cells = _kept_cells(v)
-    neighbors = stage(similarity.cosine_neighbors(cells, LISTED_USERS, k=None), "neighbors")
-    scores = prediction.predict_cosine(cells, neighbors, LISTED_USERS, digits=3)
+    neighbors = stage(similarity.cosine_neighbors(cells, _asking(cells), k=None), "neighbors")
+    scores = prediction.predict_cosine(cells, neighbors, _asking(cells), digits=3)
     return prediction.rank_items(scores, None).drop("support")
 
 
@@ -359,7 +381,7 @@ def content_profile(v: Views) -> DataFrame:
 @query
 def content_score_all(v: Views) -> DataFrame:
     seen = content.seen_counts(v.history(), v.catalog())
-    scores = content.content_score_all(_catalog_vectors(v), seen, v.catalog(), LISTED_USERS)
+    scores = content.content_score_all(_catalog_vectors(v), seen, v.catalog(), _asking(seen))
     return scores.select("user_id", "item_id", quantize(F.col("score"), 4).alias("score"), "rank")
 
 

@@ -304,3 +304,26 @@ def profile_scores(
             yield out
 
     return run
+
+
+def expand_rows(empty: float | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Task function from packed matrix rows to one row a pair: ``user_id, other_id, sim, met``.
+
+    ``met`` is a bitmap, lowest bit first, over the bucket's places from 0; ``empty`` the value where it has no bit.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for user, others, bitmap, pos, sim in zip(*(batch.column(c) for c in range(5)), strict=True):
+                others = others.values
+                met = np.zeros(len(others), bool)
+                if bitmap.is_valid:
+                    met = np.unpackbits(np.frombuffer(bitmap.as_buffer(), np.uint8), bitorder="little")[: len(others)].astype(bool)
+                value, known = np.full(len(others), 0.0 if empty is None else empty), ~met if empty is not None else np.zeros(len(others), bool)
+                at = pos.values.to_numpy()
+                value[at], known[at] = sim.values.to_numpy(), True
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(user, len(others)), others, pa.array(value, mask=~known), pa.array(met)],
+                    names=["user_id", "other_id", "sim", "met"])
+
+    return run

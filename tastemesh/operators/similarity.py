@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tastemesh.functions.numeric import RATING_DIGITS, SIM_DIGITS, quantize
 from tastemesh.operators import kernels
 from tastemesh.operators.history import for_users
-from tastemesh.operators.ranking import top_k
+from tastemesh.operators.ranking import top_k, whole_ranks
 from tastemesh.sources.staging import stage
 
 # Users per block. A task holds the sums of one pair of blocks, six for Pearson and two for cosine:
@@ -22,6 +22,9 @@ BLOCKS_PER_GROUP = 16
 # Pairs of blocks that a task works through at most, one at a time.
 PAIRS_PER_TASK = 8
 
+# Users that one row of a packed matrix stands for: the bits of one of Spark's bitmaps.
+BITMAP_USERS = 8 * 4096
+
 VALUE = {"pearson": "rating", "cosine": "seen"}
 
 
@@ -163,14 +166,14 @@ def block_pairs(
             F.lit(None).cast(T.ArrayType(id_type)).alias("ids"),
         )
     )
+    # Only pairs of blocks with enough items in common are worked on: others hold no pair of users to compare.
+    meeting = stage(_meeting_blocks(left, right, 2 if measure == "pearson" else 1), "meeting-blocks")
+    shared = shared.join(meeting, ["left_block", "right_block"], "left_semi")
     # Who is in the two blocks of a pair. A block has a bounded number of users.
     members = users.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "user_id", "norm"))).alias("m"))
     lm, rm = F.col("lm"), F.col("rm")
     headers = (
-        members.select(
-            F.col("block").alias("left_block"), F.col("m").alias("lm"),
-            F.explode(F.sequence(F.col("block"), F.lit(n_blocks - 1))).alias("right_block"),
-        )
+        meeting.join(members.select(F.col("block").alias("left_block"), F.col("m").alias("lm")), "left_block")
         .join(members.select(F.col("block").alias("right_block"), F.col("m").alias("rm")), "right_block")
         .select(
             "left_block", "right_block", F.lit(0).alias("part"), F.size(lm).alias("n_left"),
@@ -195,6 +198,18 @@ def block_pairs(
     )
 
 
+def _meeting_blocks(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
+    """Pairs of blocks that have ``least`` items or more in common: ``left_block, right_block``.
+
+    Block numbers only: no array travels for a pair that turns out to have too little in common.
+    """
+    keys = ["item_id", "left_group", "right_group"]
+    return (
+        left.select(*keys, "left_block").join(right.select(*keys, "right_block"), keys).where("left_block <= right_block")
+        .groupBy("left_block", "right_block").agg(F.count("*").alias("items")).where(F.col("items") >= least)
+        .select("left_block", "right_block"))
+
+
 def _matrix(cells: DataFrame, measure: str, users: Sequence | DataFrame) -> DataFrame:
     own = F.count_if(F.col(VALUE[measure]) > 0).alias("n_common")
     diagonal = for_users(cells, users).groupBy("user_id").agg(own).select(
@@ -217,3 +232,42 @@ def cosine_matrix(cells: DataFrame, users: Sequence | DataFrame) -> DataFrame:
     Pairs without a common item, all 0, are not listed.
     """
     return _matrix(cells, "cosine", users)
+
+
+def user_index(cells: DataFrame) -> DataFrame:
+    """All users with their place in id order, from 1: ``user_id, pos``."""
+    return stage(whole_ranks(cells.select("user_id").distinct(), [], [F.col("user_id")], "pos"), "user-index")
+
+
+def packed_matrix(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """Rows of a similarity matrix without their empty part.
+
+    ``rows`` are those of ``pearson_matrix`` or ``cosine_matrix``. Returns ``user_id, bucket, met, pos, sim``: for each
+    bucket of ``BITMAP_USERS`` users in which the user shares an item with someone, a bitmap of whom, and the places and
+    values of the defined similarities. Everyone else is the complement and takes no space.
+    """
+    placed = rows.join(index.select(F.col("user_id").alias("other_id"), "pos"), "other_id")
+    entry = F.when(F.col("sim").isNotNull(), F.struct(F.bitmap_bit_position("pos").cast("int").alias("pos"), "sim"))
+    return placed.groupBy("user_id", F.bitmap_bucket_number("pos").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("pos")).alias("met"), F.sort_array(F.collect_list(entry)).alias("entries")
+    ).select("user_id", "bucket", "met", F.col("entries.pos").alias("pos"), F.col("entries.sim").alias("sim"))
+
+
+def dense_matrix(packed: DataFrame, index: DataFrame, users: Sequence | DataFrame, empty: float | None) -> DataFrame:
+    """The whole rows of the given users: ``user_id, other_id, sim, met`` with everyone in the index.
+
+    ``met`` tells whether the two share an item; ``empty`` is the value of pairs that do not (None for Pearson, 0 for
+    cosine). Buckets are expanded where they are needed, one at a time.
+    """
+    members = index.groupBy(F.bitmap_bucket_number("pos").alias("bucket")).agg(
+        F.sort_array(F.collect_list(F.struct(F.bitmap_bit_position("pos").alias("bit"), "user_id"))).alias("m"))
+    top = -(-index.count() // BITMAP_USERS)
+    wanted = for_users(index, users).select("user_id", F.explode(F.expr(f"sequence(1L, {max(1, top)}L)")).alias("bucket"))
+    whole = wanted.join(members.select("bucket", F.col("m.user_id").alias("others")), "bucket").join(packed, ["user_id", "bucket"], "left")
+    id_type = index.schema["user_id"].dataType
+    out = T.StructType([
+        T.StructField("user_id", id_type), T.StructField("other_id", id_type), T.StructField("sim", T.DoubleType()),
+        T.StructField("met", T.BooleanType())])
+    return whole.select(
+        "user_id", "others", "met", F.coalesce("pos", F.array().cast("array<int>")).alias("pos"),
+        F.coalesce("sim", F.array().cast("array<double>")).alias("sim")).mapInArrow(kernels.expand_rows(empty), out)
