@@ -5,9 +5,10 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tastemesh.functions.text import ENGLISH_STOP_WORDS
-from tastemesh.operators import prediction, similarity, tfidf
+from tastemesh.operators import content, prediction, ranking, similarity, tfidf
 
 
 def _skewed_cells(seed, n_users=60, n_items=40):
@@ -149,6 +150,76 @@ def test_matrix_rows(spark):
         assert all(got[p] == s if s is None else abs(got[p] - s) < 1e-9 for p, s in want.items())
 
 
+def _dense_case(spark, seed):
+    cells = _skewed_cells(seed)
+    return spark.createDataFrame([(u, i, *v) for (u, i), v in cells.items()], "user_id long, item_id string, rating double, seen double")
+
+
+@pytest.mark.parametrize("job, empty", [(similarity.pearson_matrix, None), (similarity.cosine_matrix, 0.0)])
+def test_dense_matrix_adds_the_complement(spark, job, empty):
+    """Every pair of the users asked for, empty where they share nothing; empty parts are not stored."""
+    df = _dense_case(spark, 9)
+    lonely = spark.createDataFrame([(10**6, "nobody else has this", 3.0, 1.0)], df.schema)
+    cells = df.unionByName(lonely)
+    users, index = [3, 7, 8, 10**6], similarity.user_index(cells)
+    everyone = sorted(r.user_id for r in cells.select("user_id").distinct().collect())
+    assert [r.user_id for r in index.orderBy("pos").collect()] == everyone
+    rows = {(r.user_id, r.other_id): r.sim for r in job(cells, users).collect()}
+    packed = similarity.packed_matrix(job(cells, users), index)
+    assert sum(len(r.pos) for r in packed.collect()) == sum(x is not None for x in rows.values())
+    got = {(r.user_id, r.other_id): (r.sim, r.met) for r in similarity.dense_matrix(packed, index, users, empty).collect()}
+    assert got == {(u, o): (rows.get((u, o), empty), (u, o) in rows) for u in users for o in everyone}
+
+
+def test_whole_ranks_of_a_hot_key(spark):
+    """Numbers equal those of a window, and no range holds the hot key whole."""
+    rows = [(1 if i % 3 else i, (i * 7919) % 1000, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "user_id long, score long, item_id long")
+    order = [F.col("score").desc(), F.col("item_id")]
+    want = {(r.user_id, r.item_id): r["rank"] for r in ranking.ranked(df, ["user_id"], order).collect()}
+    assert {(r.user_id, r.item_id): r["rank"] for r in ranking.whole_ranks(df, ["user_id"], order).collect()} == want
+    flat = ranking.whole_ranks(df, [], [F.col("item_id").desc()], "place").collect()
+    assert {r.item_id: r.place for r in flat} == {i: 3000 - i for i in range(3000)}
+    assert ranking.whole_ranks(df.where("false"), ["user_id"], order).count() == 0
+
+
+def test_blocks_without_common_items_are_not_worked_on(spark, monkeypatch):
+    """Groups of users with items of their own: headers are made for pairs of blocks that meet, not for all."""
+    counted, real = {}, similarity.stage
+
+    def counting(df, label):
+        out = real(df, label)
+        counted[label] = out
+        return out
+
+    monkeypatch.setattr(similarity, "stage", counting)
+    cells = {(u, f"{u // 4}-{i}"): float(1 + (u * i) % 5) for u in range(80) for i in range(5)}
+    got = {(r.user_id, r.other_id) for r in similarity.cosine_neighbors(_cells_frame(spark, cells), None, 10, 2).collect()}
+    assert got == {(u, v) for u in range(80) for v in range(80) if u != v and u // 4 == v // 4}
+    assert counted["meeting-blocks"].count() < 0.25 * 40 * 41 / 2
+
+
+@pytest.mark.parametrize("include_zero", [True, False])
+def test_bounds_leave_out_pairs_of_blocks(spark, monkeypatch, include_zero):
+    """Users and items of 20 themes: bounded scores equal all scores, and most pairs of blocks are not formed."""
+    rnd, pairs, real = random.Random(4), [], content._score_pairs
+    monkeypatch.setattr(content, "_score_pairs", lambda *a: (pairs.append(a[6]), real(*a))[1])
+    vectors, seen = [], []
+    for item in range(400):
+        weights = [(f"t{item % 20}", 0.9), (f"t{item % 20}x{rnd.randrange(5)}", 0.4), ("every", 0.05 + 0.001 * (item % 7))]
+        vectors += [(item, t, w) for t, w in weights]
+    for user in range(120):
+        seen += [(user, item, 1) for item in rnd.sample(range(user % 20, 400, 20), 6)]
+    items = spark.createDataFrame([(i, f"title {i % 37}") for i in range(410)], "item_id long, title string")
+    catalog = items.withColumnRenamed("item_id", "id")
+    v, h = spark.createDataFrame(vectors, "item_id long, term string, weight double"), spark.createDataFrame(seen, "user_id long, item_id long, times long")
+    every, some = ([tuple(r) for r in content.rank_content(
+        content.block_scores(v, h, items, 5, include_zero, 6, 20, bounded_from), catalog, 5).select("user_id", "item_id", "score", "rank").collect()]
+        for bounded_from in (10**9, 1))
+    assert sorted(every) == sorted(some) and len(every) == 600
+    assert pairs[0] == 20 * 21 and sum(pairs[1:]) < 0.4 * pairs[0]
+
+
 def test_small_similarities_count_in_full(spark):
     cells = {(1, "a"): 4.0, (1, "b"): 2.0, (2, "c"): 5.0, (2, "d"): 1.0, (3, "c"): 2.0, (3, "e"): 4.0}
     near = spark.createDataFrame([(1, 2, 3.1e-8), (1, 3, -1.7e-8)], "user_id long, other_id long, sim double")
@@ -201,7 +272,7 @@ def _grams(text, low, high):
     return [" ".join(toks[i:i + n]) for n in range(low, high + 1) for i in range(len(toks) - n + 1)]
 
 
-@pytest.mark.parametrize("size, low, high", [(5, 1, 3), (12, 1, 2), (29, 1, 3), (500, 1, 3), (10, 2, 3), (8, 1, 1)])
+@pytest.mark.parametrize("size, low, high", [(5, 1, 3), (12, 1, 2), (29, 1, 3), (500, 1, 3), (10, 2, 3), (8, 1, 1), (25, 2, 2)])
 @pytest.mark.parametrize("broadcast_rows", [200_000, 0])
 def test_vocabulary(spark, monkeypatch, size, low, high, broadcast_rows):
     monkeypatch.setattr(tfidf, "BROADCAST_ROWS", broadcast_rows)
