@@ -25,6 +25,9 @@ PAIRS_PER_TASK = 8
 # Users that one row of a packed matrix stands for: the bits of one of Spark's bitmaps.
 BITMAP_USERS = 8 * 4096
 
+# Blocks from which on it is worth counting what pairs of them have in common.
+MEETING_FROM = 32
+
 VALUE = {"pearson": "rating", "cosine": "seen"}
 
 
@@ -167,8 +170,13 @@ def block_pairs(
         )
     )
     # Only pairs of blocks with enough items in common are worked on: others hold no pair of users to compare.
-    meeting = stage(_meeting_blocks(left, right, 2 if measure == "pearson" else 1), "meeting-blocks")
-    shared = shared.join(meeting, ["left_block", "right_block"], "left_semi")
+    if n_blocks < MEETING_FROM:
+        meeting = spark.range(n_blocks * n_blocks).select(
+            F.expr(f"CAST(id DIV {n_blocks} AS int)").alias("left_block"), F.expr(f"CAST(id % {n_blocks} AS int)").alias("right_block")
+        ).where("left_block <= right_block")
+    else:
+        meeting = stage(_meeting_blocks(left, right, 2 if measure == "pearson" else 1), "meeting-blocks")
+        shared = shared.join(meeting, ["left_block", "right_block"], "left_semi")
     # Who is in the two blocks of a pair. A block has a bounded number of users.
     members = users.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "user_id", "norm"))).alias("m"))
     lm, rm = F.col("lm"), F.col("rm")
