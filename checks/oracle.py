@@ -255,6 +255,7 @@ ORACLE: dict[str, str] = {
     "ngrams": f"with {_TEXTS} {_vectors('texts')} select item_id, term, tf from tf_all",
     "tfidf_vocab": f"with {_TEXTS} {_vectors('texts')} select term, total, df from vocab",
     "tfidf_vectors": f"with {_TEXTS} {_vectors('texts')} {_VECTOR_ROWS}",
+    "tfidf_incremental": f"with {_TEXTS} {_vectors('texts')} {_VECTOR_ROWS}",
     "top_terms": f"""with {_TEXTS} {_vectors('texts')} select item_id, term, {_q('weight', 6)} as weight, rank from (
         select *, cast(row_number() over (partition by item_id order by weight desc, term) as int) as rank from vectors)
         where rank <= 5""",

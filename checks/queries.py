@@ -15,6 +15,7 @@ from tastemesh.operators import consensus as C
 from tastemesh.operators import content, dense, prediction, similarity, tfidf
 from tastemesh.operators import history as H
 from tastemesh.operators.catalog import by_title, denormalize_catalog, first_per_external_id
+from tastemesh.operators.incremental import VectorStore
 from tastemesh.plans import recommend as R
 from tastemesh.sources import csv
 from tastemesh.sources.staging import stage
@@ -362,6 +363,22 @@ def tfidf_vectors(v: Views) -> DataFrame:
     return _rounded(tfidf.tfidf_vectors(v.texts()))
 
 
+@query
+def tfidf_incremental(v: Views) -> DataFrame:
+    """The vectors of all texts, from a store that first held an earlier state of the table.
+
+    Of a hundredth of the texts the store held other words, another hundredth is new and some are gone.
+    """
+    texts = v.texts()
+    part = F.pmod("item_id", F.lit(100))
+    before = texts.where(part != 1).withColumn("text", F.when(part == 2, F.reverse("text")).otherwise(F.col("text")))
+    gone = texts.where(part == 3).withColumn("item_id", -F.col("item_id") - 1)
+    store = VectorStore(v.spark, _sink(v, "vector-store"))
+    store.update(before.unionByName(gone))
+    store.update(texts)
+    return _rounded(store.vectors())
+
+
 @query
 def top_terms(v: Views) -> DataFrame:
     return _rounded(tfidf.top_terms(tfidf.tfidf_vectors(v.texts())))
