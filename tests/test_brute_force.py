@@ -301,3 +301,28 @@ def test_tfidf(spark):
     assert all(abs(got[k] - want[k]) < 1e-7 for k in want)
     top = tfidf.top_terms(tfidf.tfidf_vectors(df, 20), 2).collect()
     assert Counter(r.item_id for r in top) == {d: min(2, len(c)) for d, c in tf.items() if c}
+
+
+def test_profiles_of_an_item_that_everyone_has(spark, monkeypatch):
+    """A hot item's vector travels once to each group of blocks, however many raters it has."""
+    monkeypatch.setattr(content, "BLOCK_USERS", 10)
+    monkeypatch.setattr(content, "GROUP_BLOCKS", 2)
+    rnd = random.Random(5)
+    vectors = {i: {f"t{rnd.randrange(9)}": rnd.randint(1, 999) / 1000 for _ in range(4)} for i in range(12)}
+    seen = {(u, 0): rnd.randint(1, 3) for u in range(300)}
+    seen |= {(u, rnd.randrange(1, 15)): rnd.randint(1, 3) for u in range(300) for _ in range(3)}
+    expected = {}
+    for u in range(300):
+        mine = {i: n for (v, i), n in seen.items() if v == u}
+        total = defaultdict(float)
+        for i, n in mine.items():
+            for term, w in vectors.get(i, {}).items():
+                total[term] += n * w
+        expected |= {(u, t): round(w / sum(mine.values()), 7) for t, w in total.items()}
+    cells = spark.createDataFrame([(*k, n) for k, n in seen.items()], "user_id long, item_id long, times long")
+    rows = spark.createDataFrame(
+        [(i, t, w) for i, v in vectors.items() for t, w in v.items()], "item_id long, term string, weight double")
+    got = content.content_profile(rows, cells)
+    assert {(r.user_id, r.term): round(r.weight, 7) for r in got.collect()} == expected
+    one = content.content_profile(rows, cells, [7])
+    assert {(r.user_id, r.term) for r in one.collect()} == {k for k in expected if k[0] == 7}
