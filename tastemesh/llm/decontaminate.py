@@ -5,10 +5,12 @@ by term, the sorted positions where it occurs. Segments are independent, so the
 searched without a shuffle, and a term as frequent as any is spread over all segments. ``phrase_matches``
 intersects, for all test windows at once, the offset-adjusted positions of the window's rarest term with those of
 the next rarest and so on; a window with a term that the segment lacks is dropped at once. ``proximity_matches``
-asks instead that each term occurs within ``span`` words of the rarest one.
+asks instead that each term occurs within ``span`` words of the window's rarest one, in any order; the rarest is that of
+all documents (ties: the earliest in the window), whose totals are added up from the postings first, for test terms only.
 
 Test windows go to all segments as broadcast blocks of at most ``BLOCK_WINDOWS``; a larger test set takes
-several passes over the stored index. Words are known by a 64-bit hash.
+several passes over the stored index. Words are known by a 64-bit hash. A very long text is a segment of its own, held by
+one task.
 
 Edge cases: a null or empty text has no words and an item without words occurs nowhere; documents without
 ``doc_id`` are judged too; equal rows each get a row; repeated items count once by ``item_id``; an item without id is
@@ -29,9 +31,11 @@ from tastemesh.llm.words import alphanumeric, chunks, split_words
 from tastemesh.sources.staging import stage
 
 BLOCK_WINDOWS = 200_000  # about 20 MB broadcast
+BLOCK_TERMS = 2_000_000  # 16 MB broadcast
+SPAN = 20
 _WORDS = alphanumeric()
 _INDEX = "doc_ids array<long>, firsts array<long>, terms binary, counts binary, positions binary"
-_HITS = "doc_id long, seg long, row int, n_words long, items array<long>, begins array<int>, ends array<int>"
+_HITS = "doc_id long, seg long, row int, n_words long, items array<long>, begins array<int>, ends array<int>, near array<long>"
 
 
 def build_index(documents: DataFrame) -> DataFrame:
@@ -75,8 +79,44 @@ def phrase_windows(items: DataFrame, size: int = 10) -> DataFrame:
     )
 
 
+def term_totals(index: DataFrame, windows: DataFrame) -> DataFrame:
+    """``term``, ``total``: how often each term of the windows occurs in all documents; those that never do are left out."""
+    terms = stage(windows.select(F.explode("terms").alias("term")).distinct(), "test-terms")
+    blocks = max(1, -(-terms.count() // BLOCK_TERMS))
+
+    def one(block: int) -> DataFrame:
+        rows = terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == block).toArrow()
+        wanted = terms.sparkSession.sparkContext.broadcast(np.sort(rows["term"].to_numpy().view(np.uint64)))
+
+        def count(batches: Batches) -> Batches:
+            total = np.zeros(len(wanted.value), np.int64)
+            for batch in batches:
+                for own, counts in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                    own, counts = np.frombuffer(own, np.uint64), np.frombuffer(counts, np.uint32)
+                    if len(own):
+                        at = np.minimum(np.searchsorted(own, wanted.value), len(own) - 1)
+                        total += np.where(own[at] == wanted.value, counts[at], 0)
+            met = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(wanted.value[met].view(np.int64)), pa.array(total[met])], ["term", "total"])
+
+        return index.select("terms", "counts").mapInArrow(count, "term long, total long")
+
+    return reduce(DataFrame.unionByName, map(one, range(blocks))).groupBy("term").agg(F.sum("total").alias("total"))
+
+
+def anchored(index: DataFrame, windows: DataFrame) -> DataFrame:
+    """The windows whose terms all occur somewhere, with the place of the rarest: ``anchor``."""
+    places = windows.select("item_id", "terms", F.posexplode("terms").alias("place", "term"))
+    return (
+        places.join(term_totals(index, windows), "term").groupBy("item_id", "terms")
+        .agg(F.count("*").alias("known"), F.min(F.struct("total", "place"))["place"].alias("anchor"))
+        .where(F.col("known") == F.size("terms")).drop("known")
+    )
+
+
 def _blocks(windows: DataFrame, size: int):
-    """Broadcasts of at most ``BLOCK_WINDOWS`` windows: item ids, lengths, and terms padded to ``size``."""
+    """Broadcasts of at most ``BLOCK_WINDOWS`` windows: item ids, lengths, terms padded to ``size``, and anchors if any."""
     windows = stage(windows.withColumn("block_key", F.xxhash64("item_id", "terms")), "test-windows")
     blocks = max(1, -(-windows.count() // BLOCK_WINDOWS))
     for block in range(blocks):
@@ -84,8 +124,9 @@ def _blocks(windows: DataFrame, size: int):
         terms = np.zeros((rows.num_rows, size), np.int64)
         lengths = rows["terms"].combine_chunks().value_lengths().to_numpy() if rows.num_rows else np.zeros(0, np.int32)
         terms[np.arange(size) < lengths[:, None]] = rows["terms"].combine_chunks().flatten().to_numpy() if rows.num_rows else []
+        anchors = rows["anchor"].to_numpy() if "anchor" in rows.column_names else np.zeros(rows.num_rows, np.int64)
         yield windows.sparkSession.sparkContext.broadcast(
-            (rows["item_id"].to_numpy(), lengths.astype(np.int64), terms.view(np.uint64)))
+            (rows["item_id"].to_numpy(), lengths.astype(np.int64), terms.view(np.uint64), anchors.astype(np.int64)))
 
 
 class Segment:
@@ -136,12 +177,12 @@ class Segment:
             start, owner = start[stays], owner[stays]
         return live[owner], start
 
-    def near(self, lengths: np.ndarray, terms: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the windows whose terms all occur within ``span`` words of their rarest, and where that is."""
-        live, ranks, _ = self.ranks(terms, np.arange(terms.shape[1]) < lengths[:, None])
-        position, owner = self.postings(ranks[:, 0])
+    def near(self, lengths: np.ndarray, terms: np.ndarray, anchors: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the windows whose terms all occur within ``span`` words of their anchor, and where that is."""
+        live, ranks, offsets = self.ranks(terms, np.arange(terms.shape[1]) < lengths[:, None])
+        position, owner = self.postings(ranks[offsets == anchors[live, None]])
         size, opens = lengths[live], np.repeat(self.firsts[:-1], np.diff(self.firsts))
-        for k in range(1, terms.shape[1]):
+        for k in range(terms.shape[1]):
             low = ranks[owner, k] * self.stride + np.maximum(position - span, opens[position])
             high = ranks[owner, k] * self.stride + np.minimum(position + span, self.limits[position] - 1)
             at = np.searchsorted(self.keys, low)
@@ -151,16 +192,27 @@ class Segment:
         return live[owner], position
 
 
-def _search(index: DataFrame, windows: DataFrame, size: int, find) -> DataFrame:
-    """By segment document: the items that ``find`` reports and the merged word ranges ``begins`` to ``ends``."""
+def _by_document(doc: np.ndarray, item: np.ndarray, n: int) -> pa.Array:
+    """The distinct items of each of ``n`` documents."""
+    order = np.lexsort((item, doc))
+    doc, item = doc[order], item[order]
+    first = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])][: len(doc)]
+    return lists(pa.array(item[first], pa.int64()), np.bincount(doc[first], minlength=n))
+
+
+def _search(index: DataFrame, windows: DataFrame, size: int, find, span: int | None = None) -> DataFrame:
+    """By segment document: the items that ``find`` reports and the merged word ranges ``begins`` to ``ends``.
+
+    With a ``span``, ``near`` has the items found by proximity in the same pass, else it is empty.
+    """
 
     def one(block) -> DataFrame:
         def search(batches: Batches) -> Batches:
-            item_ids, lengths, terms = block.value
+            item_ids, lengths, terms, anchors = block.value
             for batch in batches:
                 for row in batch.to_pylist():
                     segment = Segment(row)
-                    window, begin, end = find(segment, lengths, terms)
+                    window, begin, end = find(segment, lengths, terms, anchors)
                     doc = np.searchsorted(segment.firsts, begin, "right") - 1
                     cuts = np.searchsorted(np.sort(doc, kind="stable"), np.arange(len(segment.doc_ids) + 1))
                     order = np.argsort(doc, kind="stable")
@@ -172,11 +224,13 @@ def _search(index: DataFrame, windows: DataFrame, size: int, find) -> DataFrame:
                         begins.append(lo)
                         ends.append(hi)
                     n = len(segment.doc_ids)
+                    close, place = segment.near(lengths, terms, anchors, span) if span is not None else (window[:0], begin[:0])
+                    near = _by_document(np.searchsorted(segment.firsts, place, "right") - 1, item_ids[close], n)
                     yield pa.RecordBatch.from_arrays([
                         pa.array(segment.doc_ids, pa.int64()), pa.array([row["seg"]] * n, pa.int64()),
                         pa.array(np.arange(n, dtype=np.int32)), pa.array(np.diff(segment.firsts)),
                         *(lists(pa.array(np.concatenate(x) if n else [], kind), [len(y) for y in x])
-                          for x, kind in ((items, pa.int64()), (begins, pa.int32()), (ends, pa.int32()))),
+                          for x, kind in ((items, pa.int64()), (begins, pa.int32()), (ends, pa.int32()))), near,
                     ], _HITS.replace(",", " ").split()[::2])
 
         return index.mapInArrow(search, _HITS)
@@ -186,7 +240,7 @@ def _search(index: DataFrame, windows: DataFrame, size: int, find) -> DataFrame:
         return found[0].drop("seg", "row")
     together = reduce(DataFrame.unionByName, found).groupBy("seg", "row").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
-        *(F.flatten(F.collect_list(c)).alias(c) for c in ("items", "begins", "ends")))
+        *(F.flatten(F.collect_list(c)).alias(c) for c in ("items", "begins", "ends", "near")))
     return together.drop("seg", "row").mapInArrow(_join_ranges, together.drop("seg", "row").schema)
 
 
@@ -195,7 +249,7 @@ def _join_ranges(batches: Batches) -> Batches:
     for batch in batches:
         rows = batch.to_pylist()
         for row in rows:
-            row["items"] = sorted(set(row["items"]))
+            row["items"], row["near"] = sorted(set(row["items"])), sorted(set(row["near"]))
             row["begins"], row["ends"] = _merge(np.array(row["begins"], np.int32), np.array(row["ends"], np.int32))
         yield pa.RecordBatch.from_pylist(rows, batch.schema)
 
@@ -215,33 +269,37 @@ def _stored(documents: DataFrame) -> DataFrame:
     return stage(build_index(documents).withColumn("seg", F.monotonically_increasing_id()), "postings")
 
 
-def phrase_matches(index: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
-    """Per document: ``n_words``, ``items`` with a window that occurs exactly, and the word ranges they cover."""
+def _exact(segment: Segment, lengths: np.ndarray, terms: np.ndarray, _: np.ndarray):
+    window, start = segment.phrases(lengths, terms)
+    return window, start, start + lengths[window]
 
-    def find(segment: Segment, lengths: np.ndarray, terms: np.ndarray):
-        window, start = segment.phrases(lengths, terms)
-        return window, start, start + lengths[window]
 
-    return _search(index, phrase_windows(items, size), size, find)
+def phrase_matches(index: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+    """Per document: ``n_words``, ``items`` with a window that occurs exactly, and the word ranges they cover."""
+    return _search(index, phrase_windows(items, size), size, _exact).drop("near")
 
 
-def proximity_matches(index: DataFrame, items: DataFrame, size: int = 10, span: int = 20) -> DataFrame:
+def proximity_matches(index: DataFrame, items: DataFrame, size: int = 10, span: int = SPAN) -> DataFrame:
     """As ``phrase_matches``, for windows whose words all occur within ``span`` words of the rarest, in any order.
 
-    The ranges are the places of the rarest word.
+    The ranges are the places of the rarest word. A word that a window repeats need not be repeated.
     """
 
-    def find(segment: Segment, lengths: np.ndarray, terms: np.ndarray):
-        window, place = segment.near(lengths, terms, span)
+    def find(segment: Segment, lengths: np.ndarray, terms: np.ndarray, anchors: np.ndarray):
+        window, place = segment.near(lengths, terms, anchors, span)
         return window, place, place + 1
 
-    return _search(index, phrase_windows(items, size), size, find)
+    return _search(index, anchored(index, phrase_windows(items, size)), size, find).drop("near")
+
 
+def contamination(documents: DataFrame, items: DataFrame, size: int = 10, span: int | None = None) -> DataFrame:
+    """Per document the words that lie in a test window (``n_hit``), the ``items`` met, and ``contaminated``.
 
-def contamination(documents: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
-    """Per document the words that lie in a test window (``n_hit``), the ``items`` met, and ``contaminated``."""
-    matches = phrase_matches(_stored(documents), items, size)
+    With a ``span`` also ``near``, the items met by proximity, exact ones among them where ``size`` is at most ``span``.
+    """
+    index, windows = _stored(documents), phrase_windows(items, size)
+    matches = _search(index, windows if span is None else anchored(index, windows), size, _exact, span)
     covered = F.aggregate(F.zip_with("begins", "ends", lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
     return matches.select(
         "doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items",
-        (F.size("items") > 0).alias("contaminated"))
+        (F.size("items") > 0).alias("contaminated"), *(["near"] if span is not None else []))

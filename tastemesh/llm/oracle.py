@@ -29,10 +29,19 @@ begun as (select rid, i, win, item_id from threes join wins on a = win[1] and b
     union all select rid, i, win, item_id from threes join (from wins where len(win) < 3) on a = win[1]),
 met as (select rid, i, len(win) as size, item_id from begun join lists_of_documents using (rid) where ws[i : i + len(win) - 1] = win),
 hits as (select rid, count(distinct p) as n_hit from (select rid, unnest(generate_series(i, i + size - 1)) as p from met) group by 1),
-found as (select rid, count(distinct item_id) as n_items, list_sort(list(distinct cast(item_id as varchar))) as items from met group by 1)
+found as (select rid, count(distinct item_id) as n_items, list_sort(list(distinct cast(item_id as varchar))) as items from met group by 1),
+totals as (select a as term, count(*) as total from words_of_documents group by 1),
+places as (select item_id, win, unnest(win) as term, generate_subscripts(win, 1) as place from wins),
+anchors as (select item_id, win, term from (select *, row_number() over w as nth, count(total) over (partition by item_id, win) as known
+    from places left join totals using (term) window w as (partition by item_id, win order by total, place))
+    where nth = 1 and known = len(win)),
+close as (select distinct rid, item_id from words_of_documents join anchors on a = term join lists_of_documents using (rid)
+    where list_has_all(ws[greatest(1, i - 20) : i + 20], win)),
+near as (select rid, count(*) as n_near, list_sort(list(cast(item_id as varchar))) as near_items from close group by 1)
 select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
-    sha256(coalesce(array_to_string(items, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from lists_of_documents left join hits using (rid) left join found using (rid)"""
+    sha256(coalesce(array_to_string(items, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated,
+    coalesce(n_near, 0) as n_near_items, sha256(coalesce(array_to_string(near_items, ','), '')) as near_sha256
+from lists_of_documents left join hits using (rid) left join found using (rid) left join near using (rid)"""
 
 _RULES = {
     "short": "n_words < 10", "repeats": "100 * n_repeat_words > 20 * n_words", "symbols": "10 * n_symbols > n_words",

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemesh.llm.decontaminate import contamination
+from tastemesh.llm.decontaminate import SPAN, contamination
 from tastemesh.llm.html_text import extract
 from tastemesh.llm.jaccard_join import classes
 from tastemesh.llm.lang_id import identify
@@ -26,11 +26,15 @@ from tastemesh.sources.staging import stage
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words and items of benchmark windows found in each document."""
-    found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    """Words and items of benchmark windows found in each document, exactly and by proximity."""
+    found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), span=SPAN)
+
+    def digest(items: str) -> Column:
+        return F.sha2(F.concat_ws(",", F.array_sort(F.transform(items, lambda x: x.cast("string")))), 256)
+
     return found.select(
-        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"), "contaminated")
+        "doc_id", "n_words", "n_hit", "n_items", digest("items").alias("items_sha256"), "contaminated",
+        F.size("near").cast("long").alias("n_near_items"), digest("near").alias("near_sha256"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

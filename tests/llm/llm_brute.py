@@ -77,6 +77,25 @@ def contamination(docs, items, size=10):
     return out
 
 
+def near(docs, items, size=10, span=20):
+    """Items with a window whose words all lie within ``span`` words of a place of its rarest word."""
+    tokens = {i: alnum_words(t) for i, t in docs.items()}
+    places = {i: defaultdict(list) for i in docs}
+    totals = defaultdict(int)
+    for i, ws in tokens.items():
+        for k, w in enumerate(ws):
+            places[i][w].append(k)
+            totals[w] += 1
+    out = {i: set() for i in docs}
+    for item, text in items.items():
+        for window in set(windows(alnum_words(text), size)):
+            anchor = min(window, key=lambda w: (totals[w], window.index(w)))
+            for i, ws in tokens.items():
+                if item not in out[i] and any(set(window) <= set(ws[max(0, k - span) : k + span + 1]) for k in places[i].get(anchor, ())):
+                    out[i].add(item)
+    return {i: sorted(x) for i, x in out.items()}
+
+
 def substring(docs, size=20):
     seen, out = set(), {}
     for i in sorted(docs):

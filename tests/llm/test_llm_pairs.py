@@ -1,7 +1,7 @@
 """Decontamination, substring removal and the Jaccard join against brute force."""
 
 import pytest
-from llm_brute import contamination, corpus, frame, jaccard, substring
+from llm_brute import contamination, corpus, frame, jaccard, near, substring, words
 from pyspark.sql import functions as F
 
 from tastemesh.llm import decontaminate as D
@@ -56,6 +56,20 @@ def test_proximity(spark):
     assert all(not r["items"] for r in D.phrase_matches(index, items).collect())
 
 
+@pytest.mark.parametrize("block, terms", [(200_000, 2_000_000), (9, 7)])
+def test_proximity_of_shuffled_windows(spark, docs, items, block, terms, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_WINDOWS", block)
+    monkeypatch.setattr(D, "BLOCK_TERMS", terms)
+    some = items | {20: " ".join(sorted(words(docs[134])[200:210])), 21: " ".join(words(docs[134])[300:320:2]), 22: "neverseen " + docs[3]}
+    want = near(docs, some)
+    rows = D.contamination(frame(spark, docs), _items(spark, some), span=20).collect()
+    assert {r.doc_id: list(r["near"]) for r in rows} == want and len(rows) == len(docs)
+    assert {r.doc_id: (r.n_words, r.n_hit, sorted(r["items"])) for r in rows} == contamination(docs, some)
+    assert {20, 21} <= set(want[134]) and any(set(r["near"]) > set(r["items"]) for r in rows)
+    none = D.contamination(frame(spark, docs).where("false"), _items(spark, some), span=20)
+    assert none.isEmpty() and "near" in none.columns
+
+
 def test_substrings(spark, docs):
     rows = S.remove_repeats(frame(spark, docs)).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in rows} == substring(docs) and len(rows) == len(docs)
