@@ -79,6 +79,12 @@ def phrase_windows(items: DataFrame, size: int = 10) -> DataFrame:
     )
 
 
+def _one_by_one(batch: pa.RecordBatch):
+    """The rows of a batch of segments, of which one at a time is copied."""
+    for at in range(batch.num_rows):
+        yield batch.slice(at, 1).to_pylist()[0]
+
+
 def term_totals(index: DataFrame, windows: DataFrame) -> DataFrame:
     """``term``, ``total``: how often each term of the windows occurs in all documents; those that never do are left out."""
     terms = stage(windows.select(F.explode("terms").alias("term")).distinct(), "test-terms")
@@ -91,8 +97,8 @@ def term_totals(index: DataFrame, windows: DataFrame) -> DataFrame:
         def count(batches: Batches) -> Batches:
             total = np.zeros(len(wanted.value), np.int64)
             for batch in batches:
-                for own, counts in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                    own, counts = np.frombuffer(own, np.uint64), np.frombuffer(counts, np.uint32)
+                for row in _one_by_one(batch):
+                    own, counts = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["counts"], np.uint32)
                     if len(own):
                         at = np.minimum(np.searchsorted(own, wanted.value), len(own) - 1)
                         total += np.where(own[at] == wanted.value, counts[at], 0)
@@ -210,7 +216,7 @@ def _search(index: DataFrame, windows: DataFrame, size: int, find, span: int | N
         def search(batches: Batches) -> Batches:
             item_ids, lengths, terms, anchors = block.value
             for batch in batches:
-                for row in batch.to_pylist():
+                for row in _one_by_one(batch):
                     segment = Segment(row)
                     window, begin, end = find(segment, lengths, terms, anchors)
                     doc = np.searchsorted(segment.firsts, begin, "right") - 1
