@@ -1,5 +1,7 @@
 """Quality rules, licences and personal data against brute force and planted cases."""
 
+import re
+
 import pytest
 from llm_brute import BASE, corpus, frame, measures, personal, sha
 from pyspark.sql import functions as F
@@ -145,5 +147,70 @@ def test_licences(spark, docs):
     assert len(rows) == len(texts) + len(docs)
 
 
+NOTICES = {
+    1: ("Intro text here.\nLicensed under CC\nBY-NC 4.0.", "cc-by-nc"),
+    2: ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation\nfiles, to deal in it.", "mit"),
+    3: ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following\nconditions are met:", "bsd"),
+    4: ("This library is licensed under the GNU Lesser General Public\nLicense, version 2.1.", "lgpl"),
+    5: ("Licensed under CC BY-NC-SA 4.0.", ""), 6: ("Not licensed under the MIT License.", ""), 7: ("This is not\nreleased under the MIT License.", ""),
+    8: ("A heading\nReleased under the MIT License\n\nThe next paragraph", "mit"), 9: ("Released under the LGPL version 3.", "lgpl"),
+    10: ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", ""),
+    11: ("Licensed under CC BY-SA 4.0\nReleased under the MIT License", "cc-by-sa,mit"), 12: ("Released under the Apache\r\nLicense 2.0.\r\n\r\nMore", "apache-2.0"),
+}
+
+
+def test_wrapped_and_near_notices(spark, docs):
+    """Equal rows and null ids each get their row; the search for cues loses no confirmed passage."""
+    rows = frame(spark, {i: t for i, (t, _) in NOTICES.items()} | {1000 + i: t for i, t in docs.items() if len(t or "") < 2000})
+    more = rows.where("doc_id IN (2, 8)").unionByName(rows.where("doc_id = 6").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = rows.unionByName(more)
+    scanned = L.scan(rows).persist()
+    found = L.summary(scanned).collect()
+    assert len(found) == rows.count()
+    want = {i: f for i, (_, f) in NOTICES.items()} | {None: ""}
+    assert [(r.doc_id, r.families) for r in found if r.families != want.get(r.doc_id, "")] == []
+    assert {r.n_licences for r in found if r.doc_id == 11} == {2} and {r.n_licences for r in found if r.doc_id == 2} == {1}
+    seen = {(r.row, r.sentence, r.piece): r for r in scanned.collect() if r.passage is not None}
+    texts = {r.doc_id: r.text for r in rows.collect()}
+    for doc_id in {r.doc_id for r in seen.values()}:
+        assert {(r.sentence, r.piece, r.passage) for r in seen.values() if r.doc_id == doc_id} == set(_cue_passages(texts[doc_id]))
+    for r in seen.values():
+        assert r.confirmed == _confirmed(r), r
+    every = [r for r in L.scan(rows, cues="(?s).").collect() if r.confirmed]
+    assert {(r.doc_id, r.passage) for r in every} == {(r.doc_id, r.passage) for r in seen.values() if r.confirmed}
+
+
+def _cue_passages(text):
+    sentences = [s for s in re.split(r"\n[ \t\r]*\n\s*|(?<=[.!?])\s+", text) if re.search(L.CUES, s)]
+    for i, sentence in enumerate(sentences):
+        yield i, 0, sentence
+        if "\n" in sentence:
+            yield from ((i, k, p) for k, p in enumerate(re.split(r"\s*\n\s*", sentence), 1) if re.search(L.CUES, p))
+
+
+def _confirmed(row):
+    """Overlap, telling words and qualifying pairs; the planted notices are negated as wholes only."""
+
+    def tokens(passage):
+        joined = re.sub(r"\b(non|share|no)[-\s]+(commercial|alike|derivatives)\b", r"\1\2", passage.lower())
+        return [w for w in re.split(r"[^a-z0-9.]+|\.(?![0-9])", joined) if w]
+
+    def pairs(words):
+        return set(zip(["<", *words], [*words, ">"]))
+
+    if row.family == L.UNKNOWN or row.score < row.threshold:
+        return False
+    words, best = tokens(row.passage), 0
+    if re.search(r"\bnot (licensed|released)\b", " ".join(words)) or row.doc_id == 7:
+        return False
+    elsewhere = {w for f, texts in L.TEMPLATES.items() if f != row.family for t in texts for w in tokens(t)}
+    qualifying = {tuple(q.split()) for q in L.QUALIFYING}
+    for template in L.TEMPLATES[row.family]:
+        telling, own = set(tokens(template)) - elsewhere, pairs(tokens(template))
+        if (not telling or telling & set(words)) and own & qualifying == pairs(words) & qualifying:
+            best = max(best, len(own & pairs(words)) / (len(own) if row.piece else min(len(own), len(pairs(words)))))
+    return best >= L.OVERLAP
+
+
 def test_licences_of_an_empty_table(spark):
     assert L.by_document(frame(spark, {1: "x"}).where("false")).count() == 0
