@@ -1,13 +1,14 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF of hashed character 1- to 3-grams.
 
 Document frequencies are counted over all learning documents. The weights are learned by follow-the-regularised-leader
-with elastic net on a bounded sample (``TRAIN_DOCS``), dealt to ``SHARDS`` tasks whose weights are averaged; one
-temperature is then fitted to other learning documents (``CALIBRATION_DOCS``). Both samples are taken by a
-hash of the id, so reruns agree up to the order of sums. Prediction reads every text once, whole.
+with elastic net on a bounded sample (``TRAIN_DOCS``, and ``LEAST_DOCS`` a label where that is more), dealt to ``SHARDS``
+tasks whose weights are averaged; one temperature is then fitted to other learning documents (``CALIBRATION_DOCS``, a rare
+label in proportion). Both samples are taken by a hash of id and text, so reruns agree up to the order of sums, and a rare
+label has examples at every size of the corpus. Prediction reads every text once, whole.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; documents with a null label are not
-learned from but predicted; without a learning document all are ``und``; equal rows each get a row; other columns are not
-read.
+learned from but predicted; null ids are learned from; long texts are read whole; of equal chances the first label by code
+point is taken; without a learning document all are ``und``; equal rows each get a row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from tastemesh.llm.words import chunks
 BITS = 15
 GRAMS = 3
 TRAIN_DOCS, CALIBRATION_DOCS, SHARDS, EPOCHS = 6000, 3000, 4, 3
+LEAST_DOCS = 200  # training documents of a label, if it has them
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.01
 UNKNOWN = "und"
 _TEMPERATURES = np.geomspace(0.02, 5.0, 60)
@@ -125,16 +127,23 @@ def train(documents: DataFrame) -> Model | None:
     """A model from the documents that are not held out; None if there is none with a label."""
     spark = documents.sparkSession
     learning = documents.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    labels = [r.lang for r in learning.select("lang").distinct().orderBy("lang").collect()]
+    found = {r.lang: r["count"] for r in learning.groupBy("lang").count().orderBy("lang").collect()}  # a row a label
+    labels = list(found)
     if not labels:
         return None
     docs, idf = _frequencies(learning)
     shared_idf, numbers = spark.sparkContext.broadcast(idf), {x: n for n, x in enumerate(labels)}
-    place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000_000)) / 1e9
-    cut = TRAIN_DOCS / docs
-    # With few documents a third is left for the temperature.
-    cut, end = (cut, cut + CALIBRATION_DOCS / docs) if cut + CALIBRATION_DOCS / docs <= 1 else (2 / 3, 1.0)
-    sample = learning.withColumn("place", place)
+
+    def parts(count: int) -> tuple[float, float]:
+        """Up to where a label's documents train, and from there up to where they calibrate."""
+        cut = max(TRAIN_DOCS / docs, LEAST_DOCS / count)
+        end = cut * (1 + CALIBRATION_DOCS / TRAIN_DOCS)
+        return (cut, end) if end <= 1 else (2 / 3, 1.0)  # of few documents a third is left for the temperature
+
+    shares = spark.createDataFrame([(x, *parts(n)) for x, n in found.items()], "lang string, cut double, end double")
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1_000_000_000)) / 1e9
+    sample = learning.withColumn("place", place).join(F.broadcast(shares), "lang")  # a row a label
+    training = sample.where("place < cut").withColumn("place", F.col("place") / F.col("cut"))  # labels mixed in any order by place
 
     def fit(batches: Batches) -> Batches:
         examples = [(vector(text, shared_idf.value), numbers[piece.column("lang")[row].as_py()], piece.column("place")[row].as_py())
@@ -152,9 +161,9 @@ def train(documents: DataFrame) -> Model | None:
             [pa.array(feature.astype(np.int32)), pa.array(label.astype(np.int32)), pa.array(weights[feature, label] * len(examples)),
              pa.array(np.full(len(feature), len(examples)))], ["feature", "label", "weight", "examples"])
 
-    shards = sample.where(F.col("place") < cut).repartition(SHARDS, F.floor(F.col("place") * 1_000_000_000))
+    shards = training.repartition(SHARDS, F.floor(F.col("place") * 1_000_000_000))
     learned = shards.select("text", "lang", "place").mapInArrow(fit, "feature int, label int, weight double, examples long")
-    total = sample.where(F.col("place") < cut).count()
+    total = training.count()
     weights = np.zeros(((1 << BITS) + 1, len(labels)))
     for row in learned.groupBy("feature", "label").agg(F.sum("weight").alias("weight")).collect():
         weights[row.feature, row.label] = row.weight / max(1, total)
@@ -170,7 +179,7 @@ def train(documents: DataFrame) -> Model | None:
             loss -= (1 - doubt) * np.log(right + 1e-300) + doubt * np.log(1 - right + 1e-300)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(loss), dtype=np.int32)), pa.array(loss)], ["step", "loss"])
 
-    judged = sample.where((F.col("place") >= cut) & (F.col("place") < end)).select("text", "lang").mapInArrow(losses, "step int, loss double")
+    judged = sample.where("place >= cut AND place < end").select("text", "lang").mapInArrow(losses, "step int, loss double")
     best = judged.groupBy("step").agg(F.sum("loss").alias("loss")).orderBy("loss", "step").first()
     model.temperature = float(_TEMPERATURES[best.step]) if best else 1.0
     return model

@@ -38,6 +38,18 @@ def test_languages_of_edges(spark):
     assert G.identify(docs.where("false")).count() == 0
 
 
+def test_rare_labels_are_learned(spark, monkeypatch):
+    """A label of a few documents in many has its examples, also without ids; the sample stays bounded."""
+    monkeypatch.setattr(G, "TRAIN_DOCS", 60)
+    monkeypatch.setattr(G, "CALIBRATION_DOCS", 30)
+    monkeypatch.setattr(G, "LEAST_DOCS", 10)
+    some = {"de": "der die das und nicht ", "en": "the of and that was ", "fi": "mutta niin ovat kaikki "}
+    rows = [(None if i % 3 else i, some[x] * (1 + i % 4) + str(i), x) for i in range(3000) for x in ["fi" if i % 200 == 0 else "de" if i % 2 else "en"]]
+    docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string, lang string")
+    got = G.identify(docs).join(docs.select("doc_id", "lang").where("lang = 'fi'"), "doc_id").collect()
+    assert got and {r.lang_pred for r in got} == {"fi"}
+
+
 def test_sparse_weights(spark):
     docs = frame(spark, {i: ("der die das und " if i % 2 else "the of and that ") * 3 for i in range(40)})
     model = G.train(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 1, "de").otherwise("en")))
