@@ -12,8 +12,9 @@ Copies: rates become whole copies, the next lower or higher number, from the lon
 over or under carried on to the next size; so a source misses its target by about its smallest documents. The copies
 of one size are spread evenly over its documents in ``doc_id`` order.
 
-Hot sources: only the histogram is grouped by source, its rows bounded by the number of distinct sizes; places
-within one size are counted in chunks of 4096 ids and then over the chunks.
+Hot sources: only the histogram is grouped by source, its rows bounded by the number of distinct sizes. Places within
+one size come from ranks over all documents, dealt out by ranges, so neither ids that do not count up nor a size that a
+third of all documents share meet in one task; the copies of a size are joined in blocks of ``_BLOCK`` ranks.
 
 Edge cases: null or blank texts have size 0 and are not taken; null sources are one source, the last; equal rows are
 dealt with one by one; a source of few documents can only come as near as whole copies allow; other columns are not read;
@@ -23,17 +24,18 @@ an empty table gives an empty table.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastemesh.llm.exprs import words
+from tastemesh.operators.ranking import whole_ranks
 from tastemesh.sources.staging import stage
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 TOLERANCE = 1e-9
 ROUNDS = 100
-_CHUNK = 4096
+_BLOCK = 1 << 16
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -97,26 +99,32 @@ def _round_down_sizes(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(copies=copies)[["skey", "size", "n", "rate", "copies"]]
 
 
+def _block(rank: Column) -> Column:
+    return F.floor(rank / _BLOCK)
+
+
 def mix(documents: DataFrame) -> DataFrame:
     """Per document ``size``, ``source_size``, ``target``, ``rate``, ``copies`` and ``taken`` words."""
     sized = stage(documents.select(
         "doc_id", "source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")).alias("skey"),
-        F.size(words(F.col("text"))).cast("long").alias("size"), F.floor(F.col("doc_id") / _CHUNK).alias("chunk")), "sizes")
+        F.size(words(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row")), "sizes")
     goals = stage(targets(sized.groupBy("source", "skey").agg(F.sum("size").alias("source_size"))), "targets")
-    cells = stage(sized.where("size > 0").groupBy("skey", "size", "chunk").agg(F.count("*").alias("n")), "cells")
-    histogram = stage(cells.groupBy("skey", "size").agg(F.sum("n").alias("n")), "histogram")
+    # The row number only parts rows that are equal in all else, so that they need not lie in one range.
+    order = [F.col("skey"), F.col("size"), F.col("doc_id").asc_nulls_last(), F.col("tie"), F.col("row")]
+    placed = stage(whole_ranks(sized.drop("source"), [], order), "places")
+    histogram = stage(placed.where("size > 0").groupBy("skey", "size").agg(F.count("*").alias("n"), F.min("rank").alias("first")), "histogram")
     dual = balance(histogram, goals)
     rates = histogram.join(goals.select("skey", "target"), "skey").join(dual, "skey", "left").select(
         "skey", "size", "n",
         F.when(F.col("target") <= 0, 0.0).when(F.col("lam").isNull(), float(MOST))
         .otherwise(F.least(F.lit(float(MOST)), F.exp(F.col("lam") * F.col("size") / F.col("mean")))).alias("rate"))
     rounded = rates.groupBy("skey").applyInPandas(_round_down_sizes, "skey string, size long, n long, rate double, copies long")
-    before = F.sum("cell_n").over(Window.partitionBy("skey", "size").orderBy(F.col("chunk").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
-    dealt = cells.withColumnRenamed("n", "cell_n").withColumn("before", F.coalesce(before, F.lit(0))).drop("cell_n").join(rounded, ["skey", "size"])
-    place = F.row_number().over(Window.partitionBy("skey", "size", "chunk").orderBy("doc_id"))
-    placed = sized.withColumn("place", place).alias("d").join(
-        dealt.alias("c"), (F.col("d.skey") == F.col("c.skey")) & (F.col("d.size") == F.col("c.size")) & F.col("d.chunk").eqNullSafe(F.col("c.chunk")), "left")
-    copies = F.expr("""coalesce(copies div n + (before + place) * (copies % n) div n - (before + place - 1) * (copies % n) div n, 0)""")
-    return placed.select("d.doc_id", "d.skey", "d.size", "rate", copies.alias("copies")).join(
+    dealt = rounded.join(histogram.select("skey", "size", "first"), ["skey", "size"]).withColumn(
+        "block", F.explode(F.sequence(_block(F.col("first")), _block(F.col("first") + F.col("n") - 1))))
+    cut = placed.withColumn("block", _block(F.col("rank"))).join(dealt, ["skey", "size", "block"], "left")
+    # Decimals, since the product of two counts of documents may pass 64 bits.
+    upto = "cast(rank - first + {} AS decimal(19, 0)) * (copies % n) div n"
+    copies = F.expr(f"coalesce(copies div n + {upto.format(1)} - {upto.format(0)}, 0)")
+    return cut.select("doc_id", "skey", "size", "rate", copies.alias("copies")).join(
         goals.select("skey", "source_size", "target"), "skey").select(
         "doc_id", "size", "source_size", "target", F.coalesce("rate", F.lit(0.0)).alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -226,6 +226,28 @@ def test_mix(spark):
     assert {(r.doc_id, r.taken) for r in again} == {(r.doc_id, r.taken) for r in rows}
 
 
+def test_mix_with_hashed_and_null_ids(spark):
+    """Copies do not depend on how ids count up, spread over blocks, and null ids take what known ones would."""
+    docs = {i: "w " * (1 + i % 5) for i in range(900)}
+    df = frame(spark, docs).withColumn("source", F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b"))
+    want = sorted((r["size"], r.taken) for r in M.mix(df).collect())
+    assert sorted((r["size"], r.taken) for r in M.mix(df.withColumn("doc_id", F.xxhash64("doc_id"))).collect()) == want
+    assert sorted((r["size"], r.taken) for r in M.mix(df.withColumn("doc_id", F.lit(None).cast("long"))).collect()) == want
+
+
+def test_copies_over_blocks_of_one_size(spark, monkeypatch):
+    """A size in several blocks: its copies are as many as its rates ask for, at most one apart by document."""
+    monkeypatch.setattr(M, "_BLOCK", 7)
+    df = frame(spark, {i: "a b" if i < 100 else "a b c d" for i in range(130)}).withColumn("source", F.when(F.col("doc_id") % 4 == 0, "a").otherwise("b"))
+    rows = M.mix(df).collect()
+    assert len(rows) == 130
+    off = {}
+    for r in rows:
+        assert abs(r.copies - r.rate) < 1
+        off[r.source_size] = off.get(r.source_size, -r.target) + r.taken
+    assert all(abs(x) <= 4 for x in off.values())
+
+
 def test_long_documents_leave_at_most_one_of_them_over(spark):
     docs = {i: "w " * (5000 if i % 10 == 0 else 3 + i % 5) for i in range(200)}
     rows = M.mix(frame(spark, docs)).collect()
