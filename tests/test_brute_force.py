@@ -326,3 +326,32 @@ def test_profiles_of_an_item_that_everyone_has(spark, monkeypatch):
     assert {(r.user_id, r.term): round(r.weight, 7) for r in got.collect()} == expected
     one = content.content_profile(rows, cells, [7])
     assert {(r.user_id, r.term) for r in one.collect()} == {k for k in expected if k[0] == 7}
+
+
+def test_dense_rows_are_expanded_without_the_users_of_their_bucket(spark, monkeypatch):
+    """What reaches the expanding tasks holds a bucket's users once a task, however many rows are asked for."""
+    monkeypatch.setattr(similarity, "ROWS_PER_TASK", 8)
+    cells = _dense_case(spark, 9)
+    lists, real = [], similarity.kernels.expand_rows
+    listed = spark.sparkContext.accumulator(0)
+
+    def counting(empty):
+        inner = real(empty)
+
+        def run(batches):
+            def counted():
+                for batch in batches:
+                    listed.add(sum(len(x) for x in batch.column("others").drop_null()))
+                    yield batch
+            return inner(counted())
+
+        lists.append(empty)
+        return run
+
+    monkeypatch.setattr(similarity.kernels, "expand_rows", counting)
+    index = similarity.user_index(cells)
+    everyone = [r.user_id for r in index.collect()]
+    packed = similarity.packed_matrix(similarity.cosine_matrix(cells, index), index)
+    got = similarity.dense_matrix(packed, index, index, 0.0).collect()
+    assert {(r.user_id, r.other_id) for r in got} == {(u, o) for u in everyone for o in everyone} and len(got) == len(everyone) ** 2
+    assert lists == [0.0] and 0 < listed.value < len(everyone) ** 2 / 4
