@@ -355,3 +355,27 @@ def test_dense_rows_are_expanded_without_the_users_of_their_bucket(spark, monkey
     got = similarity.dense_matrix(packed, index, index, 0.0).collect()
     assert {(r.user_id, r.other_id) for r in got} == {(u, o) for u in everyone for o in everyone} and len(got) == len(everyone) ** 2
     assert lists == [0.0] and 0 < listed.value < len(everyone) ** 2 / 4
+
+
+@pytest.mark.parametrize("job", [similarity.pearson_neighbors, similarity.cosine_neighbors])
+@pytest.mark.parametrize("raters, chunk", [(1024, 1 << 20), (7, 50)])
+def test_gathered_neighbors_equal_those_of_listed_users(spark, monkeypatch, job, raters, chunk):
+    """Lists of whole items, of cut ones, and sums that are folded often; the grid of pairs of blocks is not formed."""
+    monkeypatch.setattr(similarity, "LIST_RATERS", raters)
+    monkeypatch.setattr(similarity, "GATHER_FROM", 2)
+    monkeypatch.setattr(similarity, "_gathered_blocks", lambda base, n_blocks: n_blocks)
+    monkeypatch.setattr(similarity.kernels, "_CHUNK", chunk)
+    monkeypatch.setattr(similarity, "block_pairs", None)
+    df = _dense_case(spark, 3)
+    want = {tuple(r) for r in job(df, list(range(60)), 5).collect()}
+    assert {tuple(r) for r in job(df, None, 5, 9).collect()} == want
+
+
+def test_items_of_few_raters_are_gathered(spark, monkeypatch):
+    """Fewer rows a list than pairs of blocks; a table whose items everyone has stays with pairs of blocks."""
+    monkeypatch.setattr(similarity, "GATHERED_PAIRS", 1000)
+    sparse = _cells_frame(spark, {(u, f"{u % 37}-{(u * 7 + i) % 41}"): 3.0 for u in range(600) for i in range(4)})
+    dense = _cells_frame(spark, {(u, f"i{i}"): 3.0 for u in range(150) for i in range(4)})
+    base = lambda df: similarity._comparable(df, "pearson")
+    assert similarity._gathered_blocks(base(sparse), 100) == 100
+    assert similarity._gathered_blocks(base(dense), 4) is None
