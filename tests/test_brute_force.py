@@ -379,3 +379,23 @@ def test_items_of_few_raters_are_gathered(spark, monkeypatch):
     base = lambda df: similarity._comparable(df, "pearson")
     assert similarity._gathered_blocks(base(sparse), 100) == 100
     assert similarity._gathered_blocks(base(dense), 4) is None
+
+
+def _exchanged(df):
+    """What the plan's exchanges of rows deal out by, as its text has them."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_ngrams_are_counted_where_they_are_made(spark, tmp_path, monkeypatch):
+    """Texts move once, in whatever number of files they are; an item of very many texts is spread by its n-grams."""
+    texts = [*_texts(3), *((7, t) for _, t in _texts(4, 9))]
+    spark.createDataFrame(texts, "item_id long, text string").repartition(9).write.parquet(str(tmp_path / "texts"))
+    df = spark.read.parquet(str(tmp_path / "texts"))
+    want = Counter((d, g) for d, t in texts for g in _grams(t, 1, 3))
+    counts = tfidf.ngram_counts(df)
+    assert not any("term" in line for line in _exchanged(counts))
+    assert {(r.item_id, r.term): r.tf for r in counts.collect()} == want
+    monkeypatch.setattr(tfidf, "TEXTS_PER_TASK", 8)
+    spread = tfidf.ngram_counts(df)
+    assert any("term" in line for line in _exchanged(spread))
+    assert {(r.item_id, r.term): r.tf for r in spread.collect()} == want
