@@ -399,3 +399,12 @@ def test_ngrams_are_counted_where_they_are_made(spark, tmp_path, monkeypatch):
     spread = tfidf.ngram_counts(df)
     assert any("term" in line for line in _exchanged(spread))
     assert {(r.item_id, r.term): r.tf for r in spread.collect()} == want
+
+
+def test_profile_sums_are_not_shuffled(spark):
+    vectors = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.25), (2, "b", 1.0)], "item_id long, term string, weight double")
+    seen = spark.createDataFrame([(1, 1, 1), (1, 2, 3), (2, 2, 1)], "user_id long, item_id long, times long")
+    got = content.content_profile(vectors, seen)
+    keys = [line.split("hashpartitioning(")[1].split(")")[0] for line in _exchanged(got)]
+    assert not any("user_id" in k and ("term" in k or "code" in k) for k in keys)
+    assert {(r.user_id, r.term): r.weight for r in got.collect()} == {(1, "a"): 0.125, (1, "b"): 0.8125, (2, "b"): 1.0}
