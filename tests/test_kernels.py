@@ -100,3 +100,18 @@ def test_best_of_blocks(skewed, k):
     best = content.rank_content(content.block_scores(*skewed, k, block_users=7, block_items=9), catalog, k)
     key = lambda df: sorted((r.user_id, r["rank"], r.item_id, r.score) for r in df.collect())
     assert key(best) == key(every)
+
+
+def test_whole_ranking_without_shuffled_rows(spark, skewed, monkeypatch):
+    """Ranks formed where the items are held equal those over ranges, and no stage or exchange gets the rows of the result."""
+    catalog = skewed[2].withColumnRenamed("item_id", "id").unionByName(
+        spark.createDataFrame([(50, None), (51, "title 3")], "id long, title string"))
+    seen = skewed[1].unionByName(spark.createDataFrame([(7, 777, 1), (98, 777, 1)], skewed[1].schema))
+    users, real, staged = [*range(25), 98, 99], content.stage, []
+    monkeypatch.setattr(content, "stage", lambda df, label: (staged.append(out := real(df, label)), out)[1])
+    key = lambda df: sorted((r.user_id, r["rank"], r.item_id, r.score) for r in df.collect())
+    got = content.content_score_all(skewed[0], seen, catalog, users)
+    assert max(df.count() for df in staged) < 0.5 * 27 * 43
+    monkeypatch.setattr(content, "RANKED_ITEMS", 42)
+    want = content.content_score_all(skewed[0], seen, catalog, users)
+    assert got.columns == want.columns and key(got) == key(want) and got.count() == 27 * 43
