@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tastemesh.operators import content, kernels
+from tastemesh.operators import content, kernels, tfidf
 
 
 @settings(max_examples=60, deadline=None)
@@ -115,3 +115,23 @@ def test_whole_ranking_without_shuffled_rows(spark, skewed, monkeypatch):
     monkeypatch.setattr(content, "RANKED_ITEMS", 42)
     want = content.content_score_all(skewed[0], seen, catalog, users)
     assert got.columns == want.columns and key(got) == key(want) and got.count() == 27 * 43
+
+
+@pytest.mark.parametrize(("low", "high", "n"), [(1, 3, 40), (1, 3, 10**5), (2, 3, 25), (2, 2, 10**5), (3, 3, 3)])
+def test_ngrams_as_numbers_equal_ngrams_as_text(spark, monkeypatch, low, high, n):
+    """Also over the borders of the rows that long texts are cut into; no n-gram is formed as text."""
+    rnd = random.Random(low + high)
+    long = " ".join(rnd.choice(["aa", "bb", "cc", "dd", "éé", "_1", "Aa"]) for _ in range(3 * kernels.WORDS_PER_ROW + 1))
+    rare = " ".join(f"w{rnd.randrange(200)}" for _ in range(300))
+    texts = [(1, long), (2, rare), (3, None), (4, ""), (5, "aa"), (6, "aa bb"), (7, "aa bb aa bb"), (8, "x - y"), (9, long), (9, "bb cc")]
+    items = spark.createDataFrame(texts, "item_id long, text string").repartition(3)
+
+    def both() -> tuple[list, list]:
+        vocab = tfidf.vocabulary(items, n, low, high)
+        return sorted(map(tuple, vocab.collect())), sorted(map(tuple, tfidf.term_frequencies(items, vocab, min(n, 10**4), low, high).collect()))
+
+    with monkeypatch.context() as strings:
+        strings.setattr(tfidf, "_fits", lambda *_: False)
+        want = both()
+    monkeypatch.setattr(tfidf, "_grams", None)
+    assert both() == want and want[0]
