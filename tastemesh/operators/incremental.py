@@ -139,9 +139,8 @@ class VectorStore:
         raised = others.where(F.col("gain") + state.ceiling < threshold).agg(F.max("gain")).first()[0] or 0
         n_possible = possible.count()
         if n_possible:
-            grams = tfidf.ngrams(tfidf.spread(now), low, high, stop_words)
-            counted = grams.join(tfidf.lookup(possible, n_possible), "term", "left_semi").groupBy("term").agg(
-                F.count("*").alias("total"))
+            found = tfidf.term_frequencies(now, possible, n_possible, low, high, stop_words)
+            counted = found.groupBy("term").agg(F.sum("tf").alias("total"))
             reserve = stage(reserve.unionByName(counted), "reserve")
         # What falls out of the reserve may be as frequent as its first n-gram.
         size = RESERVE * self.max_features
