@@ -138,9 +138,15 @@ class VectorStore:
         possible = stage(others.where(F.col("gain") + state.ceiling >= threshold).select("term"), "possible")
         raised = others.where(F.col("gain") + state.ceiling < threshold).agg(F.max("gain")).first()[0] or 0
         n_possible = possible.count()
+        # What may enter the list, from outside or from the reserve, is counted by item in one pass over all texts.
+        near = self._most(reserve).join(before.where("listed").select("term"), "term", "left_anti").select("term")
+        wanted = stage(possible.unionByName(near), "wanted")
+        n_wanted = wanted.count()
+        if n_wanted:
+            found = stage(tfidf.term_frequencies(now, wanted, n_wanted, low, high, stop_words), "found")
         if n_possible:
-            found = tfidf.term_frequencies(now, possible, n_possible, low, high, stop_words)
-            counted = found.groupBy("term").agg(F.sum("tf").alias("total"))
+            counted = found.join(tfidf.lookup(possible, n_possible), "term", "left_semi").groupBy("term").agg(
+                F.sum("tf").alias("total"))
             reserve = stage(reserve.unionByName(counted), "reserve")
         # What falls out of the reserve may be as frequent as its first n-gram.
         size = RESERVE * self.max_features
@@ -151,11 +157,10 @@ class VectorStore:
 
         listed = self._table(gen, "terms").where("listed")
         counts = tfidf.term_frequencies(fresh, listed, self.max_features, low, high, stop_words)
-        entered = listed.where(F.col("entered") == gen)
-        if not entered.isEmpty():
-            rest = now.join(changed.select("item_id"), "item_id", "left_anti")
-            counts = counts.unionByName(
-                tfidf.term_frequencies(rest, entered, self.max_features, low, high, stop_words))
+        if n_wanted:
+            entered = tfidf.lookup(listed.where(F.col("entered") == gen).select("term"), n_wanted)
+            rest = found.join(changed.select("item_id"), "item_id", "left_anti").join(entered, "term", "left_semi")
+            counts = counts.unionByName(rest.select("item_id", "term", "tf"))
         self._write(gen, "counts", counts.withColumn("gen", F.lit(gen)))
         dropped_items = changed.where(F.col("print").isNull()).select("item_id", F.lit(None).cast("string").alias("text"), "print")
         rows = fresh.select("item_id", "text", "print").unionByName(dropped_items)
