@@ -408,3 +408,27 @@ def test_profile_sums_are_not_shuffled(spark):
     keys = [line.split("hashpartitioning(")[1].split(")")[0] for line in _exchanged(got)]
     assert not any("user_id" in k and ("term" in k or "code" in k) for k in keys)
     assert {(r.user_id, r.term): r.weight for r in got.collect()} == {(1, "a"): 0.125, (1, "b"): 0.8125, (2, "b"): 1.0}
+
+
+@pytest.mark.parametrize("predict", [prediction.predict_pearson, prediction.predict_cosine])
+def test_best_predictions_are_ranked_where_they_are_added_up(spark, monkeypatch, predict):
+    """Cells to every block or to some, in one part or more, as numbers or doubles: the same rows, and no sums are shuffled."""
+    df = _dense_case(spark, 5)
+    near = similarity.pearson_neighbors(df, None, 6).localCheckpoint()
+    every = [tuple(r) for r in predict(df, near).select("user_id", "item_id", "score", "support", "rank").collect()]
+    order = sorted(every, key=lambda r: (r[0], -r[2], r[1]))
+    nth = [i - next(j for j, r in enumerate(order) if r[0] == row[0]) + 1 for i, row in enumerate(order)]
+    assert [r[4] for r in order] == nth and max(nth) > 4
+    want = {r for r in every if r[4] <= 4}
+    forms, real = [], prediction.kernels.predictions
+    monkeypatch.setattr(prediction.kernels, "predictions", lambda *a: forms.append(a[1] is None) or real(*a))
+    monkeypatch.setattr(prediction.kernels, "_MET", 40)
+    for least, held, kinds in ((12, 1 << 24, 1 << 15), (1, 1 << 24, 1 << 15), (1, 100, 1 << 15), (1, 100, 0), (12, 20, 0)):
+        monkeypatch.setattr(prediction, "LEAST_BLOCKS", least)
+        monkeypatch.setattr(prediction, "HELD_CELLS", held)
+        monkeypatch.setattr(prediction, "KINDS", kinds)
+        best = predict(df, near, k=4)
+        assert {tuple(r) for r in best.select("user_id", "item_id", "score", "support", "rank").collect()} == want
+        assert "hashpartitioning(user_id" not in best._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+        assert sorted(map(tuple, prediction.rank_items(best, 2).collect())) == sorted(r for r in want if r[4] <= 2)
+    assert forms == [False] * 3 + [True] * 2
