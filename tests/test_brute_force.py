@@ -432,3 +432,31 @@ def test_best_predictions_are_ranked_where_they_are_added_up(spark, monkeypatch,
         assert "hashpartitioning(user_id" not in best._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
         assert sorted(map(tuple, prediction.rank_items(best, 2).collect())) == sorted(r for r in want if r[4] <= 2)
     assert forms == [False] * 3 + [True] * 2
+
+
+@pytest.mark.parametrize("job", [similarity.pearson_neighbors, similarity.cosine_neighbors])
+def test_gathered_raters_travel_as_two_numbers(spark, monkeypatch, job):
+    """A rater's number, and one for its value and norm where those are few; no NULL lists. The rows are those of doubles."""
+    monkeypatch.setattr(similarity, "GATHER_FROM", 2)
+    monkeypatch.setattr(similarity, "_gathered_blocks", lambda base, n_blocks: n_blocks)
+    types, real, nulls = [], similarity.kernels.gathered_similarity, spark.sparkContext.accumulator(0)
+
+    def looking(*args):
+        inner = real(*args)
+
+        def run(batches):
+            def counted():
+                for batch in batches:
+                    nulls.add(sum(batch.column(c).null_count for c in ("ids", "code", "val", "norm")))
+                    yield batch
+            return inner(counted())
+
+        types.append(args[4])
+        return run
+
+    monkeypatch.setattr(similarity.kernels, "gathered_similarity", looking)
+    df = _dense_case(spark, 3)
+    few = {tuple(r) for r in job(df, None, 5, 9).collect()}
+    monkeypatch.setattr(similarity, "KINDS", 0)
+    assert few == {tuple(r) for r in job(df, None, 5, 9).collect()} and len(few) > 100
+    assert types[0] and types[1] is None and nulls.value == 0
