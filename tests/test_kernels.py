@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -117,6 +118,51 @@ def test_whole_ranking_without_shuffled_rows(spark, skewed, monkeypatch):
     assert got.columns == want.columns and key(got) == key(want) and got.count() == 27 * 43
 
 
+@pytest.mark.parametrize("include_zero", [True, False])
+@pytest.mark.parametrize(("k", "parts"), [(1, 1), (3, 4), (5, 1), (50, 3)])
+def test_best_of_held_items(spark, skewed, monkeypatch, k, parts, include_zero):
+    """Where items are held in tasks no pair of blocks is formed, and the lists are the same, in however many parts the items are."""
+    users, items = [*range(25), 98, 99], skewed[2].unionByName(spark.createDataFrame([(50, None), (51, "title 3")], skewed[2].schema))
+    seen = skewed[1].unionByName(spark.createDataFrame([(7, 777, 1), (98, 777, 1)], skewed[1].schema))
+    catalog = items.withColumnRenamed("item_id", "id")
+    want = content.rank_content(content.scores_for(skewed[0], seen, items, users, include_zero), catalog, k)
+    monkeypatch.setattr(content, "_score_pairs", None)
+    for name, value in (("ITEMS_PER_ROW", 4), ("RANKED_ITEMS", -(-43 // parts))):
+        monkeypatch.setattr(content, name, value)
+    monkeypatch.setattr(kernels, "_LIKE", 4)
+    monkeypatch.setattr(kernels, "_ALIKE", 2)
+    scores = content.block_scores(skewed[0], seen, items, k, include_zero, bounded_from=1)
+    key = lambda df: sorted((r.user_id, r["rank"], r.item_id, r.score) for r in df.collect())
+    assert scores.count() <= 27 * k * parts
+    # Scores without a common term count only with include_zero, and the join gives them only then.
+    assert key(content.rank_content(scores, catalog, k)) == key(want)
+
+
+def test_bounds_leave_out_most_items():
+    """Held items: the best of all, ties by place, from few scores."""
+    rnd, n, k = np.random.default_rng(3), 6400, 10
+    cols = np.stack([np.arange(n) // 64, 100 + np.arange(n) // 8 % 40, 140 + rnd.integers(0, 9, n)], axis=1).astype(np.int32)
+    vals, places = rnd.integers(1, 10, (n, 3)) / 10, rnd.permutation(n)
+    lists = lambda rows, t: pa.array([list(r) for r in rows], pa.list_(t))
+    profiles = [rnd.choice(149, 20, replace=False).astype(np.int32) for _ in range(70)]
+    weights, seen = [rnd.integers(1, 10, 20) / 10 for _ in profiles], [rnd.choice(n, 30, replace=False) for _ in profiles]
+    held = kernels._LikeItems(k, True, 9)
+    held.add(pa.RecordBatch.from_arrays(
+        [pa.array([0]), lists([range(n)], pa.int64()), lists([places], pa.int64()), lists([[3] * n], pa.int32()), lists([cols.ravel()], pa.int32()),
+         lists([vals.ravel()], pa.float64())], names=["nth", "items", "places", "sizes", "cols", "vals"]))
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array(range(70)), lists(profiles, pa.int32()), lists(weights, pa.float64()), lists(seen, pa.int64())], names=["user", "cols", "vals", "places"])
+    got = pa.Table.from_batches(held.batches(rows)).to_pylist()
+    for u, (terms, weight, hidden) in enumerate(zip(profiles, weights, seen)):
+        profile = np.zeros(149)
+        profile[terms] = weight
+        score = np.floor((profile[cols] * vals).sum(axis=1) / (np.sqrt((vals**2).sum(axis=1)) * np.sqrt((profile**2).sum())) * 1e9 + 0.5) / 1e9
+        score[hidden] = -1
+        best = np.lexsort((places, -score))[:k]
+        assert {r["item_id"]: r["score"] for r in got if r["user_id"] == u} == {i: pytest.approx(score[i], abs=2e-9) for i in best}
+    assert held.scored < 0.25 * 70 * n
+
+
 @pytest.mark.parametrize(("low", "high", "n"), [(1, 3, 40), (1, 3, 10**5), (2, 3, 25), (2, 2, 10**5), (3, 3, 3)])
 def test_ngrams_as_numbers_equal_ngrams_as_text(spark, monkeypatch, low, high, n):
     """Also over the borders of the rows that long texts are cut into; no n-gram is formed as text."""
