@@ -118,6 +118,26 @@ def test_whole_ranking_without_shuffled_rows(spark, skewed, monkeypatch):
     assert got.columns == want.columns and key(got) == key(want) and got.count() == 27 * 43
 
 
+def test_catalog_copies_do_not_grow_with_shuffle_partitions(spark, skewed, monkeypatch):
+    """The catalog travels to about as many tasks as there are cores; weights that are no whole numbers of 1e-8 travel as they are."""
+    catalog = skewed[2].withColumnRenamed("item_id", "id")
+    key = lambda df: sorted((r.user_id, r["rank"], r.item_id, r.score) for r in df.collect())
+    monkeypatch.setattr(content, "LEAST_TASKS", 3)
+    most, before = content._holding_tasks(spark), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(4 * most))
+    try:
+        for vectors in (skewed[0], skewed[0].withColumn("weight", skewed[0].weight / 3)):
+            users = spark.range(6 * most)
+            seen = users.selectExpr("id AS user_id", "id % 30 AS item_id", "1L AS times")
+            got = content.content_score_all(vectors, seen, catalog, users.selectExpr("id AS user_id"))
+            assert got.rdd.getNumPartitions() <= most
+            with monkeypatch.context() as ranges:
+                ranges.setattr(content, "RANKED_ITEMS", 1)
+                assert key(got) == key(content.content_score_all(vectors, seen, catalog, users.selectExpr("id AS user_id")))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.mark.parametrize("include_zero", [True, False])
 @pytest.mark.parametrize(("k", "parts"), [(1, 1), (3, 4), (5, 1), (50, 3)])
 def test_best_of_held_items(spark, skewed, monkeypatch, k, parts, include_zero):
