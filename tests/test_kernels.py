@@ -138,6 +138,22 @@ def test_catalog_copies_do_not_grow_with_shuffle_partitions(spark, skewed, monke
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+@pytest.mark.parametrize("third", [False, True])
+def test_profiles_formed_where_all_items_are_held(spark, skewed, monkeypatch, third):
+    """A user travels as its seen items: no profile is shuffled; also with weights that are no whole numbers and vectors of other items."""
+    vectors = skewed[0].withColumn("weight", skewed[0].weight / 3) if third else skewed[0]
+    items = skewed[2].where("item_id % 5 != 2").unionByName(spark.createDataFrame([(50, None), (51, "title 3")], skewed[2].schema))
+    seen = skewed[1].unionByName(spark.createDataFrame([(7, 777, 1), (98, 777, 1), (98, 2, 5), (97, 2, 1)], skewed[1].schema))
+    key = lambda df: sorted((r.user_id, r.item_id, r.score) for r in df.collect())
+    with monkeypatch.context() as parts:
+        parts.setattr(content, "RANKED_ITEMS", 20)
+        parts.setattr(content, "ITEMS_PER_ROW", 4)
+        want = key(content.held_scores(vectors, seen, items, 50))
+    monkeypatch.setattr(content, "content_profile", None)
+    assert key(content.held_scores(vectors, seen, items, 50)) == want
+    assert {u for u, _, s in want if s > 0} >= {97, 98}
+
+
 @pytest.mark.parametrize("include_zero", [True, False])
 @pytest.mark.parametrize(("k", "parts"), [(1, 1), (3, 4), (5, 1), (50, 3)])
 def test_best_of_held_items(spark, skewed, monkeypatch, k, parts, include_zero):
