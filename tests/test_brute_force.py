@@ -1,9 +1,11 @@
 """Similarity, prediction and vocabulary against plain Python on small, skewed inputs."""
 
+import itertools
 import math
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -460,3 +462,39 @@ def test_gathered_raters_travel_as_two_numbers(spark, monkeypatch, job):
     monkeypatch.setattr(similarity, "KINDS", 0)
     assert few == {tuple(r) for r in job(df, None, 5, 9).collect()} and len(few) > 100
     assert types[0] and types[1] is None and nulls.value == 0
+
+
+def test_lists_to_a_block_travel_in_one_row(monkeypatch):
+    """Many items' raters in a row, in few bytes each; the lists are those of the items."""
+    rnd, n_blocks, kernels = random.Random(4), 5, similarity.kernels
+    lists = [[(c, rnd.randrange(300)) for c in sorted(rnd.sample(range(70_000), rnd.randint(1, 9)))] for _ in range(400)]
+    for kind in (pa.int16(), pa.float64()):
+        kinds = kind == pa.int16()
+        mixed = [rnd.sample(x, len(x)) for x in lists]
+        rows = pa.RecordBatch.from_arrays(
+            [pa.array([[c for c, _ in x] for x in mixed], pa.list_(pa.int32())), pa.array([[v for _, v in x] for x in mixed], pa.list_(kind)),
+             pa.array([[] if kinds else [0.5 * v for _, v in x] for x in mixed], pa.list_(pa.float64()))], names=["code", "val", "norm"])
+        for chunk in (1 << 20, 16):
+            monkeypatch.setattr(kernels, "_CHUNK", chunk)
+            got, n_rows, n_bytes, n_codes = Counter(), 0, 0, 0
+            for out in kernels.packed_lists(n_blocks, 3, kinds)([rows.slice(0, 300), rows.slice(300)]):
+                n_rows += out.num_rows
+                n_bytes += sum(map(len, out.column("packed").to_pylist()))
+                length, code, found = kernels._unpacked(out, 3)
+                vals = found.tolist() if kinds else out.column("val").flatten().to_pylist()
+                assert out.column("norm").flatten().to_pylist() == ([] if kinds else [0.5 * v for v in vals])
+                n_codes += len(code)
+                block = [b for b, s in zip(out.column("block").to_pylist(), out.column("sizes").to_pylist()) for _ in s]
+                for b, e, n in zip(block, itertools.accumulate(length.tolist()), length.tolist()):
+                    got[b, tuple(zip(code[e - n:e].tolist(), vals[e - n:e]))] += 1
+            assert got == Counter((b, tuple(x)) for x in lists for b in {c % n_blocks for c, _ in x})
+            assert chunk == 16 or (n_rows == 2 * n_blocks and n_bytes < 4.5 * n_codes)
+
+
+def test_packed_neighbors(spark):
+    rows = pa.RecordBatch.from_pydict({"block": pa.array([2, 0, 2, 0, 2], pa.int32()), "user_id": ["b", "c", "a", "c", "b"],
+                                       "other_id": ["x", "y", "z", "w", "v"], "sim": [0.1, 0.2, 0.3, 0.4, 0.5]})
+    out = pa.Table.from_batches(prediction.kernels.packed_neighbors()([rows.slice(0, 0), rows])).to_pylist()
+    assert [r["block"] for r in out] == [0, 2]
+    pairs = [set(zip(r["others"][: len(r["means"])], r["others"][len(r["means"]):], r["means"])) for r in out]
+    assert pairs == [{("c", "y", 0.2), ("c", "w", 0.4)}, {("b", "x", 0.1), ("a", "z", 0.3), ("b", "v", 0.5)}]
