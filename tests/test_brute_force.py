@@ -464,6 +464,25 @@ def test_gathered_raters_travel_as_two_numbers(spark, monkeypatch, job):
     assert types[0] and types[1] is None and nulls.value == 0
 
 
+@pytest.mark.parametrize("matrix", [similarity.cosine_matrix, similarity.pearson_matrix])
+def test_bitmaps_of_a_row_are_formed_once(spark, matrix):
+    """Pairs are dealt out by row and bucket before any bitmap is formed, so that no task sends one of its own; rows are the same."""
+    cells = _dense_case(spark, 3)
+    index, asked = similarity.user_index(cells), list(range(20))
+    packed = similarity.packed_matrix(matrix(cells, asked), index)
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_bitmap_construct_agg") < plan.index("Exchange hashpartitioning(user_id")
+    assert "bitmap_construct_agg" not in plan[plan.index("Exchange hashpartitioning(user_id"):]
+    place = {r.user_id: r.pos for r in index.collect()}
+    want = defaultdict(set)
+    for r in matrix(cells, asked).collect():
+        want[r.user_id].add((place[r.other_id] - 1, r.sim))
+    for r in packed.collect():
+        met = {i for i in range(8 * len(r.met)) if r.met[i // 8] >> i % 8 & 1}
+        assert met == {p for p, _ in want[r.user_id]}
+        assert dict(zip(r.pos, r.sim)) == {p: s for p, s in want[r.user_id] if s is not None}
+
+
 def test_lists_to_a_block_travel_in_one_row(monkeypatch):
     """Many items' raters in a row, in few bytes each; the lists are those of the items."""
     rnd, n_blocks, kernels = random.Random(4), 5, similarity.kernels
